@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..similarity import matrix_as_rows, rows_as_matrix
+
 # Cluster count, restarts, iteration limit and seed.
 CLUSTERS = 10
 RESTARTS = 10
@@ -27,13 +30,18 @@ def scaler_stats(rows: DataFrame, vector: str) -> DataFrame:
 
 def scale_vectors(rows: DataFrame, stats: DataFrame, vector: str, into: str) -> DataFrame:
     """Standardise a vector column; the scaler has one entry per element."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "mean", "scale")))
-    at = stats.agg(ordered.alias("s")).scalar()
-    return rows.withColumn(
-        into,
-        F.zip_with(vector, at, lambda x, s: (x.cast("double") - s["mean"]) / s["scale"]),
+    table = stats.orderBy("pos").toArrow()
+    fitted = rows.sparkSession.sparkContext.broadcast(
+        (table.column("mean").to_numpy(), table.column("scale").to_numpy())
     )
 
+    @F.arrow_udf("array<double>")
+    def scale(column: pa.Array) -> pa.Array:
+        mean, width = fitted.value
+        return matrix_as_rows((rows_as_matrix(column) - mean) / width)
+
+    return rows.withColumn(into, scale(F.col(vector)))
+
 
 def fit_kmeans(
     rows: DataFrame,

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ...config import CHANNELS, PatchGrid
 from ...functions.scalars import array_mean
-from ..similarity import rows_as_matrix
+from ..similarity import matrix_as_rows, rows_as_matrix
 
 
 def _as_stack(arrays) -> np.ndarray:
@@ -32,8 +32,7 @@ def patch_moment_vector(patches: DataFrame, channels=CHANNELS, into: str = "embe
     def moments(*arrays: pa.Array) -> pa.Array:
         x = _as_stack(arrays)
         out = np.stack([x.mean(2), x.std(2), x.min(2), x.max(2)], axis=2).reshape(len(x), -1)
-        offsets = np.arange(len(x) + 1, dtype="int32") * out.shape[1]
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
+        return matrix_as_rows(out)
 
     return patches.withColumn(into, moments(*[F.col(c) for c in channels]))
 
@@ -150,9 +149,7 @@ def pooled_vector(
     def shrink(*arrays: pa.Array) -> pa.Array:
         x = _as_stack(arrays)
         cells = x.reshape(len(x), len(arrays), side, pool, side, pool).mean(axis=(3, 5))
-        flat = cells.reshape(len(x), -1)
-        offsets = np.arange(len(x) + 1, dtype="int32") * flat.shape[1]
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.ravel()))
+        return matrix_as_rows(cells.reshape(len(x), -1))
 
     return patches.withColumn(into, shrink(*[F.col(c) for c in channels]))
 
@@ -172,8 +169,7 @@ def pca_reconstruction(
         mu, pc = shared.value
         x = rows_as_matrix(column)
         out = (x - mu) @ pc @ pc.T + mu
-        offsets = np.arange(len(x) + 1, dtype="int32") * out.shape[1]
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
+        return matrix_as_rows(out)
 
     return rows.withColumn(into, rebuild(F.col(vector)))
 

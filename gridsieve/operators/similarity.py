@@ -32,6 +32,12 @@ def rows_as_matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def matrix_as_rows(matrix: np.ndarray) -> pa.ListArray:
+    """The inverse: one list per matrix row."""
+    offsets = np.arange(len(matrix) + 1, dtype="int32") * (matrix.shape[1] if len(matrix) else 0)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
+
+
 def _unit(matrix: np.ndarray, eps: float) -> np.ndarray:
     return matrix / (np.sqrt((matrix * matrix).sum(axis=1, keepdims=True)) + eps)
 

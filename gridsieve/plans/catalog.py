@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import patch_queries, pixel_queries  # noqa: F401
+from . import (  # noqa: F401
+    model_queries,
+    patch_queries,
+    pixel_queries,
+    score_queries,
+    store_queries,
+)
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -117,7 +117,8 @@ ok AS (SELECT aoi, r0, c0, count(ndvi) AS n_valid FROM cut GROUP BY aoi, r0, c0
 
 def rnd(expr: str, n: int = 6) -> str:
     """Rounded value with a plain zero."""
-    return f"CASE WHEN round({expr}, {n}) = 0 THEN 0.0 ELSE round({expr}, {n}) END"
+    value = f"round(CAST({expr} AS DOUBLE), {n})"
+    return f"CASE WHEN {value} = 0 THEN CAST(0 AS DOUBLE) ELSE {value} END"
 
 
 def compose(ctes, body: str, plain: str = "", rounded: str = "", tail: str = "") -> str:

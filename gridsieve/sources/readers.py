@@ -173,10 +173,14 @@ def dimension_mismatches(sites: DataFrame, dim: int) -> DataFrame:
     return sites.where(F.size("embedding") != dim).select("aoi", "patch_id")
 
 
-def read_document(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Parts of a published result document."""
+def read_document(spark: SparkSession, root: str, schemas=None) -> dict[str, DataFrame]:
+    """Parts of a published result document; give schemas to skip inference."""
     parts = ("summary", "aois", "top_candidates", "all_anomalies")
-    return {p: spark.read.json(f"{root}/{p}") for p in parts}
+    schemas = schemas or {}
+    return {
+        p: (spark.read.schema(schemas[p]) if p in schemas else spark.read).json(f"{root}/{p}")
+        for p in parts
+    }
 
 
 def read_document_file(spark: SparkSession, paths: list[str]) -> dict[str, DataFrame]:
