@@ -22,8 +22,13 @@ def exact_quantiles(
     value: str,
     probs: dict[str, float],
     accuracy: int = 20_000,
+    whole_group_rows: int = 500_000,
 ) -> DataFrame:
-    """One row per group: ``n`` and one column per entry of ``probs``."""
+    """One row per group: ``n`` and one column per entry of ``probs``.
+
+    If no group has more than ``whole_group_rows`` values, the built-in aggregate
+    does it in one pass; otherwise all groups go through the bracketed way.
+    """
     names = list(probs)
     # The sketch is off by at most n / accuracy ranks.  Three times that, on groups
     # of at least ``accuracy`` rows, also covers the rounding of a rank to a row;
@@ -34,6 +39,14 @@ def exact_quantiles(
     base = df.select(*keys, F.col(value).cast("double").alias("__v")).where(
         F.col("__v").isNotNull() & ~F.isnan("__v")
     )
+    sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    if largest <= whole_group_rows:
+        wanted = F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs.values()]))
+        counted = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), wanted.alias("__q"))
+        return counted.select(
+            *keys, "n", *[F.col("__q")[i].alias(name) for i, name in enumerate(names)]
+        )
     sketch = F.percentile_approx("__v", below + above, accuracy)
     brackets = base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"), sketch.alias("__q")

@@ -50,16 +50,43 @@ def top_k_per_group(
 
 
 def sample_per_group(
-    df: DataFrame, keys: list[str], identity: list[str], n: int, seed: int | str = 42
+    df: DataFrame,
+    keys: list[str],
+    identity: list[str],
+    n: int,
+    seed: int | str = 42,
+    counts: DataFrame | None = None,
+    hash_column: str | None = None,
 ) -> DataFrame:
-    """Exactly ``n`` rows of every group (all rows if it has fewer)."""
-    return top_k_per_group(
-        df.withColumn("__hash", seeded_hash(seed, *[F.col(c) for c in identity])),
-        keys,
-        [F.col("__hash")] + [F.col(c) for c in identity],
-        n,
-        salt_by=["__hash"],
-    ).drop("__hash")
+    """Exactly ``n`` rows of every group (all rows if it has fewer), by hash order.
+
+    Group sizes come first.  They tell up to which hash a little more than ``n``
+    rows are expected; the other rows are dropped where they are read, so only
+    about ``n`` rows per group are shuffled and ordered, however large the group.
+    The margin is ten standard deviations, and a shortfall would raise.
+    """
+    h = hash_column or "__hash"
+    rows = df if hash_column else df.withColumn(h, seeded_hash(seed, *[F.col(c) for c in identity]))
+    if counts is None:
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    expected = n + 10.0 * n**0.5 + 100.0
+    share = F.floor(F.least(F.lit(expected) / F.col("__n"), F.lit(1.0)) * 4294967295.0)
+    limits = counts.select(
+        *keys,
+        F.least(F.col("__n"), F.lit(n)).alias("__want"),
+        F.lower(F.lpad(F.hex(share), 8, "0")).alias("__limit"),
+    )
+    near = attach_small(rows, limits, keys, "inner").where(
+        F.substring(h, 1, 8) <= F.col("__limit")
+    )
+    order = W.partitionBy(*keys).orderBy(h, *identity)
+    short = F.raise_error(F.lit("sample fell short of its group")).cast("boolean")
+    return (
+        near.withColumn("__i", F.row_number().over(order))
+        .withColumn("__got", F.count(F.lit(1)).over(W.partitionBy(*keys)))
+        .where(F.when(F.col("__got") < F.col("__want"), short).otherwise(F.col("__i") <= n))
+        .drop("__i", "__got", "__want", "__limit", h)
+    )
 
 
 def ordinal_by_line(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import CHANNELS
 from ..functions.quantiles import exact_quantiles
-from ..functions.ranking import sample_per_group
+from ..functions.ranking import sample_per_group, seeded_hash
 from ..functions.scalars import clip
 from ..session import attach_small, settle
 
@@ -173,30 +173,50 @@ def drop_unusable_dtm(pixels: DataFrame) -> DataFrame:
     )
 
 
-def fill_with_median(pixels: DataFrame, value: str = "dtm", into: str = "filled") -> DataFrame:
-    """Missing pixels take the median of their area; keeps the valid count."""
-    medians = exact_quantiles(pixels, ["aoi"], value, {"__median": 0.5}).withColumnRenamed(
-        "n", "n_valid"
-    )
-    return attach_small(pixels, medians, ["aoi"]).withColumn(
-        into, F.coalesce(F.col(value), F.col("__median"))
-    ).drop("__median")
+def fill_with_median(
+    pixels: DataFrame, value: str = "dtm", into: str = "filled", drop_unusable: bool = False
+) -> DataFrame:
+    """Missing pixels take the median of their area; keeps the valid count.
+
+    ``drop_unusable`` blanks unusable elevation on the way, as
+    ``drop_unusable_dtm`` does, without another pass: the largest value is the
+    quantile at 1.
+    """
+    areas = exact_quantiles(pixels, ["aoi"], value, {"__median": 0.5, "__max": 1.0})
+    if drop_unusable:
+        areas = areas.where((F.col("n") >= MIN_DTM_PIXELS) & (F.col("__max") >= MIN_DTM_MAX))
+    areas = areas.select("aoi", F.col("n").alias("n_valid"), "__median")
+    filled = attach_small(pixels, areas, ["aoi"])
+    if drop_unusable:
+        filled = filled.withColumn(value, F.when(F.col("n_valid").isNotNull(), F.col(value)))
+    return filled.withColumn(into, F.coalesce(F.col(value), F.col("__median"))).drop("__median")
 
 
 # ---- global statistics and normalisation -----------------------------------
 
 
-def unpivot_channels(pixels: DataFrame, channels=CHANNELS) -> DataFrame:
+def unpivot_channels(
+    pixels: DataFrame, channels=CHANNELS, keep: list[str] | None = None
+) -> DataFrame:
     """One row per pixel and channel with a value."""
-    return pixels.unpivot(["aoi", "row", "col"], list(channels), "channel", "value").where(
+    keep = keep or ["aoi", "row", "col"]
+    return pixels.unpivot(keep, list(channels), "channel", "value").where(
         F.col("value").isNotNull() & ~F.isnan("value")
     )
 
 
 def stats_sample(pixels: DataFrame, channels=CHANNELS, per_area: int = 1000, seed=42) -> DataFrame:
     """At most ``per_area`` values per area and channel."""
+    hashed = pixels.withColumn("__hash", seeded_hash(seed, F.col("row"), F.col("col")))
+    long = unpivot_channels(hashed, channels, ["aoi", "row", "col", "__hash"])
+    valid = lambda c: F.count(F.when(~F.isnan(c), F.col(c))).alias(c)
+    counts = (
+        pixels.groupBy("aoi")
+        .agg(*[valid(c) for c in channels])
+        .unpivot(["aoi"], list(channels), "channel", "__n")
+    )
     return sample_per_group(
-        unpivot_channels(pixels, channels), ["aoi", "channel"], ["row", "col"], per_area, seed
+        long, ["aoi", "channel"], ["row", "col"], per_area, seed, counts, "__hash"
     )
 
 
@@ -226,43 +246,32 @@ def global_stats(
         bounds = values.groupBy("channel").agg(q[0].alias("p_low"), q[1].alias("p_high"))
     else:
         bounds = exact_quantiles(values, ["channel"], "value", {"p_low": low, "p_high": high})
-        bounds = bounds.drop("n")
-    clipped = attach_small(values, bounds, ["channel"]).withColumn(
-        "__v", F.greatest(F.least("value", "p_high"), F.col("p_low"))
-    )
-    found = clipped.groupBy("channel").agg(
-        F.avg("__v").alias("mean"),
-        F.stddev_pop("__v").alias("std"),
-        F.max("p_low").alias("p_low"),
-        F.max("p_high").alias("p_high"),
+    # One row per channel name, so these two results are collected and stay tiny.
+    range_of = {r["channel"]: (r["p_low"], r["p_high"]) for r in bounds.collect()}
+    clipped = F.lit(None).cast("double")
+    for c, (a, b) in range_of.items():
+        inside = F.greatest(F.least(F.col("value"), F.lit(b)), F.lit(a))
+        clipped = F.when(F.col("channel") == c, inside).otherwise(clipped)
+    moments = values.groupBy("channel").agg(
+        F.avg(clipped).alias("mean"), F.stddev_pop(clipped).alias("std")
     )
-    names = pixels.sparkSession.createDataFrame([(c,) for c in channels], "channel string")
-    return names.join(found, "channel", "left").select(
-        "channel",
-        F.coalesce("mean", F.lit(0.0)).alias("mean"),
-        F.when(F.coalesce("std", F.lit(1.0)) == 0, 1.0)
-        .otherwise(F.coalesce("std", F.lit(1.0)))
-        .alias("std"),
-        F.coalesce("p_low", F.lit(0.0)).alias("p_low"),
-        F.coalesce("p_high", F.lit(1.0)).alias("p_high"),
-    )
-
-
-def stats_row(stats: DataFrame, channels=CHANNELS) -> Column:
-    """All channel statistics as one struct, usable as a scalar subquery."""
-    entry = F.struct("mean", "std", "p_low", "p_high")
-    return (
-        stats.agg(*[F.max(F.when(F.col("channel") == c, entry)).alias(c) for c in channels])
-        .select(F.struct(*channels).alias("s"))
-        .scalar()
+    found = {r["channel"]: (r["mean"], r["std"] or 1.0) for r in moments.collect()}
+    rows = [(c, *found.get(c, (0.0, 1.0)), *range_of.get(c, (0.0, 1.0))) for c in channels]
+    return pixels.sparkSession.createDataFrame(
+        rows, "channel string, mean double, std double, p_low double, p_high double"
     )
 
 
 def normalize_channels(pixels: DataFrame, stats: DataFrame, channels=CHANNELS) -> DataFrame:
-    """Clip to the percentile range, then z-score; missing stays missing."""
-    at = stats_row(settle(stats, "stats"), channels)
+    """Clip to the percentile range, then z-score; missing stays missing.
+
+    The statistics are one row per channel and enter the plan as literals, so the
+    pixels are neither joined nor shuffled.
+    """
+    at = {r["channel"]: r for r in stats.where(F.col("channel").isin(list(channels))).collect()}
     scaled = {
-        c: (clip(F.col(c), at[c]["p_low"], at[c]["p_high"]) - at[c]["mean"]) / at[c]["std"]
+        c: (clip(F.col(c), F.lit(at[c]["p_low"]), F.lit(at[c]["p_high"])) - at[c]["mean"])
+        / at[c]["std"]
         for c in channels
     }
     return pixels.withColumns(scaled)

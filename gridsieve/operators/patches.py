@@ -11,6 +11,7 @@ from ..config import CHANNELS, PatchGrid
 from ..functions.ranking import ordinal_by_line, sample_per_group
 from ..functions.scalars import array_mean, patch_id, sanitize_array
 from ..schemas import patch_schema
+from ..session import attach_small
 from .terrain import deal_into_blocks
 
 # Corners of a block per axis; a block of corners plus its rim is one task's unit.
@@ -170,9 +171,14 @@ def extract_patches(
 
 
 def number_patches(patches: DataFrame) -> DataFrame:
-    """Add ``ordinal`` in (row, col) order inside each area and the ``patch_id``."""
-    ordered = ordinal_by_line(patches, "aoi", "row", "col")
-    return ordered.withColumn("patch_id", patch_id(F.col("aoi"), F.col("ordinal")))
+    """Add ``ordinal`` in (row, col) order inside each area and the ``patch_id``.
+
+    Positions alone are ordered; the arrays only take part in the last join.
+    """
+    slim = ordinal_by_line(patches.select("aoi", "row", "col"), "aoi", "row", "col")
+    return attach_small(patches, slim, ["aoi", "row", "col"]).withColumn(
+        "patch_id", patch_id(F.col("aoi"), F.col("ordinal"))
+    )
 
 
 def sample_patches(patches: DataFrame, n: int, seed: int | str = 42) -> DataFrame:

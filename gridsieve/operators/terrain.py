@@ -90,13 +90,15 @@ def _spread() -> Column:
 _NINE = [f"n{r}{c}" for r in range(3) for c in range(3)]
 
 
-def terrain_derivatives(pixels: DataFrame, block: int = 256) -> DataFrame:
+def terrain_derivatives(
+    pixels: DataFrame, block: int = 256, drop_unusable: bool = False
+) -> DataFrame:
     """Add ``slope`` (degrees) and ``roughness`` from elevation.
 
     Holes are filled with the area median for the window and restored after it;
     areas with too few valid pixels get no derivative at all.
     """
-    filled = fill_with_median(pixels, "dtm")
+    filled = fill_with_median(pixels, "dtm", drop_unusable=drop_unusable)
     around = neighbours_3x3(filled, "filled", block)
     gx, gy = _gradients()
     keep = F.col("dtm").isNotNull() & (F.col("n_valid") >= MIN_DERIVATIVE_PIXELS)

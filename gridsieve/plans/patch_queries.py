@@ -484,9 +484,7 @@ PIXEL_META = """pm AS (SELECT aoi, min(row) AS zero, max(row) + 16 AS height, ma
 )
 def top_candidates(spark, sf):
     """Raw bands to the twenty best located candidates, all seven channels."""
-    patches = settle(
-        scoring.prepare_patches(tb.pixels(spark, sf), GRID, tb.MIN_VALID, target_patches=None), "patches"
-    )
+    patches = scoring.prepare_patches(tb.pixels(spark, sf), GRID, tb.MIN_VALID, target_patches=None)
     scored = scoring.reconstruction_candidates(patches)
     meta = mosaic.area_extent(patches, P)
     i = F.regexp_extract("aoi", r"AOI_(\d+)", 1).cast("int") * 0.01

@@ -28,12 +28,10 @@ def prepare_pixels(base: DataFrame, clip_percentile=(0.5, 99.5), per_area: int |
     pass both need them and the neighbourhood shuffle is the costly part.
     """
     full = settle(
-        terrain.terrain_derivatives(ch.drop_unusable_dtm(base)).select("aoi", "row", "col", *CHANNELS),
+        terrain.terrain_derivatives(base, drop_unusable=True).select("aoi", "row", "col", *CHANNELS),
         "channels",
     )
-    stats = settle(
-        ch.global_stats(full, CHANNELS, clip_percentile, per_area), "stats"
-    )
+    stats = ch.global_stats(full, CHANNELS, clip_percentile, per_area)
     return ch.normalize_channels(full, stats), stats
 
 
@@ -49,7 +47,7 @@ def prepare_patches(
     cut = pt.extract_patches(normal, grid, min_valid_ratio)
     if target_patches is not None:
         cut = pt.sample_patches(cut, target_patches, seed)
-    return pt.number_patches(cut)
+    return pt.number_patches(settle(cut, "patches"))
 
 
 def reconstruction_candidates(patches: DataFrame, channels=CHANNELS) -> DataFrame:

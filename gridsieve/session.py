@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _local_scratch: dict[str, str] = {}
 
@@ -27,7 +26,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if master and master.startswith("local"):
-        builder = builder.config("spark.ui.enabled", "false")
+        builder = builder.config("spark.ui.enabled", "false").config(
+            "spark.ui.showConsoleProgress", "false"
+        )
     return builder.getOrCreate()
 
 
@@ -64,20 +65,11 @@ def settle(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def attach_small(
-    big: DataFrame,
-    small: DataFrame,
-    on: list[str],
-    how: str = "left",
-    max_rows: int = 1_000_000,
-) -> DataFrame:
+def attach_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join a table that is normally small, e.g. one row per area.
 
-    The small side is settled and counted first.  Up to ``max_rows`` narrow rows
-    it is broadcast and ``big`` is not shuffled; beyond that the join shuffles
-    and adaptive execution splits hot keys.
+    The small side is settled, so the optimizer knows its size in bytes.  Below
+    ``spark.sql.autoBroadcastJoinThreshold`` it is broadcast and ``big`` is not
+    shuffled; above, the join shuffles and adaptive execution splits hot keys.
     """
-    small = settle(small, "small")
-    if small.count() <= max_rows:
-        small = F.broadcast(small)
-    return big.join(small, on, how)
+    return big.join(settle(small, "small"), on, how)
