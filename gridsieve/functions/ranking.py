@@ -55,7 +55,7 @@ def sample_per_group(
     identity: list[str],
     n: int,
     seed: int | str = 42,
-    counts: DataFrame | None = None,
+    limits: DataFrame | None = None,
     hash_column: str | None = None,
 ) -> DataFrame:
     """Exactly ``n`` rows of every group (all rows if it has fewer), by hash order.
@@ -67,15 +67,8 @@ def sample_per_group(
     """
     h = hash_column or "__hash"
     rows = df if hash_column else df.withColumn(h, seeded_hash(seed, *[F.col(c) for c in identity]))
-    if counts is None:
-        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    expected = n + 10.0 * n**0.5 + 100.0
-    share = F.floor(F.least(F.lit(expected) / F.col("__n"), F.lit(1.0)) * 4294967295.0)
-    limits = counts.select(
-        *keys,
-        F.least(F.col("__n"), F.lit(n)).alias("__want"),
-        F.lower(F.lpad(F.hex(share), 8, "0")).alias("__limit"),
-    )
+    if limits is None:
+        limits = hash_limits(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), n)
     near = attach_small(rows, limits, keys, "inner").where(
         F.substring(h, 1, 8) <= F.col("__limit")
     )
@@ -89,6 +82,17 @@ def sample_per_group(
     )
 
 
+def hash_limits(counts: DataFrame, n: int) -> DataFrame:
+    """From group sizes ``__n`` the hash prefix below which ``n`` rows surely fall."""
+    expected = n + 10.0 * n**0.5 + 100.0
+    share = F.floor(F.least(F.lit(expected) / F.col("__n"), F.lit(1.0)) * 4294967295.0)
+    return counts.where(F.col("__n") > 0).select(
+        *[c for c in counts.columns if c != "__n"],
+        F.least(F.col("__n"), F.lit(n)).alias("__want"),
+        F.lower(F.lpad(F.hex(share), 8, "0")).alias("__limit"),
+    )
+
+
 def ordinal_by_line(
     df: DataFrame, key: str, line: str, within: str, name: str = "ordinal"
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import CHANNELS
 from ..functions.quantiles import exact_quantiles
-from ..functions.ranking import sample_per_group, seeded_hash
+from ..functions.ranking import hash_limits, sample_per_group, seeded_hash
 from ..functions.scalars import clip
 from ..session import attach_small, settle
 
@@ -207,16 +207,22 @@ def unpivot_channels(
 
 def stats_sample(pixels: DataFrame, channels=CHANNELS, per_area: int = 1000, seed=42) -> DataFrame:
     """At most ``per_area`` values per area and channel."""
-    hashed = pixels.withColumn("__hash", seeded_hash(seed, F.col("row"), F.col("col")))
-    long = unpivot_channels(hashed, channels, ["aoi", "row", "col", "__hash"])
     valid = lambda c: F.count(F.when(~F.isnan(c), F.col(c))).alias(c)
     counts = (
         pixels.groupBy("aoi")
         .agg(*[valid(c) for c in channels])
         .unpivot(["aoi"], list(channels), "channel", "__n")
     )
+    limits = settle(hash_limits(counts, per_area), "limits")
+    # The widest limit of an area drops most pixels before they are unpivoted.
+    widest = limits.groupBy("aoi").agg(F.max("__limit").alias("__widest"))
+    hashed = pixels.withColumn("__hash", seeded_hash(seed, F.col("row"), F.col("col")))
+    near = attach_small(hashed, widest, ["aoi"], "inner").where(
+        F.substring("__hash", 1, 8) <= F.col("__widest")
+    )
+    long = unpivot_channels(near, channels, ["aoi", "row", "col", "__hash"])
     return sample_per_group(
-        long, ["aoi", "channel"], ["row", "col"], per_area, seed, counts, "__hash"
+        long, ["aoi", "channel"], ["row", "col"], per_area, seed, limits, "__hash"
     )
 
 

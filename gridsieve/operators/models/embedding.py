@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ...config import CHANNELS, PatchGrid
 from ...functions.scalars import array_mean
+from ...schemas import patch_schema
 from ..similarity import matrix_as_rows, rows_as_matrix
 
 
@@ -70,39 +71,75 @@ def user_model(
 
 
 def mean_patch(patches: DataFrame, channels=CHANNELS) -> DataFrame:
-    """Mean of every pixel position over all patches: ``(pos, <channels>)``.
-
-    Each batch is summed before anything is shuffled, so the exchange carries one
-    vector per batch and channel instead of one value per pixel.
-    """
+    """Mean of every pixel position over a patch table: ``(pos, <channels>)``."""
     names = list(channels)
-    fields = [T.StructField("n", T.ArrayType(T.StructType(
-        [T.StructField(c, T.DoubleType()) for c in names for c in (f"{c}_s", f"{c}_n")]
-    )))]
-    schema = T.StructType(fields)
 
-    def batch_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = None
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack([rows_as_matrix(batch.column(i)) for i in range(len(names))], axis=1)
+                yield pa.RecordBatch.from_pydict(_position_sums(x))
+
+    return _finish_means(patches.select(*names).mapInArrow(sums, _SUMS), names)
+
+
+def mean_patch_of_pixels(
+    pixels: DataFrame, grid: PatchGrid, min_valid_ratio: float = 0.7, channels=CHANNELS
+) -> DataFrame:
+    """The same mean straight from pixels; no patch is stored."""
+    from ..patches import map_patches
+
+    flat = lambda x: _position_sums(x.reshape(len(x), x.shape[1], -1))
+    partial = map_patches(
+        pixels, grid, flat, _SUMS, min_valid_ratio, channels, per_patch=False
+    )
+    return _finish_means(partial, list(channels))
+
+
+_SUMS = T.StructType(
+    [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("total", "present")]
+)
+
+
+def _position_sums(x: np.ndarray) -> dict[str, pa.Array]:
+    """Sum and count per channel and position over the first axis, as one row."""
+    total, present = np.zeros(x.shape[1:]), np.zeros(x.shape[1:])
+    for patch in x:
+        valid = np.isfinite(patch)
+        np.add(total, patch, out=total, where=valid)
+        present += valid
+    parts = {"total": total, "present": present}
+    return {n: matrix_as_rows(a.reshape(1, -1)) for n, a in parts.items()}
+
+
+def _finish_means(partial: DataFrame, names: list[str]) -> DataFrame:
+    """Add up block sums, first inside each task, so one row per task is exploded."""
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.stack([rows_as_matrix(batch.column(i)) for i in range(len(names))], axis=1)
-            here = (np.nansum(x, axis=0), np.isfinite(x).sum(axis=0).astype(float))
-            totals = here if totals is None else (totals[0] + here[0], totals[1] + here[1])
-        if totals is None:
-            return
-        columns, labels = [], []
-        for i, name in enumerate(names):
-            columns += [pa.array(totals[0][i]), pa.array(totals[1][i])]
-            labels += [f"{name}_s", f"{name}_n"]
-        cells = pa.StructArray.from_arrays(columns, labels)
-        offsets = pa.array([0, len(cells)], pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, cells)], ["n"])
-
-    partial = patches.select(*names).mapInArrow(batch_sums, schema)
-    cells = partial.select(F.posexplode("n").alias("pos", "c"))
+            if batch.num_rows:
+                here = [rows_as_matrix(batch.column(i)).sum(axis=0) for i in (0, 1)]
+                sums = here if sums is None else [a + b for a, b in zip(sums, here)]
+        if sums is not None:
+            yield pa.RecordBatch.from_arrays(
+                [matrix_as_rows(a.reshape(1, -1)) for a in sums], ["total", "present"]
+            )
+
+    cells = (
+        partial.mapInArrow(add_up, _SUMS)
+        .select(F.posexplode(F.arrays_zip("total", "present")).alias("at", "c"), F.size("total").alias("n"))
+        .select(
+            (F.col("at") % (F.col("n") / len(names)).cast("int")).alias("pos"),
+            F.floor(F.col("at") / (F.col("n") / len(names))).cast("int").alias("channel"),
+            "c.total",
+            "c.present",
+        )
+    )
+    pick = lambda i, what: F.sum(F.when(F.col("channel") == i, F.col(what)))
     means = [
-        (F.sum(f"c.{c}_s") / F.nullif(F.sum(f"c.{c}_n"), F.lit(0.0))).alias(c) for c in names
+        (pick(i, "total") / F.nullif(pick(i, "present"), F.lit(0.0))).alias(c)
+        for i, c in enumerate(names)
     ]
     return cells.groupBy("pos").agg(*means)
 
@@ -110,26 +147,46 @@ def mean_patch(patches: DataFrame, channels=CHANNELS) -> DataFrame:
 def mean_patch_error(
     patches: DataFrame, template: DataFrame, channels=CHANNELS, into: str = "mse"
 ) -> DataFrame:
-    """Mean squared distance of a patch from the mean patch over its valid pixels.
+    """Mean squared distance of a patch from the mean patch over its valid pixels."""
+    ref = _shared_template(template, channels)
 
-    The template has one row per pixel of a patch, a size fixed by the geometry.
-    """
+    @F.arrow_udf("double")
+    def error(*arrays: pa.Array) -> pa.Array:
+        return _mean_square_gap(np.stack([rows_as_matrix(a) for a in arrays], axis=1), ref.value)
+
+    return patches.withColumn(into, error(*[F.col(c) for c in channels]))
+
+
+def mean_patch_error_of_pixels(
+    pixels: DataFrame, grid: PatchGrid, template: DataFrame, min_valid_ratio: float = 0.7,
+    channels=CHANNELS,
+) -> DataFrame:
+    """Rows ``(aoi, row, col, n_valid, mse)`` straight from pixels."""
+    from ..patches import map_patches
+
+    ref = _shared_template(template, channels)
+    flat = lambda x: {"mse": _mean_square_gap(x.reshape(len(x), x.shape[1], -1), ref.value)}
+    schema = T.StructType(patch_schema(()).fields + [T.StructField("mse", T.DoubleType())])
+    return map_patches(pixels, grid, flat, schema, min_valid_ratio, channels)
+
+
+def _shared_template(template: DataFrame, channels):
+    """The mean patch for all tasks; one row per pixel of a patch, fixed by the geometry."""
     table = template.orderBy("pos").toArrow()
-    ref = patches.sparkSession.sparkContext.broadcast(
+    return template.sparkSession.sparkContext.broadcast(
         np.stack([table.column(c).to_numpy().astype(float) for c in channels])
     )
 
-    @F.arrow_udf("double")
-    def error(*arrays: pa.Array) -> pa.Array:
-        x = np.stack([rows_as_matrix(a) for a in arrays], axis=1)
-        gap = (x - ref.value[None, :, :]) ** 2
-        gap = gap.reshape(len(x), -1)
-        valid = np.isfinite(gap)
-        total = np.where(valid, gap, 0.0).sum(axis=1)
-        count = valid.sum(axis=1)
-        return pa.array(np.where(count > 0, total / np.maximum(count, 1), np.nan), from_pandas=True)
 
-    return patches.withColumn(into, error(*[F.col(c) for c in channels]))
+def _mean_square_gap(x: np.ndarray, ref: np.ndarray) -> pa.Array:
+    out = np.full(len(x), np.nan)
+    # One patch at a time stays in the processor cache.
+    for n, patch in enumerate(x):
+        gap = (patch - ref).ravel()
+        gap = gap[np.isfinite(gap)]
+        if len(gap):
+            out[n] = np.square(gap).sum() / len(gap)
+    return pa.array(out, from_pandas=True)
 
 
 # ---- linear autoencoder ----------------------------------------------------

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import CHANNELS, PatchGrid
 from ..functions.ranking import ordinal_by_line, sample_per_group
@@ -108,18 +113,24 @@ def mean_pool_channels(
     return kept.select(*out)
 
 
-def extract_patches(
+def map_patches(
     pixels: DataFrame,
     grid: PatchGrid,
+    fn: Callable[[np.ndarray], dict[str, pa.Array]],
+    schema: T.StructType,
     min_valid_ratio: float = 0.7,
     channels=CHANNELS,
+    per_patch: bool = True,
     corners_per_block: int = CORNERS_PER_BLOCK,
 ) -> DataFrame:
-    """Patch table with one row-major array per channel.
+    """Run ``fn`` on the patches of each block without ever storing them.
 
     Pixels go to blocks of patch corners with a rim of ``patch - stride`` lines.
     That copies about a quarter of them at the default geometry instead of
-    sending each pixel to all four patches, and the patches leave the same task.
+    sending each pixel to all four patches it belongs to.  ``fn`` receives a
+    ``(patches, channels, patch, patch)`` array, NaN where a pixel is missing, and
+    returns further columns.  With ``per_patch`` they follow ``aoi, row, col,
+    n_valid``; otherwise the columns stand alone, e.g. one row of sums per block.
     The pixel table must be dense; NDVI decides which patches are kept.
     """
     p, s = grid.patch, grid.stride
@@ -127,38 +138,43 @@ def extract_patches(
     cols = list(channels)
     gate = cols.index("ndvi")
     need = min_valid_ratio * p * p
-    schema = patch_schema(cols)
 
     def one_block(table: pa.Table) -> pa.Table:
         r = table.column("row").to_numpy()
         c = table.column("col").to_numpy()
-        br = table.column("blk_r")[0].as_py()
-        bc = table.column("blk_c")[0].as_py()
-        top, left = br * block, bc * block
-        height, width = int(r.max()) - top + 1, int(c.max()) - left + 1
-        corners = [
-            (y, x)
-            for y in range(0, min(block, height - p + 1), s)
-            for x in range(0, min(block, width - p + 1), s)
-        ]
-        stack = np.full((len(cols), max(height, 0), max(width, 0)), np.nan)
+        aoi = table.column("aoi")[0].as_py()
+        top = table.column("blk_r")[0].as_py() * block
+        left = table.column("blk_c")[0].as_py() * block
+        # A rim-only block, or one cut short by the raster edge, has fewer corners.
+        tall = max(int(r.max()) - top + 1, p)
+        broad = max(int(c.max()) - left + 1, p)
+        full = int(r.max()) - top + 1 >= p and int(c.max()) - left + 1 >= p
+        stack = np.full((len(cols), tall, broad), np.nan)
         for k, name in enumerate(cols):
             stack[k, r - top, c - left] = table.column(name).to_numpy()
-        cut = [stack[:, y : y + p, x : x + p] for y, x in corners]
-        counts = [int(np.isfinite(t[gate]).sum()) for t in cut]
-        kept = [n for n, valid in enumerate(counts) if valid >= need]
-        offsets = pa.array(np.arange(len(kept) + 1, dtype="int32") * (p * p))
-        arrays = [
-            pa.array([table.column("aoi")[0].as_py()] * len(kept), pa.string()),
-            pa.array([top + corners[n][0] for n in kept], pa.int32()),
-            pa.array([left + corners[n][1] for n in kept], pa.int32()),
-            pa.array([counts[n] for n in kept], pa.int64()),
-        ]
-        for k in range(len(cols)):
-            flat = np.concatenate([cut[n][k].ravel() for n in kept]) if kept else np.zeros(0)
-            arrays.append(pa.ListArray.from_arrays(offsets, pa.array(flat, from_pandas=True)))
-        return pa.Table.from_arrays(arrays, names=[f.name for f in schema])
-
+        ys = np.arange(0, min(block, tall - p + 1), s)
+        xs = np.arange(0, min(block, broad - p + 1), s)
+        present = sliding_window_view(np.isfinite(stack[gate]), (p, p))[ys][:, xs]
+        counts = present.sum(axis=(2, 3)).ravel()
+        kept = np.flatnonzero((counts >= need) & full)
+        if not len(kept):
+            return schema_arrow.empty_table()
+        yy, xx = np.divmod(kept, len(xs))
+        x = np.empty((len(kept), len(cols), p, p))
+        for n, (y, z) in enumerate(zip(ys[yy], xs[xx])):
+            x[n] = stack[:, y : y + p, z : z + p]
+        data = fn(x)
+        if per_patch:
+            data = {
+                "aoi": pa.array([aoi] * len(kept), pa.string()),
+                "row": pa.array((top + ys[yy]).astype("int32")),
+                "col": pa.array((left + xs[xx]).astype("int32")),
+                "n_valid": pa.array(counts[kept].astype("int64")),
+                **data,
+            }
+        return pa.table([data[f.name] for f in schema_arrow], names=schema_arrow.names)
+
+    schema_arrow = to_arrow_schema(schema)
     # A block reads no line before its corners and patch - stride lines after them.
     dealt = deal_into_blocks(
         pixels.select("aoi", "row", "col", *[F.col(n).cast("double") for n in cols]),
@@ -170,6 +186,28 @@ def extract_patches(
     return dealt.groupBy("aoi", "blk_r", "blk_c").applyInArrow(one_block, schema)
 
 
+def extract_patches(
+    pixels: DataFrame,
+    grid: PatchGrid,
+    min_valid_ratio: float = 0.7,
+    channels=CHANNELS,
+    corners_per_block: int = CORNERS_PER_BLOCK,
+) -> DataFrame:
+    """Patch table with one row-major array per channel, for models that need it."""
+    cols = list(channels)
+    size = grid.pixels
+
+    def arrays(x: np.ndarray) -> dict[str, pa.Array]:
+        offsets = pa.array(np.arange(len(x) + 1, dtype="int32") * size)
+        flat = lambda k: pa.array(np.ascontiguousarray(x[:, k]).ravel(), from_pandas=True)
+        return {n: pa.ListArray.from_arrays(offsets, flat(k)) for k, n in enumerate(cols)}
+
+    return map_patches(
+        pixels, grid, arrays, patch_schema(cols), min_valid_ratio, cols,
+        corners_per_block=corners_per_block,
+    )
+
+
 def number_patches(patches: DataFrame) -> DataFrame:
     """Add ``ordinal`` in (row, col) order inside each area and the ``patch_id``.
 

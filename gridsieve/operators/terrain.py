@@ -44,7 +44,7 @@ def deal_into_blocks(
     return dealt.repartition("aoi", "blk_r", "blk_c") if partition else dealt
 
 
-def neighbours_3x3(pixels: DataFrame, value: str, block: int = 256) -> DataFrame:
+def neighbours_3x3(pixels: DataFrame, value: str, block: int = 128) -> DataFrame:
     """Add the nine values ``n00..n22`` around each pixel, edges repeated.
 
     Needs a dense grid.  Both window passes reuse the block partitioning.
@@ -79,19 +79,21 @@ def _gradients() -> tuple[Column, Column]:
     return gx, gy
 
 
-def _spread() -> Column:
-    """Population deviation of the nine neighbours, two-pass."""
-    cells = [F.col(f"n{r}{c}") for r in range(3) for c in range(3)]
-    mean = sum(cells[1:], cells[0]) / 9.0
-    squares = [(c - mean) * (c - mean) for c in cells]
-    return F.sqrt(sum(squares[1:], squares[0]) / 9.0)
+def _spread_sums() -> tuple[Column, Column]:
+    """Sum and sum of squares of the neighbours' differences from the centre.
+
+    Differences from the centre keep the later subtraction exact for flat ground.
+    """
+    gaps = [F.col(f"n{r}{c}") - F.col("n11") for r in range(3) for c in range(3) if (r, c) != (1, 1)]
+    squares = [g * g for g in gaps]
+    return sum(gaps[1:], gaps[0]), sum(squares[1:], squares[0])
 
 
 _NINE = [f"n{r}{c}" for r in range(3) for c in range(3)]
 
 
 def terrain_derivatives(
-    pixels: DataFrame, block: int = 256, drop_unusable: bool = False
+    pixels: DataFrame, block: int = 128, drop_unusable: bool = False
 ) -> DataFrame:
     """Add ``slope`` (degrees) and ``roughness`` from elevation.
 
@@ -101,16 +103,25 @@ def terrain_derivatives(
     filled = fill_with_median(pixels, "dtm", drop_unusable=drop_unusable)
     around = neighbours_3x3(filled, "filled", block)
     gx, gy = _gradients()
+    s1, s2 = _spread_sums()
     keep = F.col("dtm").isNotNull() & (F.col("n_valid") >= MIN_DERIVATIVE_PIXELS)
-    return around.withColumns(
-        {
-            "slope": F.when(keep, F.degrees(F.atan(F.sqrt(gx * gx + gy * gy)))),
-            "roughness": F.when(keep, _spread()),
-        }
-    ).drop(*_NINE, "filled", "n_valid")
+    g = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))
+    variance = F.greatest((F.col("s2") - F.col("s1") * F.col("s1") / 9.0) / 9.0, F.lit(0.0))
+    # Sums first, in a projection of their own: each is computed once and the
+    # generated method stays short enough to be compiled.
+    return (
+        around.withColumns({"gx": gx, "gy": gy, "s1": s1, "s2": s2})
+        .withColumns(
+            {
+                "slope": F.when(keep, F.degrees(F.atan(g))),
+                "roughness": F.when(keep, F.sqrt(variance)),
+            }
+        )
+        .drop(*_NINE, "gx", "gy", "s1", "s2", "filled", "n_valid")
+    )
 
 
-def hillshade(pixels: DataFrame, block: int = 256) -> DataFrame:
+def hillshade(pixels: DataFrame, block: int = 128) -> DataFrame:
     """Mean shading from four directions in 0..255, plus its unscaled value."""
     filled = fill_with_median(pixels, "dtm")
     around = neighbours_3x3(filled, "filled", block)

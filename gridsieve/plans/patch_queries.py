@@ -292,9 +292,13 @@ def _normal_patches(spark, sf):
 )
 def recon_mean_mse(spark, sf):
     """Error of each patch against the mean patch, the zero-component autoencoder."""
-    cut = _normal_patches(spark, sf)
-    out = embedding.mean_patch_error(cut, embedding.mean_patch(cut, BASE), BASE)
-    return rounded(out.select("aoi", "row", "col", "n_valid", "mse"))
+    px = tb.pixels(spark, sf)
+    normal = settle(ch.normalize_channels(px, ch.global_stats(px, BASE), BASE), "normal")
+    return rounded(
+        scoring.scored_patches(normal, GRID, tb.MIN_VALID, BASE).select(
+            "aoi", "row", "col", "n_valid", "mse"
+        )
+    )
 
 
 @query(
@@ -484,9 +488,9 @@ PIXEL_META = """pm AS (SELECT aoi, min(row) AS zero, max(row) + 16 AS height, ma
 )
 def top_candidates(spark, sf):
     """Raw bands to the twenty best located candidates, all seven channels."""
-    patches = scoring.prepare_patches(tb.pixels(spark, sf), GRID, tb.MIN_VALID, target_patches=None)
-    scored = scoring.reconstruction_candidates(patches)
-    meta = mosaic.area_extent(patches, P)
+    normal, _ = scoring.prepare_pixels(tb.pixels(spark, sf))
+    scored = scoring.scored_patches(normal, GRID, tb.MIN_VALID)
+    meta = mosaic.area_extent(scored, P)
     i = F.regexp_extract("aoi", r"AOI_(\d+)", 1).cast("int") * 0.01
     best = scored.where("score >= 0.5").orderBy(F.desc("mse"), "patch_id").limit(20)
     placed = best.join(meta, "aoi").withColumns({"r": F.col("row") + 8, "c": F.col("col") + 8})
@@ -571,13 +575,13 @@ def mosaic_weighted(spark, sf):
              "ex AS (SELECT aoi, (max(r0) + 16) * (max(c0) + 16) AS area FROM ok GROUP BY aoi)"],
             "SELECT aoi, count(*) AS covered, count(*) / any_value(CAST(area AS DOUBLE)) * 100 AS coverage_pct, "
             "avg(weight) AS mean_overlap FROM mo JOIN ex USING (aoi) GROUP BY aoi",
-            "aoi, covered", "coverage_pct, mean_overlap"),
+            "aoi, covered", "coverage_pct, mean_overlap", places=7),
 )
 def mosaic_coverage(spark, sf):
     cut = _normal_patches(spark, sf)
     cells = pt.explode_patches(cut, P, BASE).select("aoi", "row", "col", "pr", "pc", "ndvi")
     whole = mosaic.mosaic_weighted(cells, P, ["ndvi"])
-    return rounded(mosaic.mosaic_coverage(whole, mosaic.area_extent(cut, P)))
+    return rounded(mosaic.mosaic_coverage(whole, mosaic.area_extent(cut, P)), 7)
 
 
 @query(

@@ -121,12 +121,12 @@ def rnd(expr: str, n: int = 6) -> str:
     return f"CASE WHEN {value} = 0 THEN CAST(0 AS DOUBLE) ELSE {value} END"
 
 
-def compose(ctes, body: str, plain: str = "", rounded: str = "", tail: str = "") -> str:
+def compose(ctes, body: str, plain: str = "", rounded: str = "", places: int = 6) -> str:
     """``WITH ctes SELECT plain, round(rounded) FROM (body)``."""
     cols = [c.strip() for c in plain.split(",") if c.strip()]
-    cols += [f"{rnd(c.strip())} AS {c.strip()}" for c in rounded.split(",") if c.strip()]
+    cols += [f"{rnd(c.strip(), places)} AS {c.strip()}" for c in rounded.split(",") if c.strip()]
     head = f"WITH {', '.join(ctes)} " if ctes else ""
-    return f"{head}SELECT {', '.join(cols)} FROM ({body}) q {tail}".strip()
+    return f"{head}SELECT {', '.join(cols)} FROM ({body}) q"
 
 
 def query(name: str, sql: str | None = None):
@@ -143,11 +143,15 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def rounded(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """All double columns to six places, as the SQL side does."""
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """All double columns to six places, as the SQL side does.
+
+    A value that is an exact multiple of half a unit in the last place could go
+    either way in the two engines; such queries ask for one place more.
+    """
     return df.select(
         *[
-            F.round(c, 6).alias(c) if t == "double" and c not in keep else F.col(c)
+            F.round(c, places).alias(c) if t == "double" else F.col(c)
             for c, t in df.dtypes
         ]
     )

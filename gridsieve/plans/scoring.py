@@ -51,12 +51,27 @@ def prepare_patches(
 
 
 def reconstruction_candidates(patches: DataFrame, channels=CHANNELS) -> DataFrame:
-    """Score each patch by its distance from the mean patch."""
+    """Score each patch of a patch table by its distance from the mean patch."""
     template = embedding.mean_patch(patches, channels)
     scored = embedding.mean_patch_error(patches, template, channels)
     return scored.drop(*channels).withColumn("score", reconstruction_score(F.col("mse")))
 
 
+def scored_patches(
+    normal: DataFrame, grid: PatchGrid, min_valid_ratio: float = 0.7, channels=CHANNELS
+) -> DataFrame:
+    """The same scores straight from normalised pixels, with patch ids.
+
+    Patches overlap, so storing them would quadruple the pixels.  Two passes over
+    the pixels, one for the mean patch and one for the errors, store nothing but
+    one narrow row per patch.
+    """
+    template = embedding.mean_patch_of_pixels(normal, grid, min_valid_ratio, channels)
+    errors = embedding.mean_patch_error_of_pixels(normal, grid, template, min_valid_ratio, channels)
+    scored = errors.withColumn("score", reconstruction_score(F.col("mse")))
+    return pt.number_patches(settle(scored, "scored"))
+
+
 def offline_scores(
     patches: DataFrame,
     sites: DataFrame,

@@ -145,3 +145,28 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("props").alias("results"),
         F.col("ts").alias("created_at"),
     )
+
+
+def scaled_pixels(
+    spark: SparkSession, sf_dir: str, side: int = 512, copies: int = 20
+) -> DataFrame:
+    """Base channels of ``copies`` times as many pixels on ``side x side`` areas.
+
+    Each copy of an event is a pixel of its own with a slightly changed value; the
+    last, incomplete area is kept.  Serves to measure throughput at the default
+    patch geometry.
+    """
+    base = pixels(spark, sf_dir).repartition("row")
+    wide = base.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    old = (
+        F.substring("aoi", 5, 8).cast("long") * 2500 + F.col("row") * 50 + F.col("col")
+    )
+    at = old * copies + F.col("copy")
+    cell = at % (side * side)
+    return wide.select(
+        aoi_name(F.floor(at / float(side * side))).alias("aoi"),
+        F.floor(cell / float(side)).cast("int").alias("row"),
+        (cell % side).cast("int").alias("col"),
+        (F.col("dtm") + F.col("copy") * 0.01).alias("dtm"),
+        *BASE_CHANNELS[1:],
+    )

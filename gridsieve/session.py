@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import types as T
 
 _local_scratch: dict[str, str] = {}
 
@@ -20,14 +21,17 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None)
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(32 * 1024 * 1024))
     )
     if master:
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if master and master.startswith("local"):
-        builder = builder.config("spark.ui.enabled", "false").config(
-            "spark.ui.showConsoleProgress", "false"
+        builder = (
+            builder.config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
+            .config("spark.driver.memory", os.environ.get("GRIDSIEVE_LOCAL_MEMORY", "8g"))
         )
     return builder.getOrCreate()
 
@@ -54,6 +58,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), "gridsieve", f"{label}-{uuid.uuid4().hex}")
 
 
+# Rows with arrays can be hundreds of kilobytes.  The Parquet reader decodes up to
+# 4096 rows of a row group at once, so their row groups are kept small.
+WIDE_ROW_GROUP_BYTES = 8 * 1024 * 1024
+
+
+def sized_row_groups(df: DataFrame) -> DataFrameWriter:
+    """A writer whose row groups bound what a reader holds at a time."""
+    wide = any(isinstance(f.dataType, T.ArrayType) for f in df.schema.fields)
+    return df.write.option("parquet.block.size", WIDE_ROW_GROUP_BYTES) if wide else df.write
+
+
 def settle(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -61,7 +76,7 @@ def settle(df: DataFrame, label: str = "table") -> DataFrame:
     the true size of the table.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    sized_row_groups(df).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

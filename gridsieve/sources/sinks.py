@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import CHANNELS, MATRIX_COLUMNS, UNIFIED_COLUMNS
 from ..operators.results import csv_report, geojson_features, geojson_lines, json_report
+from ..session import sized_row_groups
 
 # Lines of patches that share one output task; spreads a dominant area.
 BAND_ROWS = 4096
@@ -16,8 +17,8 @@ MAX_RECORDS_PER_FILE = 100_000
 def _by_area(rows: DataFrame, path: str, mode: str) -> None:
     band = F.floor(F.col("row") / F.lit(float(BAND_ROWS)))
     (
-        rows.repartition("aoi", band)
-        .write.mode(mode)
+        sized_row_groups(rows.repartition("aoi", band))
+        .mode(mode)
         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
         .partitionBy("aoi")
         .parquet(path)
