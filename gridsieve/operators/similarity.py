@@ -9,7 +9,6 @@ anywhere whole.  Only the best match per patch and block leaves a task.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,22 +136,21 @@ def _match_blocks(
     )
     kind = patches.schema[key].dataType.simpleString()
 
-    def one_pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"key": [], "best_idx": [], "score": []})
-        b = b.sort_values("idx")
-        scores = _score(np.stack(a["vec"]).astype(float), np.stack(b["ref"]).astype(float), metric, eps)
-        at = scores.argmax(axis=1)
-        return pd.DataFrame(
-            {
-                "key": a["key"].to_numpy(),
-                "best_idx": b["idx"].to_numpy()[at],
-                "score": scores[np.arange(len(at)), at],
-            }
-        )
+    def one_pair(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            ids, top = np.zeros(0, dtype="int64"), np.zeros(0)
+            a = a.slice(0, 0)
+        else:
+            b = b.sort_by("idx")
+            scores = _score(
+                rows_as_matrix(a.column("vec")), rows_as_matrix(b.column("ref")), metric, eps
+            )
+            at = scores.argmax(axis=1)
+            ids, top = b.column("idx").to_numpy()[at], scores[np.arange(len(at)), at]
+        return pa.table({"key": a.column("key"), "best_idx": pa.array(ids), "score": pa.array(top)})
 
     met = left.groupBy("pb", "sb").cogroup(right.groupBy("pb", "sb"))
-    partial = met.applyInPandas(one_pair, f"key {kind}, best_idx bigint, score double")
+    partial = met.applyInArrow(one_pair, f"key {kind}, best_idx bigint, score double")
     best = F.max(F.struct("score", (-F.col("best_idx")).alias("neg")))
     return (
         partial.groupBy("key")

@@ -8,7 +8,7 @@ raster or area size, bounds what a task holds, so a dominant area spreads evenly
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -195,27 +195,30 @@ def separable_filter(
         pixels.select("aoi", "row", "col", value), block, radius, radius, partition=False
     )
 
-    def one_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        aoi, br, bc = pdf["aoi"].iat[0], int(pdf["blk_r"].iat[0]), int(pdf["blk_c"].iat[0])
-        r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+    def one_block(table: pa.Table) -> pa.Table:
+        aoi, br, bc = (table.column(n)[0].as_py() for n in ("aoi", "blk_r", "blk_c"))
+        r, c = table.column("row").to_numpy(), table.column("col").to_numpy()
         r0, r1, c0, c1 = r.min(), r.max(), c.min(), c.max()
         grid = np.zeros((r1 - r0 + 1, c1 - c0 + 1))
-        grid[r - r0, c - c0] = pdf[value].to_numpy()
+        grid[r - r0, c - c0] = table.column(value).to_numpy()
         rows = np.arange(br * block, min((br + 1) * block, r1 + 1))
         cols = np.arange(bc * block, min((bc + 1) * block, c1 + 1))
         if not len(rows) or not len(cols):
-            return pd.DataFrame({"aoi": [], "row": [], "col": [], into: []})
-        out = _line_weights(r0, r1, rows, kernel) @ grid @ _line_weights(c0, c1, cols, kernel).T
-        return pd.DataFrame(
+            # Only the rim of a block beyond the raster edge.
+            rows, cols, out = rows[:0], cols[:0], np.zeros(0)
+        else:
+            down = _line_weights(r0, r1, rows, kernel)
+            out = down @ grid @ _line_weights(c0, c1, cols, kernel).T
+        return pa.table(
             {
-                "aoi": aoi,
-                "row": np.repeat(rows, len(cols)).astype("int32"),
-                "col": np.tile(cols, len(rows)).astype("int32"),
-                into: out.ravel(),
+                "aoi": pa.array([aoi] * out.size, pa.string()),
+                "row": pa.array(np.repeat(rows, len(cols)).astype("int32")),
+                "col": pa.array(np.tile(cols, len(rows)).astype("int32")),
+                into: pa.array(out.ravel()),
             }
         )
 
-    return dealt.groupBy("aoi", "blk_r", "blk_c").applyInPandas(
+    return dealt.groupBy("aoi", "blk_r", "blk_c").applyInArrow(
         one_block, f"aoi string, row int, col int, {into} double"
     )
 
