@@ -217,7 +217,7 @@ def stats_sample(pixels: DataFrame, channels=CHANNELS, per_area: int = 1000, see
     # The widest limit of an area drops most pixels before they are unpivoted.
     widest = limits.groupBy("aoi").agg(F.max("__limit").alias("__widest"))
     hashed = pixels.withColumn("__hash", seeded_hash(seed, F.col("row"), F.col("col")))
-    near = attach_small(hashed, widest, ["aoi"], "inner").where(
+    near = hashed.join(widest, "aoi").where(
         F.substring("__hash", 1, 8) <= F.col("__widest")
     )
     long = unpivot_channels(near, channels, ["aoi", "row", "col", "__hash"])

@@ -208,6 +208,13 @@ def extract_patches(
     )
 
 
+def number_rows(scored: DataFrame) -> DataFrame:
+    """Ordinal and id for narrow rows, which can take part in the ordering."""
+    return ordinal_by_line(scored, "aoi", "row", "col").withColumn(
+        "patch_id", patch_id(F.col("aoi"), F.col("ordinal"))
+    )
+
+
 def number_patches(patches: DataFrame) -> DataFrame:
     """Add ``ordinal`` in (row, col) order inside each area and the ``patch_id``.
 

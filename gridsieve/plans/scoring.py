@@ -69,7 +69,7 @@ def scored_patches(
     template = embedding.mean_patch_of_pixels(normal, grid, min_valid_ratio, channels)
     errors = embedding.mean_patch_error_of_pixels(normal, grid, template, min_valid_ratio, channels)
     scored = errors.withColumn("score", reconstruction_score(F.col("mse")))
-    return pt.number_patches(settle(scored, "scored"))
+    return pt.number_rows(settle(scored, "scored"))
 
 
 def offline_scores(

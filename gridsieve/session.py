@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import types as T
 
 _local_scratch: dict[str, str] = {}
+_settled: set[int] = set()
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -77,7 +79,10 @@ def settle(df: DataFrame, label: str = "table") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     sized_row_groups(df).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _settled.add(id(table))
+    weakref.finalize(table, _settled.discard, id(table))
+    return table
 
 
 def attach_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
@@ -87,4 +92,5 @@ def attach_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "le
     ``spark.sql.autoBroadcastJoinThreshold`` it is broadcast and ``big`` is not
     shuffled; above, the join shuffles and adaptive execution splits hot keys.
     """
-    return big.join(settle(small, "small"), on, how)
+    known = small if id(small) in _settled else settle(small, "small")
+    return big.join(known, on, how)
