@@ -563,10 +563,10 @@ def _clean_errors(spark, sf):
 @query(
     "mosaic_weighted",
     compose([*NORMAL, MEANS, BLEND.replace("pow(ndvi - m_ndvi, 2) AS e", "coalesce(pow(ndvi - m_ndvi, 2), 0) AS e")],
-            "SELECT * FROM mo", "aoi, row, col", "weight, squared_error"),
+            "SELECT * FROM mo", "aoi, row, col", "weight, squared_error", places=8),
 )
 def mosaic_weighted(spark, sf):
-    return rounded(mosaic.mosaic_weighted(_clean_errors(spark, sf), P, ["squared_error"]))
+    return rounded(mosaic.mosaic_weighted(_clean_errors(spark, sf), P, ["squared_error"]), 8)
 
 
 @query(
@@ -575,13 +575,13 @@ def mosaic_weighted(spark, sf):
              "ex AS (SELECT aoi, (max(r0) + 16) * (max(c0) + 16) AS area FROM ok GROUP BY aoi)"],
             "SELECT aoi, count(*) AS covered, count(*) / any_value(CAST(area AS DOUBLE)) * 100 AS coverage_pct, "
             "avg(weight) AS mean_overlap FROM mo JOIN ex USING (aoi) GROUP BY aoi",
-            "aoi, covered", "coverage_pct, mean_overlap", places=7),
+            "aoi, covered", "coverage_pct, mean_overlap", places=9),
 )
 def mosaic_coverage(spark, sf):
     cut = _normal_patches(spark, sf)
     cells = pt.explode_patches(cut, P, BASE).select("aoi", "row", "col", "pr", "pc", "ndvi")
     whole = mosaic.mosaic_weighted(cells, P, ["ndvi"])
-    return rounded(mosaic.mosaic_coverage(whole, mosaic.area_extent(cut, P)), 7)
+    return rounded(mosaic.mosaic_coverage(whole, mosaic.area_extent(cut, P)), 9)
 
 
 @query(

@@ -147,7 +147,7 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """All double columns to six places, as the SQL side does.
 
     A value that is an exact multiple of half a unit in the last place could go
-    either way in the two engines; such queries ask for one place more.
+    either way in the two engines; such queries ask for more places.
     """
     return df.select(
         *[
