@@ -172,7 +172,7 @@ def area_batch(scores: DataFrame, start: int, end: int, threshold: float = 0.5)
     first = scores.select("aoi").distinct().orderBy("aoi").limit(end + 1)
     position = F.row_number().over(W.orderBy("aoi")) - 1
     chosen = first.withColumn("__at", position).where(F.col("__at") >= start).select("aoi")
-    picked = scores.join(F.broadcast(chosen), "aoi", "left_semi")
+    picked = scores.join(chosen, "aoi", "left_semi")
     return gate_statistics(picked, threshold, ["aoi"])
 
 

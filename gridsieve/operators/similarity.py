@@ -122,6 +122,25 @@ def _match_blocks(
     patches, sites, key, vector, site_vector, site_key, metric, eps, sign,
     block_rows, site_blocks, patch_blocks,
 ):
+    partial = _meet_in_blocks(
+        patches, sites, key, vector, site_vector, site_key, metric, eps, site_blocks, patch_blocks, 1
+    )
+    best = F.max(F.struct("score", (-F.col("best_idx")).alias("neg")))
+    return (
+        partial.groupBy("key")
+        .agg(best.alias("b"))
+        .select(
+            F.col("key").alias(key),
+            (-F.col("b.neg")).alias("best_idx"),
+            (F.col("b.score") * sign).alias("best"),
+        )
+    )
+
+
+def _meet_in_blocks(
+    patches, sites, key, vector, site_vector, site_key, metric, eps, site_blocks, patch_blocks, k
+):
+    """Rows ``(key, best_idx, score)``: the ``k`` best of every block a patch meets."""
     left = patches.select(
         F.col(key).alias("key"),
         F.col(vector).alias("vec"),
@@ -138,29 +157,21 @@ def _match_blocks(
 
     def one_pair(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
-            ids, top = np.zeros(0, dtype="int64"), np.zeros(0)
-            a = a.slice(0, 0)
+            ids, top, who = np.zeros(0, dtype="int64"), np.zeros(0), np.zeros(0, dtype="int64")
         else:
             b = b.sort_by("idx")
             scores = _score(
                 rows_as_matrix(a.column("vec")), rows_as_matrix(b.column("ref")), metric, eps
             )
-            at = scores.argmax(axis=1)
-            ids, top = b.column("idx").to_numpy()[at], scores[np.arange(len(at)), at]
-        return pa.table({"key": a.column("key"), "best_idx": pa.array(ids), "score": pa.array(top)})
+            at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            ids = b.column("idx").to_numpy()[at].ravel()
+            top = np.take_along_axis(scores, at, axis=1).ravel()
+            who = np.repeat(np.arange(len(at)), at.shape[1])
+        keys = a.column("key").take(pa.array(who))
+        return pa.table({"key": keys, "best_idx": pa.array(ids), "score": pa.array(top)})
 
     met = left.groupBy("pb", "sb").cogroup(right.groupBy("pb", "sb"))
-    partial = met.applyInArrow(one_pair, f"key {kind}, best_idx bigint, score double")
-    best = F.max(F.struct("score", (-F.col("best_idx")).alias("neg")))
-    return (
-        partial.groupBy("key")
-        .agg(best.alias("b"))
-        .select(
-            F.col("key").alias(key),
-            (-F.col("b.neg")).alias("best_idx"),
-            (F.col("b.score") * sign).alias("best"),
-        )
-    )
+    return met.applyInArrow(one_pair, f"key {kind}, best_idx bigint, score double")
 
 
 # ---- named scores ----------------------------------------------------------
@@ -269,25 +280,24 @@ def top_matches(
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """The ``k`` most similar sites per patch as rows ``(key, rank, site_idx, similarity)``."""
+    """The ``k`` most similar sites per patch as rows ``(key, rank, site_idx, similarity)``.
+
+    Same two ways as ``best_match``; a patch collects at most ``k`` sites per block.
+    """
     size = sites.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    wide = size["n"] * (size["d"] or 0) * 8 > max_broadcast_bytes
-    parts = -(-size["n"] // block_rows) if wide else 1
-    ordered = F.array_sort(
-        F.flatten(F.collect_list("m")),
-        lambda a, b: F.when(a["s"] > b["s"], -1)
-        .when(a["s"] < b["s"], 1)
-        .when(a["i"] < b["i"], -1)
-        .otherwise(1),
-    )
-    found = None
-    for part in range(parts):
-        # Every part is broadcast on its own and holds at most block_rows sites.
-        chosen = sites.where(F.pmod(F.xxhash64("site_idx"), F.lit(parts)) == part)
-        here = _top_of_part(patches, chosen, key, k, vector, eps)
-        found = here if found is None else found.unionByName(here)
-    if parts > 1:
-        found = found.groupBy(key).agg(F.slice(ordered, 1, k).alias("m"))
+    if size["n"] * (size["d"] or 0) * 8 <= max_broadcast_bytes:
+        found = _top_of_broadcast(patches, sites, key, k, vector, eps)
+    else:
+        patch_blocks = max(1, -(-patches.count() // block_rows))
+        partial = _meet_in_blocks(
+            patches, sites, key, vector, "embedding", "site_idx", "cosine", eps,
+            -(-size["n"] // block_rows), patch_blocks, k,
+        )
+        # Ascending by (-score, index): best first, ties by the lower index.
+        cell = F.struct((-F.col("score")).alias("neg"), F.col("best_idx").alias("i"))
+        best = F.slice(F.array_sort(F.collect_list(cell)), 1, k)
+        back = F.transform(best, lambda c: F.struct((-c["neg"]).alias("s"), c["i"].alias("i")))
+        found = partial.groupBy(F.col("key").alias(key)).agg(back.alias("m"))
     return found.select(key, F.posexplode("m").alias("pos", "m")).select(
         key,
         (F.col("pos") + 1).alias("rank"),
@@ -296,7 +306,7 @@ def top_matches(
     )
 
 
-def _top_of_part(patches, sites, key, k, vector, eps):
+def _top_of_broadcast(patches, sites, key, k, vector, eps):
     table = (
         sites.select(F.col("site_idx").cast("long").alias("k"), "embedding").orderBy("k").toArrow()
     )

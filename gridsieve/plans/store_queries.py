@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import PreprocessingConfig
 from ..operators import channels as ch
 from ..operators import patches as pt
 from ..operators import results as rs
+from ..operators import similarity as sim
+from ..operators.models import clusters
 from ..operators.models.gate import demo_weights
 from ..session import scratch_path
-from ..sources import readers, sinks
+from ..sources import models, readers, sinks
 from ..streaming import scoring as st
 from . import tables as tb
+from .pixel_queries import _usable_areas
 from .registry import META, PX, SC, SQL, compose, cut_sql, query, rounded
 from .score_queries import _anomalies
 
@@ -220,6 +224,52 @@ def run_log_roundtrip(spark, sf):
     return rs.newest_runs(spark.read.parquet(path)).drop("created_at")
 
 
+@query("model_store_roundtrip", SQL["kmeans_cosine"])
+def model_store_roundtrip(spark, sf):
+    """Cluster centres stored with a scaler, loaded again and used for scoring."""
+    path = scratch_path(spark, "model")
+    stats = clusters.scaler_stats(tb.table(spark, sf, "embeddings"), "embedding")
+    models.save_model(path, tb.centroids(spark, sf), scaler=stats)
+    loaded = models.load_model(spark, path)
+    out = sim.cluster_cosine(tb.patch_vectors(spark, sf), loaded["model"], "vec_id")
+    return rounded(out)
+
+
+@query("run_summary_roundtrip", SQL["processing_summary"])
+def run_summary_roundtrip(spark, sf):
+    """Counts and success rate of a run as JSON next to its settings."""
+    path = scratch_path(spark, "run-summary")
+    px = tb.pixels(spark, sf)
+    sinks.write_run_summary(
+        rs.processing_summary(px, _usable_areas(px)), PreprocessingConfig(), path
+    )
+    back = spark.read.schema("successful long, failed long, success_rate double").json(path)
+    return rounded(back)
+
+
+@query(
+    "response_bundle",
+    compose(
+        [SC],
+        "SELECT (SELECT count(*) FROM sc WHERE gate_prediction >= 0.5) AS features, count(*) AS csv_rows, "
+        "count(*) AS json_rows, least(count(*), 10) AS top_candidates, "
+        "count(*) FILTER (WHERE gate_prediction >= 0.5) AS anomalies FROM sc",
+        "features, csv_rows, json_rows, top_candidates, anomalies",
+    ),
+)
+def response_bundle(spark, sf):
+    """Row counts of every part sent to a client after scoring."""
+    parts = sinks.response_bundle(tb.scores_only(spark, sf), 64)
+    n = lambda name: parts[name].agg(F.count(F.lit(1))).scalar()
+    return parts["overview"].select(
+        n("geojson").alias("features"),
+        n("csv").alias("csv_rows"),
+        n("json").alias("json_rows"),
+        n("top_candidates").alias("top_candidates"),
+        F.col("anomalies_detected").alias("anomalies"),
+    )
+
+
 # ---- streams ---------------------------------------------------------------
 
 

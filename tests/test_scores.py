@@ -142,3 +142,36 @@ def test_first_document_wins(spark, tmp_path):
     assert parts["all_anomalies"].count() == 2 and parts["summary"].first()["total_aois"] == 1
     with pytest.raises(FileNotFoundError):
         readers.read_document_file(spark, [str(tmp_path / "absent.json")])
+
+
+def test_band_files_name_the_areas(spark, tmp_path):
+    for name in ("AOI_0003/sentinel/NDVI.tif", "AOI_0005/sentinel/ndwi.tif"):
+        f = tmp_path / name
+        f.parent.mkdir(parents=True)
+        f.write_bytes(b"x")
+    files = readers.list_files(spark, str(tmp_path), "*.tif")
+    assert [tuple(r) for r in readers.areas_in_paths(files).collect()] == [("AOI_0003", 3)]
+
+
+def test_model_store_keeps_parts_and_reads_bare_tables(spark, tmp_path):
+    from gridsieve.sources import models
+
+    nodes = spark.range(5)
+    models.save_model(str(tmp_path / "full"), nodes, scaler=spark.range(2))
+    full = models.load_model(spark, str(tmp_path / "full"))
+    assert (full["model"].count(), full["scaler"].count(), full["offset"]) == (5, 2, None)
+    nodes.write.parquet(str(tmp_path / "bare"))
+    bare = models.load_model(spark, str(tmp_path / "bare"))
+    assert bare["model"].count() == 5 and bare["scaler"] is None
+
+
+def test_classifier_survives_storage(spark, tmp_path):
+    from gridsieve.sources import models
+
+    rows = [(i / 40, 1 - i / 40, 0.5, 0.2, int(i > 20)) for i in range(40)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in gate.FEATURES) + ", label int")
+    model = gate.fit_gate(df, kind="logistic")
+    models.save_classifier(model, str(tmp_path / "gate"))
+    back = models.load_classifier(str(tmp_path / "gate"))
+    a = gate.apply_gate(model, df).orderBy("prob_autoencoder").collect()
+    assert a == gate.apply_gate(back, df).orderBy("prob_autoencoder").collect()
