@@ -249,15 +249,15 @@ def patch_bounds_query(spark, sf):
 @query(
     "broadcast_scores",
     compose(
-        [SC, "cells AS (SELECT unnest(generate_series(0, 4095)) AS cell)"],
-        "SELECT patch_id, CAST(floor(cell / 64) AS INT) AS pr, CAST(cell % 64 AS INT) AS pc, "
+        [SC, "cells AS (SELECT unnest(generate_series(0, 255)) AS cell)"],
+        "SELECT patch_id, CAST(floor(cell / 16) AS INT) AS pr, CAST(cell % 16 AS INT) AS pc, "
         "gate_prediction AS score FROM sc, cells",
         "patch_id, pr, pc", "score",
     ),
 )
 def broadcast_scores(spark, sf):
     s = tb.scores_only(spark, sf).select("patch_id", F.col("gate_prediction").alias("score"))
-    return rounded(pt.broadcast_to_pixels(s, 64, "score"))
+    return rounded(pt.broadcast_to_pixels(s, P, "score"))
 
 
 # ---- reconstruction and matching -------------------------------------------
