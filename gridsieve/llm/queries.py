@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from gridsieve.llm.quality_rules import quality_report, quality_sql
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -50,3 +52,8 @@ def op9(spark, sf_dir):
     return pack_documents(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
     )
+
+
+@query("op1_quality_rules", quality_sql())
+def op1(spark, sf_dir):
+    return quality_report(table(spark, sf_dir, "documents"))
