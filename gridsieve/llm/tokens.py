@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 # The white space of Unicode, which both tokenizers split on.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Between a letter of the first class and a mark of the second, either way round, every
 # split pattern of the public tokenizers ends a piece.  The apostrophe is not a mark: it
 # starts contractions.
@@ -20,6 +20,12 @@ _WORD = f"[{LETTERS}]+(?![^{WHITE}{MARKS}])|[{MARKS}]+(?![^{WHITE}{LETTERS}])|[^
 PIECES_WITHOUT_SPACE = re.compile(_WORD)
 PIECES_WITH_SPACE = re.compile(f" ?(?:{_WORD})|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
+
+def _spaced(piece: str) -> str:
+    """A byte-level piece of ASCII letters as its model spells it."""
+    return piece.replace(" ", "Ġ")
+
+
 _loaded: dict[str, "PieceTokenizer"] = {}
 
 
@@ -40,16 +46,29 @@ class PieceTokenizer:
         self._keep = keep
         self._known: dict[str, bytes] = {}
         split = json.loads(self._tokenizer.to_str())["pre_tokenizer"] or {}
-        parts = [p["type"] for p in split.get("pretokenizers", [split])]
-        self._pieces = {
-            ("ByteLevel",): PIECES_WITH_SPACE,
-            ("Split", "ByteLevel"): PIECES_WITHOUT_SPACE,
-        }.get(tuple(parts))
+        parts = tuple(p["type"] for p in split.get("pretokenizers", [split]))
+        self._pieces, self._plain, self._form = {
+            ("ByteLevel",): (PIECES_WITH_SPACE, re.compile(" ?[A-Za-z]+"), _spaced),
+            ("Split", "ByteLevel"): (PIECES_WITHOUT_SPACE, re.compile("[A-Za-z]+"), str.lower),
+        }.get(parts, (None, None, None))
 
     def _encode(self, pieces: list[str]) -> Iterator[bytes]:
         for e in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
             yield np.array(e.ids, dtype="<u4").tobytes()
 
+    def _learn(self, pieces: set[str]) -> None:
+        """Remember the ids of ``pieces``; ASCII words need no normaliser, only the model."""
+        plain, model, other = self._plain.fullmatch, self._tokenizer.model, []
+        for p in pieces:
+            if plain(p):
+                ids = [t.id for t in model.tokenize(self._form(p))]
+                self._known[p] = np.array(ids, dtype="<u4").tobytes()
+            else:
+                other.append(p)
+        for at in range(0, len(other), 4096):
+            some = other[at : at + 4096]
+            self._known.update(zip(some, self._encode(some)))
+
     def __call__(self, texts: Iterable[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
         if self._pieces is None:
@@ -58,11 +77,7 @@ class PieceTokenizer:
         known = self._known
         if len(known) > self._keep:
             known.clear()
-        new = {p for pieces in cut for p in pieces if p not in known}
-        ordered = list(new)
-        for at in range(0, len(ordered), 4096):
-            some = ordered[at : at + 4096]
-            known.update(zip(some, self._encode(some)))
+        self._learn({p for pieces in cut for p in pieces if p not in known})
         return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
 
