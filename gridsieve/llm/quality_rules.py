@@ -26,6 +26,8 @@ BOILERPLATE = (
 MOST_SEPARATORS = 20
 MOST_SYMBOLS = 10
 MOST_CAPITALS = 60
+# Words of a line, in percent, that may equal the word before.
+MOST_STUTTER = 40
 # A boilerplate phrase condemns a line of up to so many words.
 FURNITURE_WORDS = 25
 # Share of the text, in percent, that must survive.
@@ -90,14 +92,20 @@ def repeated_words(words: Column, window: int = REPEAT_WINDOW) -> Column:
 
 
 def line_passes(line: Column) -> Column:
-    """The punctuation, navigation, symbol, capitals and boilerplate rules of one line."""
-    words = F.size(F.split(F.btrim(line, F.lit(SPACE)), f"[{SPACE}]+"))
+    """The punctuation, navigation, symbol, capitals, boilerplate and stutter rules of a line."""
     size = F.length(line)
-    navigation = F.regexp_count(line, F.lit(SEPARATOR)) * 100 > words * MOST_SEPARATORS
     symbols = _count_of(line, SYMBOLS) * 100 > size * MOST_SYMBOLS
     capitals = _count_of(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ") * 100 > size * MOST_CAPITALS
-    furniture = (words <= FURNITURE_WORDS) & F.lower(line).rlike(BOILERPLATE)
-    return line.rlike(SENTENCE_END) & ~navigation & ~symbols & ~capitals & ~furniture
+
+    def of_words(words: Column) -> Column:
+        n = F.size(words)
+        navigation = F.regexp_count(line, F.lit(SEPARATOR)) * 100 > n * MOST_SEPARATORS
+        furniture = (n <= FURNITURE_WORDS) & F.lower(line).rlike(BOILERPLATE)
+        again = F.filter(words, lambda w, k: F.coalesce(w == F.get(words, k - 1), F.lit(False)))
+        return ~navigation & ~furniture & (F.size(again) * 100 <= n * MOST_STUTTER)
+
+    words = F.split(F.btrim(line, F.lit(SPACE)), f"[{SPACE}]+")
+    return line.rlike(SENTENCE_END) & ~symbols & ~capitals & _let(words, of_words)
 
 
 def clean_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -175,12 +183,13 @@ judged AS (
   SELECT rid, length(l) AS size,
     regexp_matches(l, {quoted(SENTENCE_END)})
     AND len(regexp_extract_all(l, {quoted(SEPARATOR)})) * 100
-        <= len(regexp_extract_all(l, '[^ \\t-\\r]+')) * {MOST_SEPARATORS}
+        <= len(lw) * {MOST_SEPARATORS}
     AND {count('l', SYMBOLS)} * 100 <= length(l) * {MOST_SYMBOLS}
     AND {count('l', 'A-Z')} * 100 <= length(l) * {MOST_CAPITALS}
-    AND NOT (len(regexp_extract_all(l, '[^ \\t-\\r]+')) <= {FURNITURE_WORDS}
-             AND regexp_matches(lower(l), {quoted(BOILERPLATE)})) AS good
-  FROM line),
+    AND NOT (len(lw) <= {FURNITURE_WORDS} AND regexp_matches(lower(l), {quoted(BOILERPLATE)}))
+    AND len(list_filter(range(2, len(lw) + 1), lambda k: lw[k] = lw[k - 1])) * 100
+        <= len(lw) * {MOST_STUTTER} AS good
+  FROM (SELECT *, regexp_extract_all(l, '[^ \\t-\\r]+') AS lw FROM line)),
 kept AS (
   SELECT rid, sum(size) AS total, sum(CASE WHEN good THEN size ELSE 0 END) AS left_over,
          sum(CASE WHEN good THEN 0 ELSE 1 END) AS removed

@@ -7,7 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from gridsieve.llm.decontamination import contamination_report
+from gridsieve.llm.packing import pack_documents
 from gridsieve.llm.quality_rules import quality_report, quality_sql
+from gridsieve.llm.quality_votes import quality_votes
+from gridsieve.llm.token_files import token_file_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,8 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query("op4_decontamination")
 def op4(spark, sf_dir):
-    from gridsieve.llm.decontamination import contamination_report
-
     return contamination_report(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     )
@@ -38,8 +40,6 @@ def op4(spark, sf_dir):
 
 @query("op5_token_files")
 def op5(spark, sf_dir):
-    from gridsieve.llm.token_files import token_file_digest
-
     return token_file_digest(
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
     )
@@ -47,8 +47,6 @@ def op5(spark, sf_dir):
 
 @query("op9_packing")
 def op9(spark, sf_dir):
-    from gridsieve.llm.packing import pack_documents
-
     return pack_documents(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
     )
@@ -57,3 +55,8 @@ def op9(spark, sf_dir):
 @query("op1_quality_rules", quality_sql())
 def op1(spark, sf_dir):
     return quality_report(table(spark, sf_dir, "documents"))
+
+
+@query("op6_quality_votes")
+def op6(spark, sf_dir):
+    return quality_votes(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
