@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from gridsieve.llm.dart_minhash import near_duplicate_classes
 from gridsieve.llm.decontamination import contamination_report
 from gridsieve.llm.packing import pack_documents
 from gridsieve.llm.quality_rules import quality_report, quality_sql
@@ -60,3 +61,8 @@ def op1(spark, sf_dir):
 @query("op6_quality_votes")
 def op6(spark, sf_dir):
     return quality_votes(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_dart_minhash")
+def op7(spark, sf_dir):
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
