@@ -12,6 +12,7 @@ from gridsieve.llm.decontamination import contamination_report
 from gridsieve.llm.packing import pack_documents
 from gridsieve.llm.quality_rules import quality_report, quality_sql
 from gridsieve.llm.quality_votes import quality_votes
+from gridsieve.llm.substring_index import repeats_report
 from gridsieve.llm.token_files import token_file_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +67,8 @@ def op6(spark, sf_dir):
 @query("op7_dart_minhash")
 def op7(spark, sf_dir):
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op10_substring_index")
+def op10(spark, sf_dir):
+    return repeats_report(table(spark, sf_dir, "documents"))
