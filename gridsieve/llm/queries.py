@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridsieve.llm.dart_minhash import near_duplicate_classes
 from gridsieve.llm.decontamination import contamination_report
+from gridsieve.llm.html_graph import extract_pages
 from gridsieve.llm.packing import pack_documents
 from gridsieve.llm.quality_rules import quality_report, quality_sql
 from gridsieve.llm.quality_votes import quality_votes
@@ -72,3 +73,8 @@ def op7(spark, sf_dir):
 @query("op10_substring_index")
 def op10(spark, sf_dir):
     return repeats_report(table(spark, sf_dir, "documents"))
+
+
+@query("op2_html_graph")
+def op2(spark, sf_dir):
+    return extract_pages(table(spark, sf_dir, "pages"))
