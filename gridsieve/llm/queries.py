@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from gridsieve.llm.dart_minhash import near_duplicate_classes
 from gridsieve.llm.decontamination import contamination_report
 from gridsieve.llm.html_graph import extract_pages
+from gridsieve.llm.language_id import identify_languages
 from gridsieve.llm.packing import pack_documents
 from gridsieve.llm.quality_rules import quality_report, quality_sql
 from gridsieve.llm.quality_votes import quality_votes
 from gridsieve.llm.substring_index import repeats_report
 from gridsieve.llm.token_files import token_file_digest
+from gridsieve.llm.url_intervals import URL_SQL, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,3 +80,13 @@ def op10(spark, sf_dir):
 @query("op2_html_graph")
 def op2(spark, sf_dir):
     return extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op3_url_intervals", URL_SQL)
+def op3(spark, sf_dir):
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
+@query("op8_language_id")
+def op8(spark, sf_dir):
+    return identify_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))

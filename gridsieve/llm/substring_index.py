@@ -36,6 +36,8 @@ GRAM = 5
 MOST_FORMS = 1000
 # Bytes of a side that may be broadcast; a larger side is joined by a shuffle.
 BROADCAST_BYTES = 48 * 1024 * 1024
+# Rows that a task turns into Python objects at a time.
+SLICE = 256
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 _SEGMENT = "mini bigint, form bigint, doc bigint, key bigint, start int, n int"
@@ -75,8 +77,8 @@ def _inverse_powers(n: int) -> np.ndarray:
 def _segments_of(rows: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
                 found, docs, keys = [], [], []
                 for doc, text in zip(*(c.to_pylist() for c in part.columns)):
                     own = segments(word_hashes(words_of(text)))
@@ -115,22 +117,26 @@ def _words_of_forms(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for key, doc, text, list_ in zip(*(c.to_pylist() for c in batch.columns)):
-                hashes = word_hashes(words_of(text)).astype("<u8")
-                for s in list_:
-                    own = hashes[s["start"] : s["start"] + s["n"] + WINDOW - 1]
-                    if s["hot"]:
-                        for i, h in enumerate(window_hashes(own, WINDOW).astype(np.int64)):
-                            out.append((int(h), doc, key, s["start"] + i, 1, None))
-                    else:
-                        out.append((s["mini"], doc, key, s["start"], s["n"], own.tobytes()))
-            columns = list(zip(*out)) or [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)],
-                ["mini", "doc", "key", "start", "n", "words"],
-            )
+            for at in range(0, batch.num_rows, SLICE):
+                yield some(batch.slice(at, SLICE))
+
+    def some(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[tuple] = []
+        for key, doc, text, list_ in zip(*(c.to_pylist() for c in batch.columns)):
+            hashes = word_hashes(words_of(text)).astype("<u8")
+            for s in list_:
+                own = hashes[s["start"] : s["start"] + s["n"] + WINDOW - 1]
+                if s["hot"]:
+                    for i, h in enumerate(window_hashes(own, WINDOW).astype(np.int64)):
+                        out.append((int(h), doc, key, s["start"] + i, 1, None))
+                else:
+                    out.append((s["mini"], doc, key, s["start"], s["n"], own.tobytes()))
+        columns = list(zip(*out)) or [[]] * 6
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds)],
+            ["mini", "doc", "key", "start", "n", "words"],
+        )
 
     lists = settle(
         wanted.groupBy("key").agg(F.collect_list(F.struct("mini", "start", "n", "hot")).alias("s")),
@@ -149,10 +155,12 @@ def _keyed(rows: DataFrame) -> DataFrame:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = list(map(row_key, *(c.to_pylist() for c in batch.columns[:2])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), *batch.columns], ["key", *batch.schema.names]
-            )
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                keys = list(map(row_key, *(c.to_pylist() for c in part.columns[:2])))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, pa.int64()), *part.columns], ["key", *part.schema.names]
+                )
 
     schema = StructType(StructType.fromDDL("key bigint").fields + rows.schema.fields)
     return rows.mapInArrow(add, schema)
@@ -263,12 +271,12 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ),
         "spans",
     )
-    size = spans.agg(F.sum(F.size("removed") * 24 + 48)).first()[0] or 0
     own = docs.select(
         F.col(id_col).cast("bigint").alias("_doc"), F.col(text_col).alias("_text"), *docs.columns
     )
     keyed = _keyed(own).drop("_doc", "_text")
-    joined = keyed.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, "key", "left")
+    # The spans grow with the documents, so this join is shuffled at every size.
+    joined = keyed.join(spans, "key", "left")
     return joined.select(
         *docs.columns,
         F.coalesce("removed", F.array().cast("array<struct<start: int, end: int>>")).alias("removed"),
