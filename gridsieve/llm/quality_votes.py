@@ -31,7 +31,7 @@ NEIGHBOURS = 25
 SHARPNESS = 4.0
 ACCEPTED = 0.7
 # Documents whose cosines with all labelled vectors are held at a time.
-BLOCK = 512
+BLOCK = 128
 
 _KNOWN: dict[str, tuple[int, int]] = {}
 
@@ -49,7 +49,7 @@ def word_form(word: str) -> str:
 def _buckets(word: str) -> tuple[int, int]:
     found = _KNOWN.get(word)
     if found is None:
-        if len(_KNOWN) > 300_000:
+        if len(_KNOWN) > 100_000:
             _KNOWN.clear()
         low = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORD_BUCKETS
         form = zlib.crc32(word_form(word).encode("utf-8", "surrogatepass")) % FORM_BUCKETS

@@ -37,7 +37,7 @@ class PieceTokenizer:
     pieces remembered between calls; it affects speed only.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
