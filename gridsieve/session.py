@@ -6,12 +6,18 @@ import os
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import types as T
 
 _local_scratch: dict[str, str] = {}
 _settled: set[int] = set()
+# Folders of the tables settled inside each open ``temporary_tables`` block.
+_scopes: list[list[str]] = []
+# Drops the shuffle files of a query when it ends, not when its driver object is collected.
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -71,15 +77,44 @@ def sized_row_groups(df: DataFrame) -> DataFrameWriter:
     return df.write.option("parquet.block.size", WIDE_ROW_GROUP_BYTES) if wide else df.write
 
 
-def settle(df: DataFrame, label: str = "table") -> DataFrame:
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables settled inside are removed at the end, but for those settled with ``keep``.
+
+    A kept table belongs to the block around this one, if there is one.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _remove_folder(spark, path)
+
+
+def _remove_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def settle(df: DataFrame, label: str = "table", keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    The lineage is cut, a lost executor costs nothing, and the optimizer knows
-    the true size of the table.
+    The lineage is cut, a lost executor costs nothing, the optimizer knows the true size
+    of the table, and the shuffle files behind it go.  ``keep`` lets it outlive the
+    innermost ``temporary_tables`` block.
     """
-    path = scratch_path(df.sparkSession, label)
-    sized_row_groups(df).parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    owners = _scopes[:-1] if keep else _scopes
+    if owners:
+        owners[-1].append(path)
+    before = spark.conf.get(_SHUFFLE_CLEANUP)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        sized_row_groups(df).parquet(path)
+    finally:
+        spark.conf.set(_SHUFFLE_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
     _settled.add(id(table))
     weakref.finalize(table, _settled.discard, id(table))
     return table
