@@ -16,7 +16,7 @@ from gridsieve.llm.packing import pack_documents
 from gridsieve.llm.quality_votes import ACCEPTED, score_quality
 from gridsieve.llm.queries import bounded_batches, table
 from gridsieve.llm.substring_index import remove_repeats
-from gridsieve.session import settle
+from gridsieve.session import settle, temporary_tables
 
 
 def accepted_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,5 +66,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        with temporary_tables(spark):
+            docs = settle(stage(spark, docs, sf_dir), name, keep=True)
     return docs

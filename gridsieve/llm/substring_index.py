@@ -28,7 +28,7 @@ from pyspark.sql.types import StructType
 
 from gridsieve.llm.fm_index import FMIndex, earliest, matching_windows
 from gridsieve.llm.shingles import mix, window_hashes, word_hashes, words_of
-from gridsieve.session import settle
+from gridsieve.session import settle, temporary_tables
 
 WINDOW = 20
 GRAM = 5
@@ -261,16 +261,18 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = docs.drop("removed")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-    spans = settle(
-        repeated_windows(rows).distinct().groupBy("key").agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct("start", (F.col("start") + F.col("n") + WINDOW - 1).alias("end"))
-                )
-            ).alias("removed")
-        ),
-        "spans",
-    )
+    with temporary_tables(docs.sparkSession):
+        spans = settle(
+            repeated_windows(rows).distinct().groupBy("key").agg(
+                F.array_sort(
+                    F.collect_list(
+                        F.struct("start", (F.col("start") + F.col("n") + WINDOW - 1).alias("end"))
+                    )
+                ).alias("removed")
+            ),
+            "spans",
+            keep=True,
+        )
     own = docs.select(
         F.col(id_col).cast("bigint").alias("_doc"), F.col(text_col).alias("_text"), *docs.columns
     )
