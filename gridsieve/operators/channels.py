@@ -230,13 +230,14 @@ def global_stats(
     pixels: DataFrame,
     channels=CHANNELS,
     clip_percentile=(0.5, 99.5),
-    per_area: int | None = 1000,
+    per_area: int | None = None,
     seed=42,
     approx: bool = False,
 ) -> DataFrame:
     """Robust mean and population deviation per channel.
 
-    Values are clipped to the two percentiles first.  A channel without data
+    Values are clipped to the two percentiles first.  All pixels count, unless ``per_area``
+    asks for a sample of so many values per area and channel.  A channel without data
     gets (0, 1, 0, 1), a flat channel a deviation of 1.  ``approx`` trades the
     exact percentiles for one mergeable sketch.
     """

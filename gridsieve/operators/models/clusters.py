@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -38,7 +39,8 @@ def scale_vectors(rows: DataFrame, stats: DataFrame, vector: str, into: str) ->
     @F.arrow_udf("array<double>")
     def scale(column: pa.Array) -> pa.Array:
         mean, width = fitted.value
-        return matrix_as_rows((rows_as_matrix(column) - mean) / width)
+        x = (rows_as_matrix(column, len(mean)) - mean) / width
+        return matrix_as_rows(x, np.asarray(column.is_null()))
 
     return rows.withColumn(into, scale(F.col(vector)))
 

@@ -12,7 +12,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ...functions.quantiles import exact_quantiles
-from ...functions.ranking import seeded_hash
 from ...session import settle
 from ..similarity import rows_as_matrix
 
@@ -69,19 +68,19 @@ def grow_forest(
 ) -> DataFrame:
     """Node table of the forest.
 
-    The ``trees * sample`` rows with the smallest hash form a pool, so the cost
-    after one scan does not depend on the data; each tree draws its own sample
-    from the pool and grows in its own task.
+    Each tree draws its own ``sample`` from all rows with a vector: one scan lets every row
+    try every tree by a hash limit from the row count, so about ``trees * sample`` rows
+    leave it, and each tree keeps the smallest hashes and grows in its own task.
     """
-    pool = settle(
-        rows.select(key, vector)
-        .orderBy(seeded_hash(seed, F.col(key)), key)
-        .limit(trees * sample),
-        "forest-pool",
-    )
+    usable = rows.select(key, vector).where(F.col(vector).isNotNull())
+    n = usable.count()
+    share = min(1.0, (sample + 10.0 * sample**0.5 + 100.0) / max(n, 1))
+    luck = lambda tree: F.pmod(F.xxhash64(F.lit(seed), tree, F.col(key)), F.lit(2**32))
+    every = F.sequence(F.lit(0), F.lit(trees - 1))
+    hits = F.filter(every, lambda t: luck(t) <= F.lit(int(share * 2**32)))
     drawn = (
-        pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("__h", seeded_hash(seed, F.col("tree"), F.col(key)))
+        usable.withColumn("tree", F.explode(hits))
+        .withColumn("__h", luck(F.col("tree")))
         .withColumn("__i", F.row_number().over(W.partitionBy("tree").orderBy("__h", key)))
         .where(F.col("__i") <= sample)
         .select("tree", "__i", vector)
@@ -101,7 +100,8 @@ def grow_forest(
 
 
 def raw_scores(rows: DataFrame, forest: DataFrame, vector: str, into: str = "score") -> DataFrame:
-    """Add ``-2 ** (-mean depth / c(sample))``, closer to -1 the more anomalous.
+    """Add ``-2 ** (-mean depth / c(sample))``, closer to -1 the more anomalous; NULL for
+    a NULL vector.
 
     The node table has at most ``trees * (2 * sample - 1)`` rows whatever the
     data, which bounds the broadcast.
@@ -127,7 +127,8 @@ def raw_scores(rows: DataFrame, forest: DataFrame, vector: str, into: str = "sco
     @F.arrow_udf("double")
     def walk(column: pa.Array) -> pa.Array:
         f = packed.value
-        x = rows_as_matrix(column)
+        given = np.asarray(column.is_valid())
+        x = rows_as_matrix(column.filter(pa.array(given)))
         everyone = np.arange(len(x))
         total = np.zeros(len(x))
         for root in f["roots"]:
@@ -141,7 +142,9 @@ def raw_scores(rows: DataFrame, forest: DataFrame, vector: str, into: str = "sco
                 at[inner] = np.where(low, f["left"][here], f["right"][here])
             total += f["length"][at]
         mean = total / len(f["roots"])
-        return pa.array(-np.exp2(-mean / max(f["scale"], 1e-12)))
+        out = np.full(len(given), np.nan)
+        out[given] = -np.exp2(-mean / max(f["scale"], 1e-12))
+        return pa.array(out, mask=~given)
 
     return rows.withColumn(into, walk(F.col(vector)))
 

@@ -240,11 +240,11 @@ def processing_summary(inputs: DataFrame, produced: DataFrame) -> DataFrame:
 
 def missing_areas(inputs: DataFrame, produced: DataFrame) -> DataFrame:
     """Areas without any output row."""
-    return inputs.select("aoi").distinct().join(produced, "aoi", "left_anti")
+    return inputs.select("aoi").distinct().join(produced.select("aoi").distinct(), "aoi", "left_anti")
 
 
 def existing_areas(inputs: DataFrame, produced: DataFrame) -> DataFrame:
-    return inputs.select("aoi").distinct().join(produced, "aoi", "left_semi")
+    return inputs.select("aoi").distinct().join(produced.select("aoi").distinct(), "aoi", "left_semi")
 
 
 # ---- located candidates and the multi-area document ------------------------

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import shift_cosine
+from ..session import settle
 
 # Epsilon added to vector lengths by the two scoring variants.
 EPS_OFFLINE = 1e-10
@@ -23,18 +24,33 @@ MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 4096
 
 
-def rows_as_matrix(column: pa.Array) -> np.ndarray:
-    """A list column of equal lengths as a float64 matrix, without Python objects."""
+def rows_as_matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
+    """A list column of equal lengths as a float64 matrix, without Python objects.
+
+    A NULL list becomes a row of NaN.  Lists of other lengths than ``width`` (by default
+    that of the first list) raise.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64", copy=False)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
-
-
-def matrix_as_rows(matrix: np.ndarray) -> pa.ListArray:
-    """The inverse: one list per matrix row."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    given = ~np.asarray(column.is_null())
+    if width is None:
+        width = int(lengths[given][0]) if given.any() else 0
+    if (lengths[given] != width).any():
+        raise ValueError(f"vectors of other lengths than {width}")
+    if given.all():
+        return flat.reshape(len(column), width)
+    out = np.full((len(column), width), np.nan)
+    out[given] = flat.reshape(-1, width)
+    return out
+
+
+def matrix_as_rows(matrix: np.ndarray, missing: np.ndarray | None = None) -> pa.ListArray:
+    """The inverse: one list per matrix row, NULL where ``missing``."""
     offsets = np.arange(len(matrix) + 1, dtype="int32") * (matrix.shape[1] if len(matrix) else 0)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
+    mask = None if missing is None or not missing.any() else pa.array(missing)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()), mask=mask)
 
 
 def _unit(matrix: np.ndarray, eps: float) -> np.ndarray:
@@ -75,8 +91,25 @@ def best_match(
     """``(key, best_idx, best)`` per patch; ties go to the lowest site index.
 
     ``best`` is the largest cosine, or for ``metric='euclidean'`` the smallest
-    distance.  Exact whatever the number of sites.
+    distance.  Exact whatever the number of sites.  Every row of ``patches`` gives one row,
+    repeated keys included; a NULL vector, or one with NULL or NaN cells, has no match.
+    Vectors of another length than the sites' raise.
     """
+    m = _best_match(
+        patches, sites, key, vector, site_vector, site_key, metric, eps,
+        max_broadcast_bytes, block_rows, patch_blocks,
+    )
+    found = ~F.isnan("best")
+    return m.select(
+        key, F.when(found, F.col("best_idx")).alias("best_idx"),
+        F.when(found, F.col("best")).alias("best"),
+    )
+
+
+def _best_match(
+    patches, sites, key, vector, site_vector, site_key, metric, eps,
+    max_broadcast_bytes, block_rows, patch_blocks,
+):
     size = sites.agg(
         F.count(F.lit(1)).alias("n"), F.max(F.size(site_vector)).alias("d")
     ).first()
@@ -108,7 +141,7 @@ def _match_broadcast(patches, sites, key, vector, site_vector, site_key, metric,
     @F.arrow_udf(out)
     def match(column: pa.Array) -> pa.Array:
         ids, ref = packed.value
-        scores = _score(rows_as_matrix(column), ref, metric, eps)
+        scores = _score(rows_as_matrix(column, ref.shape[1]), ref, metric, eps)
         at = scores.argmax(axis=1)
         top = scores[np.arange(len(at)), at] * sign
         return pa.StructArray.from_arrays(
@@ -127,7 +160,7 @@ def _match_blocks(
     )
     best = F.max(F.struct("score", (-F.col("best_idx")).alias("neg")))
     return (
-        partial.groupBy("key")
+        partial.groupBy("row", "key")
         .agg(best.alias("b"))
         .select(
             F.col("key").alias(key),
@@ -140,12 +173,24 @@ def _match_blocks(
 def _meet_in_blocks(
     patches, sites, key, vector, site_vector, site_key, metric, eps, site_blocks, patch_blocks, k
 ):
-    """Rows ``(key, best_idx, score)``: the ``k`` best of every block a patch meets."""
-    left = patches.select(
-        F.col(key).alias("key"),
-        F.col(vector).alias("vec"),
-        F.pmod(F.xxhash64(key), F.lit(patch_blocks)).cast("int").alias("pb"),
-        F.explode(F.sequence(F.lit(0), F.lit(site_blocks - 1))).alias("sb"),
+    """Rows ``(row, key, best_idx, score)``: the ``k`` best of every block a patch meets.
+
+    ``row`` tells patches with the same key apart, and spreads them over the blocks; it is
+    written down first, so that it stays the same if a task is repeated.
+    """
+    numbered = settle(
+        patches.select(
+            F.monotonically_increasing_id().alias("row"),
+            F.col(key).alias("key"),
+            F.col(vector).alias("vec"),
+        ),
+        "numbered",
+    )
+    left = numbered.withColumns(
+        {
+            "pb": F.pmod(F.xxhash64("row"), F.lit(patch_blocks)).cast("int"),
+            "sb": F.explode(F.sequence(F.lit(0), F.lit(site_blocks - 1))),
+        }
     )
     right = sites.select(
         F.col(site_key).cast("long").alias("idx"),
@@ -160,18 +205,22 @@ def _meet_in_blocks(
             ids, top, who = np.zeros(0, dtype="int64"), np.zeros(0), np.zeros(0, dtype="int64")
         else:
             b = b.sort_by("idx")
-            scores = _score(
-                rows_as_matrix(a.column("vec")), rows_as_matrix(b.column("ref")), metric, eps
-            )
+            ref = rows_as_matrix(b.column("ref"))
+            scores = _score(rows_as_matrix(a.column("vec"), ref.shape[1]), ref, metric, eps)
             at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
             ids = b.column("idx").to_numpy()[at].ravel()
             top = np.take_along_axis(scores, at, axis=1).ravel()
             who = np.repeat(np.arange(len(at)), at.shape[1])
-        keys = a.column("key").take(pa.array(who))
-        return pa.table({"key": keys, "best_idx": pa.array(ids), "score": pa.array(top)})
+        who = pa.array(who)
+        return pa.table(
+            {
+                "row": a.column("row").take(who), "key": a.column("key").take(who),
+                "best_idx": pa.array(ids), "score": pa.array(top),
+            }
+        )
 
     met = left.groupBy("pb", "sb").cogroup(right.groupBy("pb", "sb"))
-    return met.applyInArrow(one_pair, f"key {kind}, best_idx bigint, score double")
+    return met.applyInArrow(one_pair, f"row bigint, key {kind}, best_idx bigint, score double")
 
 
 # ---- named scores ----------------------------------------------------------
@@ -283,6 +332,7 @@ def top_matches(
     """The ``k`` most similar sites per patch as rows ``(key, rank, site_idx, similarity)``.
 
     Same two ways as ``best_match``; a patch collects at most ``k`` sites per block.
+    Patches without a usable vector have no rows.
     """
     size = sites.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
     if size["n"] * (size["d"] or 0) * 8 <= max_broadcast_bytes:
@@ -297,8 +347,9 @@ def top_matches(
         cell = F.struct((-F.col("score")).alias("neg"), F.col("best_idx").alias("i"))
         best = F.slice(F.array_sort(F.collect_list(cell)), 1, k)
         back = F.transform(best, lambda c: F.struct((-c["neg"]).alias("s"), c["i"].alias("i")))
-        found = partial.groupBy(F.col("key").alias(key)).agg(back.alias("m"))
-    return found.select(key, F.posexplode("m").alias("pos", "m")).select(
+        found = partial.groupBy("row", F.col("key").alias(key)).agg(back.alias("m"))
+    cells = found.select(key, F.posexplode("m").alias("pos", "m"))
+    return cells.where(~F.isnan("m.s")).select(
         key,
         (F.col("pos") + 1).alias("rank"),
         F.col("m.i").alias("site_idx"),
@@ -318,7 +369,7 @@ def _top_of_broadcast(patches, sites, key, k, vector, eps):
     @F.arrow_udf("array<struct<s: double, i: bigint>>")
     def match(column: pa.Array) -> pa.Array:
         site_ids, ref = packed.value
-        scores = _unit(rows_as_matrix(column), eps) @ _unit(ref, eps).T
+        scores = _unit(rows_as_matrix(column, ref.shape[1]), eps) @ _unit(ref, eps).T
         n = min(k, scores.shape[1])
         at = np.argsort(-scores, axis=1, kind="stable")[:, :n]
         cells = pa.StructArray.from_arrays(

@@ -26,7 +26,6 @@ from .registry import (
     AROUND,
     EXTENT,
     PX,
-    SAMPLED,
     SC,
     compose,
     cut_sql,
@@ -97,7 +96,7 @@ def _digest_sql(channels):
 @query(
     "extract_patches",
     compose(
-        [PX, unpivot_sql("px", BASE), SAMPLED, stats_sql("smp"), normalized_sql("px", BASE), cut_sql("nm")],
+        [PX, unpivot_sql("px", BASE), stats_sql("lng"), normalized_sql("px", BASE), cut_sql("nm")],
         *_digest_sql(BASE),
     ),
 )
@@ -277,7 +276,7 @@ def _mse_sql(channels):
     )
 
 
-NORMAL = [PX, unpivot_sql("px", BASE), SAMPLED, stats_sql("smp"), normalized_sql("px", BASE), cut_sql("nm")]
+NORMAL = [PX, unpivot_sql("px", BASE), stats_sql("lng"), normalized_sql("px", BASE), cut_sql("nm")]
 
 
 def _normal_patches(spark, sf):
@@ -462,7 +461,7 @@ FULL_MEANS = (
     "mp AS (SELECT pr, pc, " + ", ".join(f"avg({c}) AS m_{c}" for c in CHANNELS) + " FROM pp GROUP BY pr, pc)"
 )
 FULL = [
-    PX, AROUND, unpivot_sql("ter", CHANNELS), SAMPLED, stats_sql("smp"),
+    PX, AROUND, unpivot_sql("ter", CHANNELS), stats_sql("lng"),
     normalized_sql("ter", CHANNELS), cut_sql("nm"), FULL_MEANS, _mse_sql(CHANNELS),
 ]
 PIXEL_META = """pm AS (SELECT aoi, min(row) AS zero, max(row) + 16 AS height, max(col) + 16 AS width,

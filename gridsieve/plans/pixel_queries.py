@@ -88,8 +88,8 @@ def load_dataset_subset(spark, sf):
     from ..session import scratch_path
 
     path = scratch_path(spark, "pixels-by-area")
-    band = F.floor(F.col("row") / 4096.0)
-    tb.pixels(spark, sf).repartition("aoi", band).write.partitionBy("aoi").parquet(path)
+    bands = [F.floor(F.col(c) / 4096.0) for c in ("row", "col")]
+    tb.pixels(spark, sf).repartition("aoi", *bands).write.partitionBy("aoi").parquet(path)
     chosen = readers.read_by_area(spark, path, ["AOI_0000", "AOI_0002"])
     return rounded(
         chosen.groupBy("aoi").agg(
@@ -280,13 +280,23 @@ def stats_sample(spark, sf):
 
 @query(
     "global_stats",
-    compose([PX, unpivot_sql("px", BASE), SAMPLED, stats_sql("smp")],
+    compose([PX, unpivot_sql("px", BASE), stats_sql("lng")],
             "SELECT * FROM st", "channel", "mean, std, p_low, p_high"),
 )
 def global_stats(spark, sf):
     return rounded(ch.global_stats(tb.pixels(spark, sf), BASE))
 
 
+@query(
+    "global_stats_sampled",
+    compose([PX, unpivot_sql("px", BASE), SAMPLED, stats_sql("smp")],
+            "SELECT * FROM st", "channel", "mean, std, p_low, p_high"),
+)
+def global_stats_sampled(spark, sf):
+    """The opt-in sample of 1,000 values per area and channel."""
+    return rounded(ch.global_stats(tb.pixels(spark, sf), BASE, per_area=1000))
+
+
 @query(
     "global_stats_full",
     compose([PX, unpivot_sql("px", BASE), stats_sql("lng")],
@@ -299,7 +309,7 @@ def global_stats_full(spark, sf):
 
 @query(
     "normalize_channels",
-    compose([PX, unpivot_sql("px", BASE), SAMPLED, stats_sql("smp"), normalized_sql("px", BASE)],
+    compose([PX, unpivot_sql("px", BASE), stats_sql("lng"), normalized_sql("px", BASE)],
             "SELECT * FROM nm", "aoi, row, col", ", ".join(BASE)),
 )
 def normalize_channels(spark, sf):

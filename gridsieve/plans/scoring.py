@@ -21,7 +21,7 @@ from ..operators.models.gate import gate_score
 from ..session import attach_small, settle
 
 
-def prepare_pixels(base: DataFrame, clip_percentile=(0.5, 99.5), per_area: int | None = 1000):
+def prepare_pixels(base: DataFrame, clip_percentile=(0.5, 99.5), per_area: int | None = None):
     """Derive terrain channels and normalise all seven; returns pixels and stats.
 
     The derived pixels are written once: the statistics pass and the extraction
@@ -35,21 +35,6 @@ def prepare_pixels(base: DataFrame, clip_percentile=(0.5, 99.5), per_area: int |
     return ch.normalize_channels(full, stats), stats
 
 
-def prepare_patches(
-    base: DataFrame,
-    grid: PatchGrid,
-    min_valid_ratio: float = 0.7,
-    target_patches: int | None = 50,
-    seed: int | str = 42,
-) -> DataFrame:
-    """Seven-channel patches of every area, at most ``target_patches`` each."""
-    normal, _ = prepare_pixels(base)
-    cut = pt.extract_patches(normal, grid, min_valid_ratio)
-    if target_patches is not None:
-        cut = pt.sample_patches(cut, target_patches, seed)
-    return pt.number_patches(settle(cut, "patches"))
-
-
 def reconstruction_candidates(patches: DataFrame, channels=CHANNELS) -> DataFrame:
     """Score each patch of a patch table by its distance from the mean patch."""
     template = embedding.mean_patch(patches, channels)

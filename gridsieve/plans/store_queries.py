@@ -301,10 +301,10 @@ def stream_scores(spark, sf):
 
 @query("stream_dedup", compose([SC], "SELECT patch_id FROM sc", "patch_id"))
 def stream_dedup(spark, sf):
-    """Every patch is delivered three times and kept once."""
+    """Every patch is delivered three times, in any order of time, and kept once."""
     path, schema = _arrivals(spark, sf, copies=3)
     out, mark = scratch_path(spark, "deduped"), scratch_path(spark, "progress")
-    once = st.first_arrivals(st.read_stream(spark, path, schema)).select("patch_id")
+    once = st.first_arrivals(st.read_stream(spark, path, schema, files_per_batch=1)).select("patch_id")
     st.run_available(once, out, mark)
     return spark.read.schema("patch_id string").parquet(out)
 
@@ -312,23 +312,21 @@ def stream_dedup(spark, sf):
 @query(
     "stream_window_counts",
     compose(
-        ["b AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)",
-         "w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL)"],
-        "SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, n FROM w, b "
-        "WHERE start + INTERVAL 1 HOUR <= mark",
+        ["w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL)"],
+        "SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, n FROM w",
         "window_start, event_type, n",
     ),
 )
 def stream_window_counts(spark, sf):
-    """Hourly counts; a window counts once the watermark has passed its end."""
+    """Hourly counts of all events."""
     ev = tb.table(spark, sf, "events").select("ts", "event_type")
     stream = st.read_stream(spark, sf, ev.schema, glob="events.parquet").withColumn(
         "ts", F.col("ts").cast("timestamp")
     )
     out, mark = scratch_path(spark, "windows"), scratch_path(spark, "progress")
-    counted = st.window_counts(stream, "ts", ["event_type"], "1 hour", "1 hour")
-    st.run_available(counted, out, mark)
-    back = spark.read.schema(counted.schema).parquet(out)
+    counted = st.window_counts(stream, "ts", ["event_type"], "1 hour")
+    st.run_upserts(counted, out, mark)
+    back = st.latest_rows(spark, out, counted.schema, ["window_start", "event_type"])
     return back.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n"
     )

@@ -9,15 +9,15 @@ from ..config import CHANNELS, MATRIX_COLUMNS, UNIFIED_COLUMNS
 from ..operators.results import csv_report, geojson_features, geojson_lines, json_report
 from ..session import sized_row_groups
 
-# Lines of patches that share one output task; spreads a dominant area.
+# Lines and columns of patches that share one output task; spreads a dominant area.
 BAND_ROWS = 4096
 MAX_RECORDS_PER_FILE = 100_000
 
 
 def _by_area(rows: DataFrame, path: str, mode: str) -> None:
-    band = F.floor(F.col("row") / F.lit(float(BAND_ROWS)))
+    bands = [F.floor(F.col(c) / F.lit(float(BAND_ROWS))) for c in ("row", "col")]
     (
-        sized_row_groups(rows.repartition("aoi", band))
+        sized_row_groups(rows.repartition("aoi", *bands))
         .mode(mode)
         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
         .partitionBy("aoi")

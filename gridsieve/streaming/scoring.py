@@ -27,20 +27,23 @@ def score_patches(stream: DataFrame, model: dict, threshold: float = 0.5) -> Dat
     return scored.withColumns({"is_anomaly": is_anomaly(p), "detected": p >= threshold})
 
 
-def first_arrivals(
-    stream: DataFrame, key: str = "patch_id", time: str = "ts", delay: str = "1 hour"
-) -> DataFrame:
-    """Each patch once; repeats within the watermark delay are dropped."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+def first_arrivals(stream: DataFrame, key: str = "patch_id") -> DataFrame:
+    """Each patch once, however late it comes.
 
+    The state holds one key per patch seen; on large streams keep it on disk with the
+    RocksDB state store.
+    """
+    return stream.dropDuplicates([key])
 
-def window_counts(
-    stream: DataFrame, time: str, keys: list[str], width: str, delay: str
-) -> DataFrame:
-    """Tumbling counts; a window is emitted once the watermark has passed it."""
+
+def window_counts(stream: DataFrame, time: str, keys: list[str], width: str) -> DataFrame:
+    """Tumbling counts of all events, late ones included.
+
+    The state holds one count per window and key, so it grows with time, not with events.
+    ``run_upserts`` stores the changed counts of every micro-batch.
+    """
     return (
-        stream.withWatermark(time, delay)
-        .groupBy(F.window(time, width).alias("w"), *keys)
+        stream.groupBy(F.window(time, width).alias("w"), *keys)
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("w.start").alias("window_start"), *keys, "n")
     )
@@ -60,3 +63,30 @@ def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
         query.awaitTermination()
     finally:
         query.stop()
+
+
+def run_upserts(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """As ``run_available`` for changing rows: every micro-batch writes its rows to its own
+    folder, and a repeated micro-batch overwrites it."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = (
+        stream.writeStream.outputMode("update")
+        .foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    try:
+        query.awaitTermination()
+    finally:
+        query.stop()
+
+
+def latest_rows(spark: SparkSession, out: str, schema, keys: list[str]) -> DataFrame:
+    """The last stored row of every key."""
+    stored = spark.read.schema(schema.add("batch", "long")).parquet(out)
+    values = [c for c in stored.columns if c not in (*keys, "batch")]
+    return stored.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in values])

@@ -175,3 +175,46 @@ def test_classifier_survives_storage(spark, tmp_path):
     back = models.load_classifier(str(tmp_path / "gate"))
     a = gate.apply_gate(model, df).orderBy("prob_autoencoder").collect()
     assert a == gate.apply_gate(back, df).orderBy("prob_autoencoder").collect()
+
+
+def test_matches_of_repeated_keys_and_missing_vectors(spark):
+    sites = spark.createDataFrame(
+        [(0, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0])], "site_idx long, embedding array<double>"
+    )
+    rows = [(0, [1.0, 0.1, 0.0]), (0, [0.0, 2.0, 0.0]), (1, None), (2, [0.1, 1.0, 0.0])]
+    p = spark.createDataFrame(rows, "id long, embedding array<double>").coalesce(1)
+    want = [(0, 0), (0, 1), (1, None), (2, 1)]
+    for kw in ({}, {"max_broadcast_bytes": 0, "block_rows": 1}):
+        m = sim.best_match(p, sites, "id", **kw).select("id", "best_idx").collect()
+        assert sorted(map(tuple, m), key=str) == sorted(want, key=str)
+        top = sim.top_matches(p, sites, "id", 1, **kw).select("id", "site_idx").collect()
+        assert sorted(map(tuple, top)) == [(0, 0), (0, 1), (2, 1)]
+
+
+def test_vectors_of_other_lengths_are_refused():
+    import pyarrow as pa
+
+    with pytest.raises(ValueError):
+        sim.rows_as_matrix(pa.array([[1.0, 2.0], [1.0]]))
+    with pytest.raises(ValueError):
+        sim.rows_as_matrix(pa.array([[1.0, 2.0]]), 3)
+    assert np.isnan(sim.rows_as_matrix(pa.array([None, [1.0, 2.0]]))[0]).all()
+    assert sim.rows_as_matrix(pa.array([None], pa.list_(pa.float64())), 3).shape == (1, 3)
+
+
+def test_late_arrivals_are_kept(spark, tmp_path):
+    from gridsieve.streaming import scoring as st
+
+    schema = "patch_id string, ts timestamp"
+    for i, hour in enumerate((12, 0, 6)):
+        spark.sql(
+            f"SELECT concat('p', id) AS patch_id, timestamp'2024-01-01 {hour:02d}:10:00' AS ts "
+            f"FROM range({4 * i}, {4 * i + 6})"
+        ).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    read = lambda: st.read_stream(spark, f"{tmp_path}/in/*", schema, files_per_batch=1)
+    st.run_available(st.first_arrivals(read()), f"{tmp_path}/once", f"{tmp_path}/c1")
+    assert spark.read.parquet(f"{tmp_path}/once").count() == 14
+    counted = st.window_counts(read(), "ts", [], "1 hour")
+    st.run_upserts(counted, f"{tmp_path}/counts", f"{tmp_path}/c2")
+    back = st.latest_rows(spark, f"{tmp_path}/counts", counted.schema, ["window_start"])
+    assert [r["n"] for r in back.orderBy("window_start").collect()] == [6, 6, 6]
