@@ -41,15 +41,16 @@ def heatmap_blocks(scores: DataFrame, grid: PatchGrid, value: str) -> DataFrame:
     """Overlap mean of patch-constant scores per stride-sized block, uncovered blocks 0.
 
     All pixels of a block are covered by the same patches, so one value stands
-    for ``stride * stride`` pixels.
+    for ``stride * stride`` pixels.  A patch that is not placed on the stride raises.
     """
     if not grid.aligned:
         raise ValueError("block heatmap needs patch % stride == 0")
     side, s = grid.patch // grid.stride, F.lit(float(grid.stride))
+    placed = lambda c: F.when(F.col(c) % grid.stride == 0, F.floor(F.col(c) / s)).otherwise(
+        F.raise_error(F.lit("block heatmap needs patches on the stride"))
+    )
     span = lambda c: F.explode(
-        F.sequence(
-            F.floor(F.col(c) / s).cast("int"), (F.floor(F.col(c) / s) + side - 1).cast("int")
-        )
+        F.sequence(placed(c).cast("int"), (placed(c) + side - 1).cast("int"))
     )
     covered = (
         scores.select("aoi", value, "row", span("col").alias("c"))
@@ -80,7 +81,8 @@ def expand_blocks(blocks: DataFrame, stride: int, value: str) -> DataFrame:
 
 def heatmap_mean(scores: DataFrame, grid: PatchGrid, value: str) -> DataFrame:
     """Overlap mean of patch scores for every pixel of the extent."""
-    if grid.aligned:
+    off_grid = (F.col("row") % grid.stride != 0) | (F.col("col") % grid.stride != 0)
+    if grid.aligned and scores.where(off_grid).isEmpty():
         return expand_blocks(heatmap_blocks(scores, grid, value), grid.stride, value)
     inner = F.sequence(F.lit(0), F.lit(grid.patch - 1))
     covered = (

@@ -187,16 +187,21 @@ def area_info(patches: DataFrame, channels) -> DataFrame:
 
 
 def score_histogram(scores: DataFrame, bins: int = HIST_BINS, score: str = GATE) -> DataFrame:
-    """Equal bins from minimum to maximum, the last one closed."""
+    """Equal bins from minimum to maximum, the last one closed; every bin is listed."""
     bounds = scores.agg(F.struct(F.min(score).alias("lo"), F.max(score).alias("hi")).alias("b"))
     at = bounds.scalar()
     spread = F.nullif(at["hi"] - at["lo"], F.lit(0.0))
     place = F.floor((F.col(score) - at["lo"]) / spread * bins)
-    return (
-        scores.select(F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin"))
+    counted = (
+        scores.where(F.col(score).isNotNull())
+        .select(F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin"))
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("patches"))
     )
+    every = scores.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return every.join(counted, "bin", "left").select(
+        "bin", F.coalesce("patches", F.lit(0)).alias("patches")
+    )
 
 
 def threshold_sweep(scores: DataFrame, thresholds, score: str = GATE) -> DataFrame:

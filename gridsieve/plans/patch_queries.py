@@ -19,7 +19,7 @@ from ..operators import mosaic, quality
 from ..operators import patches as pt
 from ..operators import results as rs
 from ..operators.models import embedding
-from ..session import settle
+from ..session import attach_small, settle
 from . import scoring
 from . import tables as tb
 from .registry import (
@@ -382,15 +382,19 @@ sm AS (SELECT aoi, r0, c0, max(mv / (xl * tl + 1e-10)) AS s FROM
     "template_match",
     compose([PX, cut_sql("px"), CORR],
             "SELECT aoi, CAST(r0 AS INT) AS row, CAST(c0 AS INT) AS col, s AS similarity, "
-            "(s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER () + 1e-10) AS prob FROM sm",
+            "(s - min(s) OVER a) / (max(s) OVER a - min(s) OVER a + 1e-10) AS prob FROM sm "
+            "WINDOW a AS (PARTITION BY aoi)",
             "aoi, row, col", "similarity, prob"),
 )
 def template_match(spark, sf):
+    """Correlation with templates, scaled within each area."""
     cut = _raw_patches(spark, sf, ("dtm", "ndvi"))
     out = embedding.template_match(cut, P, TEMPLATES, into="similarity")
     out = settle(out.select("aoi", "row", "col", "similarity"), "matches")
-    at = out.agg(F.struct(F.min("similarity").alias("lo"), F.max("similarity").alias("hi")).alias("b")).scalar()
-    return rounded(out.withColumn("prob", minmax_eps(F.col("similarity"), at["lo"], at["hi"])))
+    scaled = attach_small(out, ev.area_bounds(out, "similarity"), ["aoi"]).withColumn(
+        "prob", minmax_eps(F.col("similarity"), F.col("lo"), F.col("hi"))
+    )
+    return rounded(scaled.drop("lo", "hi"))
 
 
 @query("patch_embedding")

@@ -553,9 +553,11 @@ def aoi_rollup(spark, sf):
 @query(
     "score_histogram",
     compose(
-        [SC, "b AS (SELECT min(gate_prediction) AS lo, max(gate_prediction) AS hi FROM sc)"],
-        "SELECT CAST(least(floor((gate_prediction - lo) / nullif(hi - lo, 0) * 50), 49) AS INT) AS bin, "
-        "count(*) AS patches FROM sc, b GROUP BY 1",
+        [SC, "b AS (SELECT min(gate_prediction) AS lo, max(gate_prediction) AS hi FROM sc)",
+         "h AS (SELECT least(coalesce(floor((gate_prediction - lo) / nullif(hi - lo, 0) * 50), 0), 49) AS i "
+         "FROM sc, b WHERE gate_prediction IS NOT NULL)"],
+        "SELECT CAST(r.bin AS INT) AS bin, count(h.i) AS patches FROM range(50) r(bin) LEFT JOIN h ON h.i = r.bin "
+        "GROUP BY r.bin",
         "bin, patches",
     ),
 )

@@ -92,17 +92,17 @@ def aoi_metadata_json(spark, sf):
     compose(
         [PX, cut_sql("px")],
         "SELECT aoi, CAST(r0 AS INT) AS row, CAST(c0 AS INT) AS col, count(ndvi) AS n_valid, "
-        "round(avg(CAST(coalesce(ndvi, 0) AS FLOAT)), 4) AS ndvi_mean FROM pp WHERE aoi = 'AOI_0001' GROUP BY aoi, r0, c0",
+        "round(avg(CAST(coalesce(ndvi, 0) AS FLOAT)), 4) AS ndvi_mean FROM pp GROUP BY aoi, r0, c0",
         "aoi, row, col, n_valid", "ndvi_mean",
     ),
 )
 def patch_store_roundtrip(spark, sf):
-    """Patches written in single precision per area; one area is read back."""
+    """Patches written in single precision per area, and all of them read back."""
     pair = ("ndvi", "dtm")
     px = tb.pixels(spark, sf).select("aoi", "row", "col", *pair)
     path = scratch_path(spark, "patches")
     sinks.write_patches(pt.extract_patches(px, tb.PIXEL_GRID, tb.MIN_VALID, pair), path, pair)
-    back = readers.read_patches(spark, path, pair, ["AOI_0001"])
+    back = readers.read_patches(spark, path, pair)
     pooled = pt.pool_arrays(back, ("ndvi",))
     return pooled.select(
         "aoi", "row", "col", "n_valid", F.round("ndvi_mean", 4).alias("ndvi_mean")
@@ -135,7 +135,7 @@ FOUR = "prob_autoencoder, prob_iforest, prob_template, sim_score"
     compose(
         [SC, "m AS (SELECT aoi, patch_id, row, col, prob_autoencoder, prob_iforest, prob_kmeans AS prob_template, "
          "arch_similarity AS sim_score FROM sc)"],
-        f"SELECT aoi, patch_id, row, col, {_f32(FOUR)} FROM m WHERE aoi IN ('AOI_0001', 'AOI_0004')",
+        f"SELECT aoi, patch_id, row, col, {_f32(FOUR)} FROM m",
         "aoi, patch_id, row, col", FOUR,
     ),
 )
@@ -145,7 +145,7 @@ def matrix_store_roundtrip(spark, sf):
         {"prob_kmeans": "prob_template", "arch_similarity": "sim_score"}
     )
     sinks.write_score_matrix(rows, path)
-    back = readers.read_by_area(spark, path, ["AOI_0001", "AOI_0004"])
+    back = readers.read_by_area(spark, path)
     return back.select(
         "aoi", "patch_id", "row", "col",
         *[F.round(F.col(c).cast("double"), 4).alias(c) for c in FOUR.split(", ")],
