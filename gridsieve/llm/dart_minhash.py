@@ -22,9 +22,14 @@ BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 # Shingles whose darts are thrown at a time.
 CHUNK = 100_000
-# Buckets of up to so many texts compare all unconnected pairs; larger ones use centres.
+# Buckets of up to so many texts pair all unconnected texts at once.  Larger ones try the
+# centres first, then compare what is still unconnected block by block.
 SMALL_BUCKET = 32
 CENTRES = 4
+# Texts, and elements of their sets, in one side of a block pair, on average.
+BLOCK_TEXTS, BLOCK_ELEMENTS = 512, 1_000_000
+# Elements counted at a time for a block pair.
+COLUMNS = 4096
 
 # Cumulative Poisson(1) probabilities: darts in a cell of unit area.
 _DARTS = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
@@ -193,6 +198,133 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(common >= similarity * union - 1e-9).select("a", "b").distinct()
 
 
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``left`` with all of ``right``."""
+    values = [np.concatenate(side) for side in (left, right)]
+    owners = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (left, right)]
+    both = np.intersect1d(*values)
+    places = []
+    for k, v in enumerate(values):
+        at = np.searchsorted(both, v)
+        held = np.flatnonzero(at < len(both))
+        held = held[both[at[held]] == v[held]]
+        order = np.argsort(at[held], kind="stable")
+        places.append((at[held][order], owners[k][held][order]))
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    for first in range(0, len(both), COLUMNS):
+        parts = []
+        for (at, owner), side in zip(places, (left, right)):
+            x, y = np.searchsorted(at, [first, first + COLUMNS])
+            part = np.zeros((len(side), min(COLUMNS, len(both) - first)), dtype=np.float32)
+            part[owner[x:y], at[x:y] - first] = 1
+            parts.append(part)
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    return out
+
+
+def _spanning_links(table: pa.Table, similarity: float) -> list[tuple[int, int]]:
+    """Links between the two sides of a block pair that join all labels its similar pairs join."""
+    side = np.array(table.column("side"))
+    label, node = np.array(table.column("label")), np.array(table.column("node"))
+    own = table.column("own").combine_chunks()
+    # Sides: 0 left, 1 right, 2 both.
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    if not len(left) or not len(right):
+        return []
+    ends, values = np.array(own.offsets), np.array(own.values)
+    sets = lambda rows: [values[ends[i] : ends[i + 1]] for i in rows]
+    common = _common(sets(left), sets(right))
+    sizes = np.diff(ends)
+    union = sizes[left][:, None] + sizes[right][None, :] - common
+    hit = (common >= similarity * union - 1e-9) & (label[left][:, None] != label[right][None, :])
+    a, b = np.nonzero(hit)
+    a, b = left[a], right[b]
+    _, once = np.unique(np.stack([label[a], label[b]]), axis=1, return_index=True)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(a[once], b[once]):
+        x, y = find(int(label[i])), find(int(label[j]))
+        if x != y:
+            root[x] = y
+            out.append((int(node[i]), int(node[j])))
+    return out
+
+
+def _block_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join all components with a similar pair in a bucket.
+
+    ``members`` are (h, node, label) of buckets with several components.  In each bucket the
+    texts outside its largest component are dealt to blocks, and so are those inside.  Every
+    outer block meets every block in its own task, so every pair of different components is
+    compared by its whole sets, and a task's size does not grow with the bucket.
+    """
+    sized = members.join(sets.select("node", F.size("own").alias("n")), "node")
+    counts = sized.groupBy("h", "label").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    blocks = lambda m, n: F.greatest(
+        F.ceil(m / BLOCK_TEXTS), F.ceil(n / BLOCK_ELEMENTS), F.lit(1)
+    ).cast("int")
+    most = F.max(F.struct("m", "n", "label"))
+    dealt = (
+        counts.groupBy("h").agg(most.alias("x"), F.sum("m").alias("m"), F.sum("n").alias("n"))
+        .select(
+            "h", F.col("x.label").alias("main"), blocks(F.col("x.m"), F.col("x.n")).alias("inner"),
+            blocks(F.col("m") - F.col("x.m"), F.col("n") - F.col("x.n")).alias("outer"),
+        )
+    )
+    placed = members.join(settle(dealt, "dealt"), "h")
+    main = F.col("label") == F.col("main")
+    placed = placed.withColumn(
+        "i", F.pmod(F.xxhash64("node", "h"), F.when(main, F.col("inner")).otherwise(F.col("outer")))
+    ).withColumn("i", F.col("i").cast("int"))
+    # Block pairs are (x, y): two outer blocks if y < outer, else an outer and an inner one.
+    meet = lambda x, y, side: F.struct(
+        x.cast("int").alias("x"), y.cast("int").alias("y"), side.cast("int").alias("side")
+    )
+    i, outer, inner = F.col("i"), F.col("outer"), F.col("inner")
+    outside = F.concat(
+        F.transform(
+            F.sequence(F.lit(0), outer - 1),
+            lambda j: meet(
+                F.least(i, j), F.greatest(i, j),
+                F.when(i == j, F.lit(2)).when(i < j, F.lit(0)).otherwise(F.lit(1)),
+            ),
+        ),
+        F.transform(F.sequence(outer, outer + inner - 1), lambda j: meet(i, j, F.lit(0))),
+    )
+    inside = F.transform(F.sequence(F.lit(0), outer - 1), lambda j: meet(j, outer + i, F.lit(1)))
+    placed = placed.select(
+        "h", "node", "label", F.explode(F.when(main, inside).otherwise(outside)).alias("p")
+    ).select("h", "node", "label", "p.*")
+
+    def compare(table: pa.Table) -> pa.Table:
+        links = _spanning_links(table, similarity)
+        return pa.table(
+            {
+                "a": pa.array([a for a, _ in links], pa.int64()),
+                "b": pa.array([b for _, b in links], pa.int64()),
+            }
+        )
+
+    whole = placed.join(sets.select("node", "own"), "node")
+    return whole.groupBy("h", "x", "y").applyInArrow(compare, "a bigint, b bigint")
+
+
+def _still_open(members: DataFrame, label: DataFrame) -> DataFrame:
+    """``members`` with their component's label, in the buckets that hold several components."""
+    labelled = members.join(label, "node", "left").withColumn(
+        "label", F.coalesce("label", "node")
+    )
+    open_ = labelled.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+    return labelled.join(open_.where("x <> y").select("h"), "h")
+
+
 def near_duplicate_classes(
     docs: DataFrame,
     similarity: float = SIMILARITY,
@@ -207,9 +339,11 @@ def near_duplicate_classes(
     1. Texts with the same words are folded; their smallest id stands for them.
     2. Every text links to the centre (smallest id) that it shares most band buckets with,
        if the exact similarity reaches the limit, and components are formed.
-    3. Where a bucket still holds several components, all other centres are tried, in small
-       buckets all pairs of different components, and in larger ones further centres drawn
-       by hash.  New links join the components.
+    3. Where a small bucket still holds several components, all pairs of different ones are
+       checked.  Larger ones try the text that shares most buckets and centres drawn by
+       hash.  New links join the components.
+    4. Large buckets that still hold several components compare all pairs of different ones
+       in blocks.  So every pair that shares a bucket is checked, or connected already.
 
     ``class_id`` is the smallest id of the class.  Texts without words form one class.  Rows
     that share an id are taken as one document, so their texts share a class.  A row with a
@@ -252,22 +386,21 @@ def near_duplicate_classes(
     label = settle(components(links), "labels")
 
     # Buckets that still hold texts of different components.
-    labelled = members.join(label, "node", "left").withColumn(
-        "label", F.coalesce("label", "node")
-    )
-    open_ = labelled.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-    left = settle(labelled.join(open_.where("x <> y").select("h"), "h"), "open")
+    left = settle(_still_open(members, label), "open")
     small = left.where(F.col("m") <= SMALL_BUCKET).select("h", "node", "label")
     pairs = (
         small.select("h", F.col("node").alias("a"), F.col("label").alias("la"))
         .join(small.select("h", F.col("node").alias("b"), F.col("label").alias("lb")), "h")
         .where("la < lb").select("a", "b")
     )
+    # A text that many others resemble lies in many full buckets.
+    mass = members.groupBy("node").agg(F.sum("m").alias("mass"))
     big = left.where(F.col("m") > SMALL_BUCKET)
-    for r in range(CENTRES + 1):
+    big = settle(big.join(mass, "node").select("h", "node", "label", "mass"), "big")
+    for r in range(-1, CENTRES + 1):
+        order = -F.col("mass") if r < 0 else F.xxhash64("node", "h", F.lit(r)) if r else F.col("node")
         drawn = F.struct(
-            (F.xxhash64("node", "h", F.lit(r)) if r else F.col("node")).alias("x"),
-            F.col("node").alias("a"), F.col("label").alias("la"),
+            order.alias("x"), F.col("node").alias("a"), F.col("label").alias("la")
         )
         centre = big.groupBy("h").agg(F.min(drawn).alias("c")).select("h", "c.a", "c.la")
         pairs = pairs.unionByName(
@@ -277,8 +410,14 @@ def near_duplicate_classes(
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # Pairs that were checked before are not checked again.
     pairs = pairs.join(best, ["a", "b"], "left_anti")
-    more = _verified(pairs, sets, similarity)
-    label = components(links.unionByName(more))
+    links = settle(links.unionByName(_verified(pairs, sets, similarity)), "links")
+    label = settle(components(links), "labels")
+
+    left = _still_open(members.where(F.col("m") > SMALL_BUCKET), label)
+    left = settle(left.select("h", "node", "label"), "open")
+    if not left.isEmpty():
+        more = _block_links(left, sets, similarity)
+        label = components(links.unionByName(more))
 
     classes = first.join(
         label.select(F.col("node").alias("first"), "label"), "first", "left"

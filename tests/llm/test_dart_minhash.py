@@ -138,3 +138,60 @@ def test_keep_one(spark, documents):
     assert sorted(i for i in ids if i is not None) == sorted(c for c in classes if c >= 0)
     assert dm.near_duplicate_classes(documents([])).count() == 0
     assert dm.keep_one(documents([])).count() == 0
+
+
+def test_copies_of_a_middle_original_are_one_class(spark, documents):
+    """Copies resemble the original only, which is not the smallest id of their buckets."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = made_text(rng, 404, vocabulary).split()
+    rows = []
+    for i in range(300):
+        text = list(base)
+        if i != 150:
+            for at in rng.sample(range(4, 400, 5), 7):
+                text[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    # A second group shares the buckets but not the class.
+    far = list(base)
+    for at in range(2, 402, 23):
+        far[at] = f"y{at}"
+    rows += [(1000 + i, " ".join([*far[:-1], f"z{i}"])) for i in range(80)]
+    found = dm.near_duplicate_classes(documents(rows)).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r.class_id, []).append(r.doc_id)
+    assert sorted(sorted(map(str, m)) for m in groups.values()) == brute(rows)
+    assert {r.class_id for r in found if r.doc_id < 300} == {0}
+
+
+def test_block_links_join_all_similar_components(spark, monkeypatch):
+    """Without any centre, and with blocks much smaller than the bucket."""
+    monkeypatch.setattr(dm, "BLOCK_TEXTS", 7)
+    monkeypatch.setattr(dm, "COLUMNS", 16)
+    rng = np.random.default_rng(6)
+    base = rng.choice(2**31 - 1, 120, replace=False)
+    sets = []
+    for i in range(90):
+        own = set(base[: 60 + 60 * (i % 2)].tolist())
+        for x in rng.choice(sorted(own), rng.integers(0, 9), replace=False).tolist():
+            own.remove(x)
+        sets.append(sorted(own | set(rng.choice(2**31 - 1, rng.integers(0, 6)).tolist())))
+    label = [0 if i < 30 else i for i in range(90)]
+    members = spark.createDataFrame([(5, i, label[i]) for i in range(90)], "h bigint, node bigint, label bigint")
+    table = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "node bigint, own array<int>")
+    links = [(r.a, r.b) for r in dm._block_links(members, table, 0.8).collect()]
+
+    def classes(edges):
+        root = list(label)
+        for a, b in edges:
+            x, y = root[a], root[b]
+            root = [min(x, y) if r in (x, y) else r for r in root]
+        return root
+
+    similar = [
+        (i, j) for i in range(90) for j in range(i)
+        if 5 * len(set(sets[i]) & set(sets[j])) >= 4 * len(set(sets[i]) | set(sets[j]))
+    ]
+    assert classes(links) == classes(similar)
+    assert set(map(frozenset, links)) <= set(map(frozenset, similar))
