@@ -161,6 +161,13 @@ class _Reader(HTMLParser):
                     del self.open[k:]
                     break
 
+    def parse_html_declaration(self, i):
+        """Marked sections that the parser does not know end at the next '>', as in browsers."""
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:
+            return self.rawdata.find(">", i + 3) + 1 or -1
+
     def handle_data(self, data):
         if self.hidden:
             return
@@ -174,11 +181,8 @@ class _Reader(HTMLParser):
 def read_page(html: str | None) -> Page:
     """Elements, features' raw material and text runs of a page; tolerant of bad markup."""
     reader = _Reader()
-    try:
-        reader.feed(html or "")
-        reader.close()
-    except AssertionError:  # an unfinished declaration at the end of a page
-        pass
+    reader.feed(html or "")
+    reader.close()
     reader._edge()
     return reader.page
 

@@ -139,3 +139,13 @@ def test_languages(spark, sf_dir):
     found = {r.page_id: r for r in language_id.identify_languages(odd, docs).collect()}
     assert found[2].lang == "de" and found[1].lang is not None and 0 < found[1].probability <= 1
     assert language_id.identify_languages(odd, docs.limit(0)).count() == 2
+
+
+def test_text_after_unknown_marked_sections():
+    for odd in ("<![foo]>", "<![important]", "<![ x ]>", "<![]>", "<![%a;[x]]>", "<![CDATA[x]]>", "<![if x]>"):
+        page = html_graph.read_page(f"<body><p>one</p>{odd}<p>two</p><p>three</p></body>")
+        assert [t for _, t in page.runs][-1] == "three" and page.runs[0][1] == "one", odd
+        if odd != "<![important]":  # ends at the '>' of the next tag
+            assert [t for _, t in page.runs] == ["one", "two", "three"], odd
+    for odd in ("<![", "<![foo", "<![foo]", "<![ x", "<!", "<!D", "<!ELEMENT [", "<![CDATA[x", "<![if"):
+        assert html_graph.read_page(f"<p>one</p>{odd}").runs[0][1].startswith("one"), odd
