@@ -27,6 +27,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = frozenset(
     "script style noscript template svg math iframe object head title canvas audio video".split()
 )
+# A head without an end tag ends where an element starts that it may not hold, or text.
+IN_HEAD = frozenset(
+    "base basefont bgsound head html link meta noframes noscript script style template title".split()
+)
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s "
     "samp small span strike strong sub sup time tt u var".split()
@@ -88,7 +92,7 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.page = Page()
         self.open: list[tuple[str, int]] = [("", 0)]
-        self.hidden = 0
+        self.hidden = 0  # open elements of HIDDEN
         self.links = 0
         self.held: list[str] = []
 
@@ -104,8 +108,11 @@ class _Reader(HTMLParser):
             if tag in ("br", "hr"):
                 self.held.append(" ")
             return
+        if self.hidden:
+            self._show_before(tag)
         if tag in HIDDEN:
             self.hidden += 1
+            self.open.append((tag, self.open[-1][1]))
             return
         if tag in INLINE:
             if tag == "a":
@@ -133,14 +140,31 @@ class _Reader(HTMLParser):
         page.linked.append(0)
         self.open.append((tag, node))
 
+    def _show_before(self, tag: str) -> None:
+        """End an open head or drawing that cannot hold the starting element."""
+        if self.open[-1][0] == "head" and tag not in IN_HEAD:
+            self._leave(len(self.open) - 1)
+        for k in range(len(self.open) - 1, 0, -1):
+            name = self.open[k][0]
+            if name == "foreignobject":
+                return
+            if (name in ("svg", "math") and tag in ENDS_P) or (name == "head" and tag == "body"):
+                self._leave(k)
+                return
+
+    def _leave(self, k: int) -> None:
+        """End the open elements from the k-th on."""
+        self.hidden -= sum(tag in HIDDEN for tag, _ in self.open[k:])
+        del self.open[k:]
+
     def _close(self, tags, starting) -> None:
         """End an open element of ``tags`` that is not beyond a list, table or the body."""
         for k in range(len(self.open) - 1, 0, -1):
             tag = self.open[k][0]
             if tag in tags:
-                del self.open[k:]
+                self._leave(k)
                 return
-            if tag in SCOPE or (tag in ENDS_P and starting not in ENDS_OWN_KIND):
+            if tag in HIDDEN or tag in SCOPE or (tag in ENDS_P and starting not in ENDS_OWN_KIND):
                 return
 
     def handle_startendtag(self, tag, attrs):
@@ -149,16 +173,15 @@ class _Reader(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag in INLINE:
+        if tag in INLINE:
             if tag == "a":
                 self.links = 0
         elif tag not in VOID:
-            self._edge()
+            if tag not in HIDDEN:
+                self._edge()
             for k in range(len(self.open) - 1, 0, -1):
                 if self.open[k][0] == tag:
-                    del self.open[k:]
+                    self._leave(k)
                     break
 
     def parse_html_declaration(self, i):
@@ -169,6 +192,8 @@ class _Reader(HTMLParser):
             return self.rawdata.find(">", i + 3) + 1 or -1
 
     def handle_data(self, data):
+        if self.open[-1][0] == "head" and data.strip():
+            self._leave(len(self.open) - 1)
         if self.hidden:
             return
         self.held.append(data)

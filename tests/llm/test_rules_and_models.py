@@ -149,3 +149,18 @@ def test_text_after_unknown_marked_sections():
             assert [t for _, t in page.runs] == ["one", "two", "three"], odd
     for odd in ("<![", "<![foo", "<![foo]", "<![ x", "<!", "<!D", "<!ELEMENT [", "<![CDATA[x", "<![if"):
         assert html_graph.read_page(f"<p>one</p>{odd}").runs[0][1].startswith("one"), odd
+
+
+def test_text_after_unclosed_hidden_elements():
+    texts = lambda html: [t for _, t in html_graph.read_page(html).runs]
+    for head in ("<head><title>t</title>", "<head><title>t</title></head>", "<head><meta x><link y>",
+                 "<head><title>t</title><script>a < b</script><style>c</style>", "<head><noscript><img>", ""):
+        for body in ("<body>", "<body class=x>"):
+            assert texts(f"<html>{head}{body}<article><p>one</p><p>two</p></article></html>") == ["one", "two"], head
+    assert texts("<html><head><title>t</title><div><p>one</p></div>") == ["one"]
+    assert texts("<head><title>t</title>one<p>two</p>") == ["one", "two"]
+    for tag in ("noscript", "object", "iframe", "canvas", "audio", "video", "svg", "math", "template"):
+        assert texts(f"<body><div>one<{tag}></div><p>two</p></body>") == ["one", "two"], tag
+        assert texts(f"<body><div>one<{tag}>x<b>y</b></{tag}> two</div><p>three</p></body>") == ["one two", "three"], tag
+    assert texts("<p>one</p><svg><path d='m'><g><p>two</p><p>three</p>") == ["one", "two", "three"]
+    assert texts("<p>one</p></noscript></svg><p>two</p>") == ["one", "two"]
