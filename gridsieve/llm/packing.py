@@ -173,6 +173,7 @@ def token_table(
     end_id: int,
     id_col: str = "doc_id",
     text_col: str = "text",
+    added_tokens: bool = False,
 ) -> DataFrame:
     """(doc_id, width, ids) with two bytes an id where a text's ids allow it, else four.
 
@@ -184,7 +185,7 @@ def token_table(
         for batch in batches:
             texts = batch.column(1).to_pylist()
             widths, out = [], []
-            for raw in encoded(tokenizer_path, texts, end_id):
+            for raw in encoded(tokenizer_path, texts, end_id, added_tokens=added_tokens):
                 ids = np.frombuffer(raw, dtype="<u4")
                 small = int(ids.max()) < 1 << 16
                 widths.append(2 if small else 4)
@@ -204,6 +205,7 @@ def pack_documents(
     window: int = WINDOW,
     id_col: str = "doc_id",
     text_col: str = "text",
+    added_tokens: bool = False,
 ) -> DataFrame:
     """Pieces of all documents, placed in sequences of at most ``window`` ids.
 
@@ -215,9 +217,10 @@ def pack_documents(
     padded.
 
     An empty table gives no rows; an empty or null text is its end id; repeated rows are
-    packed each; a null id stays null.
+    packed each; a null id stays null.  Names of added tokens are these tokens with
+    ``added_tokens``, else plain text.
     """
-    table = token_table(docs, tokenizer_path, end_id, id_col, text_col)
+    table = token_table(docs, tokenizer_path, end_id, id_col, text_col, added_tokens)
     lengths = (F.octet_length("ids") / F.col("width")).cast("bigint")
     counted = (
         table.select((lengths % window).alias("n")).groupBy("n").count().collect()

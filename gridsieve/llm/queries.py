@@ -52,14 +52,16 @@ def op4(spark, sf_dir):
 @query("op5_token_files")
 def op5(spark, sf_dir):
     return token_file_digest(
-        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
+        added_tokens=True,
     )
 
 
 @query("op9_packing")
 def op9(spark, sf_dir):
     return pack_documents(
-        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        added_tokens=True,
     )
 
 

@@ -71,6 +71,7 @@ def write_token_files(
     id_col: str = "doc_id",
     text_col: str = "text",
     block_ids: int = BLOCK_IDS,
+    added_tokens: bool = False,
 ) -> None:
     """Encode every whole text and write its ids, documents in ascending id order.
 
@@ -100,7 +101,7 @@ def write_token_files(
             )
 
         for batch in batches:
-            ids = encoded(tokenizer_path, batch.column(1).to_pylist(), end_id)
+            ids = encoded(tokenizer_path, batch.column(1).to_pylist(), end_id, added_tokens=added_tokens)
             for owner, own in zip(batch.column(0).to_pylist(), ids):
                 held.append(own)
                 owners.append(owner)
@@ -157,15 +158,18 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return placed.mapInArrow(documents, "doc_id bigint, start bigint, ids binary")
 
 
-def token_file_digest(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
+def token_file_digest(
+    docs: DataFrame, tokenizer_path: str, end_id: int = 1, added_tokens: bool = False
+) -> DataFrame:
     """Write ``docs`` as token files, read them back, and describe each document.
 
     Columns: doc_id, start, n_tokens, ids_crc32.  An empty table gives no rows; an empty or
-    null text has the end id alone; repeated rows each have their own ids and place.
+    null text has the end id alone; repeated rows each have their own ids and place.  Names
+    of added tokens are these tokens with ``added_tokens``, else plain text.
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "token-files")
-    write_token_files(docs, path, tokenizer_path, end_id)
+    write_token_files(docs, path, tokenizer_path, end_id, added_tokens=added_tokens)
     return read_token_files(spark, path).select(
         "doc_id",
         "start",

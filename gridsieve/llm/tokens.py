@@ -26,7 +26,7 @@ def _spaced(piece: str) -> str:
     return piece.replace(" ", "Ġ")
 
 
-_loaded: dict[str, "PieceTokenizer"] = {}
+_loaded: dict[tuple[str, bool], "PieceTokenizer"] = {}
 
 
 class PieceTokenizer:
@@ -34,15 +34,17 @@ class PieceTokenizer:
 
     A text is cut where the tokenizer's own split pattern always cuts, each distinct piece
     is encoded once, and a text's ids are its pieces' ids in order.  ``keep`` bounds the
-    pieces remembered between calls; it affects speed only.
+    pieces remembered between calls; it affects speed only.  With ``added_tokens`` the name of
+    an added token in a text, such as <|endoftext|>, is that token, as the tokenizer itself
+    has it; otherwise it is plain text.
     """
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 250_000, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = not added_tokens
         self._keep = keep
         self._known: dict[str, bytes] = {}
         split = json.loads(self._tokenizer.to_str())["pre_tokenizer"] or {}
@@ -51,6 +53,14 @@ class PieceTokenizer:
             ("ByteLevel",): (PIECES_WITH_SPACE, re.compile(" ?[A-Za-z]+"), _spaced),
             ("Split", "ByteLevel"): (PIECES_WITHOUT_SPACE, re.compile("[A-Za-z]+"), str.lower),
         }.get(parts, (None, None, None))
+        self._added, self._added_ids = None, {}
+        added = self._tokenizer.get_added_tokens_decoder() if added_tokens else {}
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            self._pieces = None
+        elif added:
+            self._added_ids = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
+            names = sorted(self._added_ids, key=len, reverse=True)
+            self._added = re.compile("(" + "|".join(map(re.escape, names)) + ")")
 
     def _encode(self, pieces: list[str]) -> Iterator[bytes]:
         for e in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
@@ -69,28 +79,40 @@ class PieceTokenizer:
             some = other[at : at + 4096]
             self._known.update(zip(some, self._encode(some)))
 
+    def _cut(self, text: str) -> list[str]:
+        """Pieces of a text; added tokens are cut out first, each a piece of its own."""
+        if self._added is None or not self._added.search(text):
+            return self._pieces.findall(text)
+        out = []
+        for k, part in enumerate(self._added.split(text)):
+            out += [part] if k % 2 else self._pieces.findall(part)
+        return out
+
     def __call__(self, texts: Iterable[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
         if self._pieces is None:
             return list(self._encode(texts))
-        cut = [self._pieces.findall(t) for t in texts]
+        cut = [self._cut(t) for t in texts]
         known = self._known
         if len(known) > self._keep:
             known.clear()
+        known.update(self._added_ids)
         self._learn({p for pieces in cut for p in pieces if p not in known})
         return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
 
-def tokenizer(path: str) -> PieceTokenizer:
+def tokenizer(path: str, added_tokens: bool = False) -> PieceTokenizer:
     """The tokenizer of ``path``, loaded once per Python worker."""
-    if path not in _loaded:
-        _loaded[path] = PieceTokenizer(path)
-    return _loaded[path]
+    if (path, added_tokens) not in _loaded:
+        _loaded[path, added_tokens] = PieceTokenizer(path, added_tokens=added_tokens)
+    return _loaded[path, added_tokens]
 
 
-def encoded(path: str, texts: list, end_id: int, at_once: int = 256) -> Iterator[bytes]:
+def encoded(
+    path: str, texts: list, end_id: int, at_once: int = 256, added_tokens: bool = False
+) -> Iterator[bytes]:
     """Ids of every text followed by ``end_id``; a null text counts as empty."""
-    encode = tokenizer(path)
+    encode = tokenizer(path, added_tokens)
     end = np.array([end_id], dtype="<u4").tobytes()
     for at in range(0, len(texts), at_once):
         for ids in encode(texts[at : at + at_once]):

@@ -129,3 +129,31 @@ def test_least_squares_plan():
             a[n, j] += 1
     slope = a.T @ (a @ x - histogram)
     assert (x >= 0).all() and (slope > -0.05).all() and (np.abs(slope[x > 0]) < 0.05).all()
+
+
+UNTOUCHED = {n: Tokenizer.from_file(PATHS[n]) for n in NAMES}
+ADDED = {n: PieceTokenizer(PATHS[n], keep=50, added_tokens=True) for n in NAMES}
+MARKED = st.lists(st.one_of(ODD, st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", " ", "a"])), max_size=8)
+
+
+@pytest.mark.parametrize("name", NAMES)
+@settings(max_examples=300, deadline=None)
+@given(parts=MARKED)
+def test_added_tokens_give_the_ids_of_the_untouched_tokenizer(name, parts):
+    text = "".join(parts)
+    want = UNTOUCHED[name].encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(ADDED[name]([text])[0], "<u4").tolist() == want
+
+
+def test_registered_queries_keep_added_tokens(spark, documents, tmp_path):
+    from gridsieve.llm import queries
+
+    text = "0 <|endoftext|> end <|startoftext|>"
+    documents([(7, text)]).write.parquet(f"{tmp_path}/documents.parquet")
+    want = [UNTOUCHED[n].encode(text, add_special_tokens=False).ids + [1] for n in NAMES]
+    assert 49407 in want[0] and 49406 in want[0] and 50256 in want[1]
+    (row,) = queries.QUERIES["op5_token_files"](spark, str(tmp_path)).collect()
+    assert (row.n_tokens, row.ids_crc32) == (len(want[0]), _crc(want[0]))
+    pieces = sorted(queries.QUERIES["op9_packing"](spark, str(tmp_path)).collect(), key=lambda r: r.start)
+    assert {r.doc_tokens for r in pieces} == {len(want[1])}
+    assert [r.ids_crc32 for r in pieces] == [_crc(want[1][r.start : r.start + r.length]) for r in pieces]
