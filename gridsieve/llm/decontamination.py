@@ -32,12 +32,12 @@ def build_automata(
 ) -> list[SuffixAutomaton]:
     """Automata over all items, each of about ``most_words`` words.
 
-    Items without words, or without an id, are left out.  An item id on several rows stands
-    for one item with several texts.  A benchmark is read to the driver part by part.
+    Items without words are left out.  An item id on several rows stands for one item with
+    several texts.  An item without an id is hit like any other; its name is None.  A benchmark is read to the driver part by part.
     """
     items = benchmark.select(
         F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")
-    ).where("i is not null and t is not null")
+    ).where("t is not null")
     size = items.agg(F.sum(F.octet_length("t") / 2)).first()[0] or 0
     parts = max(1, -(-int(size) // most_words))
     out = []
@@ -45,7 +45,8 @@ def build_automata(
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p).toLocalIterator()
         some = [(r["i"], benchmark_words(r["t"])) for r in rows]
         if some:
-            out.append(SuffixAutomaton(sorted(some), window))
+            some.sort(key=lambda s: (s[0] is not None, s[0] or "", s[1]))
+            out.append(SuffixAutomaton(some, window))
     return out
 
 
@@ -58,6 +59,8 @@ def find_contamination(
 ) -> DataFrame:
     """Columns of ``docs`` and n_words, spans (of hit words), items (sorted item ids).
 
+    Items without an id count for the spans and are not named.
+
     The automata are broadcast, each bounded by ``most_words``; documents are not shuffled.
     With several automata one pass over the documents is made for each, and the few
     documents with hits are merged by the digest of their text.  Names that clash with the
@@ -116,7 +119,7 @@ def _searched(docs: DataFrame, automaton: SuffixAutomaton | None, text_col: str)
                 counts.append(len(words))
                 own, names = automaton.hits(words) if automaton else ((), ())
                 spans.append([{"from": a, "to": b} for a, b in own])
-                items.append(sorted(names))
+                items.append(sorted(name for name in names if name is not None))
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns,

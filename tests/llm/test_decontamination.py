@@ -101,3 +101,16 @@ def test_empty_tables(spark, documents):
     clash = documents([(1, "a b")]).selectExpr("*", "1 AS spans", "2 AS items")
     assert dc.find_contamination(clash, bench).first()["spans"] == []
     assert dc.contamination_report(documents([]), bench).count() == 0
+
+
+@pytest.mark.parametrize("most_words", [400_000, 20])
+def test_items_without_an_id_are_hit_and_not_named(spark, documents, most_words):
+    words = [f"word{i} " for i in range(60)]
+    items = [(None, "".join(words[:15])), (None, "tiny item"), (7, "".join(words[20:35]))]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = documents([(1, "".join(words[:14])), (2, "".join(words[:35])), (3, "tiny item"), (4, "clean")])
+    found = dc.find_contamination(docs.select("doc_id", "text"), benchmark, most_words=most_words)
+    got = {r.doc_id: (r.hit, r["items"]) for r in found.select("doc_id", dc.n_hit().alias("hit"), "items").collect()}
+    assert got == {1: (14, []), 2: (30, ["7"]), 3: (2, []), 4: (0, [])}
+    report = {r.doc_id: (r.contaminated, r.n_items) for r in dc.contamination_report(docs, benchmark).collect()}
+    assert report == {1: (True, 0), 2: (True, 1), 3: (True, 0), 4: (False, 0)}
