@@ -11,6 +11,7 @@ from gridsieve.llm.dart_minhash import near_duplicate_classes
 from gridsieve.llm.decontamination import contamination_report
 from gridsieve.llm.html_graph import extract_pages
 from gridsieve.llm.language_id import identify_languages
+from gridsieve.llm.license_scan import scan_licenses
 from gridsieve.llm.packing import pack_documents
 from gridsieve.llm.quality_rules import quality_report, quality_sql
 from gridsieve.llm.quality_votes import quality_votes
@@ -98,3 +99,8 @@ def op3(spark, sf_dir):
 @query("op8_language_id")
 def op8(spark, sf_dir):
     return identify_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+@query("op13_license_scan")
+def op13(spark, sf_dir):
+    return scan_licenses(table(spark, sf_dir, "documents"))
