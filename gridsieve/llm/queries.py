@@ -13,6 +13,7 @@ from gridsieve.llm.html_graph import extract_pages
 from gridsieve.llm.language_id import identify_languages
 from gridsieve.llm.license_scan import scan_licenses
 from gridsieve.llm.packing import pack_documents
+from gridsieve.llm.prefix_trie import TRIE_SQL, conversation_trie
 from gridsieve.llm.quality_rules import quality_report, quality_sql
 from gridsieve.llm.quality_votes import quality_votes
 from gridsieve.llm.substring_index import repeats_report
@@ -104,3 +105,8 @@ def op8(spark, sf_dir):
 @query("op13_license_scan")
 def op13(spark, sf_dir):
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op11_prefix_trie", TRIE_SQL)
+def op11(spark, sf_dir):
+    return conversation_trie(table(spark, sf_dir, "conversations"))
