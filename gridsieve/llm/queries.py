@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from gridsieve.llm.collocations import COLLOCATIONS_SQL, collocations
 from gridsieve.llm.dart_minhash import near_duplicate_classes
 from gridsieve.llm.decontamination import contamination_report
 from gridsieve.llm.html_graph import extract_pages
@@ -110,3 +111,8 @@ def op13(spark, sf_dir):
 @query("op11_prefix_trie", TRIE_SQL)
 def op11(spark, sf_dir):
     return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_collocations", COLLOCATIONS_SQL)
+def op12(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))
