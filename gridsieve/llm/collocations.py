@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridsieve.llm.shingles import mix
@@ -20,18 +19,20 @@ LONGEST = 5
 LEAST = 100
 FIRST = 2000
 NO_LANG = "und"
-# Grams of one place, the unit of work that a worker holds, and of one partition (about).
-PLACE_GRAMS = 400_000
+# Words of one place, the unit of work that a worker holds, and places of one partition (about).
+PLACE_WORDS = 400_000
 PLACES = 4
 MOST_PARTITIONS = 20_000
-# A word with over 1 / HOT_SHARE of a place's grams spreads its grams over many; there are
-# never more of them than MOST_HOT.
-HOT_SHARE = 4
-MOST_HOT = 100_000
+# One position in SAMPLED is looked at to find beginnings too common for one place; there are
+# at most three times MOST_SPREAD of them.
+SAMPLED = 509
+MOST_SPREAD = 30_000
+# The most frequent words are written as one character each.
+CODED_WORDS = 1 << 18
 # Bits of the table of frequent words: this many for each word, up to a fixed size.
 BITS_PER_WORD, MOST_BITS = 16, 1 << 27
 # Characters of text handled at a time in a worker.
-AT_ONCE = 2_000_000
+AT_ONCE = 3_000_000
 
 # Characters that end a piece; inside a piece, space and tab end a word.
 BREAKS = ".,;:!?\n\x0b\x0c\r"
@@ -39,19 +40,9 @@ _LETTERS = bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B))
 _FOLD = bytes.maketrans(
     _LETTERS[0] + BREAKS.encode() + b"\t", _LETTERS[1] + b"." * len(BREAKS) + b" "
 )
-# The words of a gram are joined by a tab, which sorts before all their characters:
-# those below it are spelled with an escape that no word has.
-_LOW = re.compile("[\x00-\x08]")
-_ESCAPED = re.compile("\x0b(.)", re.S)
-
-
-def _spelled(word: str) -> str:
-    return _LOW.sub(lambda m: "\x0b" + chr(ord(m[0]) + 0x40), word)
-
-
-def _phrase(gram: str) -> str:
-    plain = gram.replace("\t", " ")
-    return _ESCAPED.sub(lambda m: chr(ord(m[1]) - 0x40), plain) if "\x0b" in plain else plain
+# No word has these characters, so they set grams and words without a code apart.
+_SPELLED, _SPELLED_END, _GRAM_END = "\x0c", "\t", "\n"
+_FIRST_CODE, _SURROGATES, _BEYOND = 0x0E, (0xD800, 0x800), 0x110000
 
 
 def tokens(texts: list[str | None]) -> list[bytes]:
@@ -62,16 +53,19 @@ def tokens(texts: list[str | None]) -> list[bytes]:
 
 def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list]]:
     """(lang, texts) of a bounded number of characters, or of one long text."""
+    held: dict[str, list] = {}
+    sizes: dict[str, int] = {}
     for batch in batches:
-        held: dict[str, list] = {}
-        sizes: dict[str, int] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             held.setdefault(lang, []).append(text.as_py())
             sizes[lang] = sizes.get(lang, 0) + len(held[lang][-1] or "")
             if sizes[lang] >= AT_ONCE:
                 yield lang, held.pop(lang)
                 sizes.pop(lang)
-        yield from held.items()
+            elif sum(sizes.values()) >= 2 * AT_ONCE:
+                yield from held.items()
+                held, sizes = {}, {}
+    yield from held.items()
 
 
 def _numbered(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +79,10 @@ def _numbered(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return codes, distinct
 
 
+def _told(words: np.ndarray) -> list[str]:
+    return [w.decode("utf-8", "surrogatepass") for w in words]
+
+
 def _hashes(lang: str, distinct: np.ndarray) -> np.ndarray:
     words = pd.util.hash_array(distinct, categorize=False).astype(np.uint64)
     seed = pd.util.hash_array(np.array([lang], dtype=object), categorize=False)[0]
@@ -92,29 +90,35 @@ def _hashes(lang: str, distinct: np.ndarray) -> np.ndarray:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """lang, word (spelled), f of every word, and under the null word all words of the lang."""
+    """kind, lang, word, f: "word" every word, "all" the words of the lang, "sample" the grams
+    of up to ``LONGEST - 1`` words at one position in ``SAMPLED``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in _by_lang(batches):
             codes, distinct = _numbered(tokens(texts))
+            words = _told(distinct)
+            sampled = []
+            for at in range(SAMPLED // 2, len(codes) - 1, SAMPLED):
+                gram = codes[at : at + LONGEST - 1].tolist()
+                gram = gram[: gram.index(-1)] if -1 in gram else gram
+                if len(gram) > 1:
+                    sampled.append(" ".join(words[k] for k in gram))
             codes = codes[codes >= 0]
             f = np.bincount(codes, minlength=len(distinct))
-            seen = np.flatnonzero(f)
-            words = [_spelled(w.decode("utf-8", "surrogatepass")) for w in distinct[seen]]
+            seen = np.flatnonzero(f).tolist()
+            kinds = ["word"] * len(seen) + ["all"] + ["sample"] * len(sampled)
+            told = [*(words[k] for k in seen), "", *sampled]
+            weights = np.concatenate((f[seen], [len(codes)], np.ones(len(sampled), np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang] * (len(words) + 1)),
-                    pa.array([*words, None], pa.string()),
-                    pa.array(np.append(f[seen], len(codes))),
-                ],
-                names=["lang", "word", "f"],
+                [pa.array(kinds), pa.array([lang] * len(told)), pa.array(told), pa.array(weights)],
+                names=["kind", "lang", "word", "f"],
             )
 
-    counted = docs.mapInArrow(count, "lang string, word string, f bigint")
-    return counted.groupBy("lang", "word").agg(F.sum("f").alias("f"))
+    counted = docs.mapInArrow(count, "kind string, lang string, word string, f bigint")
+    return counted.groupBy("kind", "lang", "word").agg(F.sum("f").alias("f"))
 
 
-def _word_bits(spark: SparkSession, frequent: DataFrame) -> np.ndarray:
+def _word_bits(frequent: DataFrame) -> np.ndarray:
     """A table of bits, one set for each frequent word.
 
     It grows with the words up to ``MOST_BITS`` (16 MB); a word that shares its bit with a
@@ -125,13 +129,14 @@ def _word_bits(spark: SparkSession, frequent: DataFrame) -> np.ndarray:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = []
-            for lang, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = np.array([_phrase(word).encode("utf-8", "surrogatepass")], dtype=object)
-                at.append(int(_hashes(lang, raw)[0]) % bits)
-            at = np.unique(np.array(at, dtype=np.int64))
+            langs = np.array(batch.column(0).to_pylist(), dtype=object)
+            raw = np.empty(batch.num_rows, dtype=object)
+            raw[:] = [w.encode("utf-8", "surrogatepass") for w in batch.column(1).to_pylist()]
+            at = [_hashes(lang, raw[langs == lang]) % np.uint64(bits) for lang in set(langs)]
+            at = np.unique(np.concatenate(at).astype(np.int64)) if at else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(at >> 16), pa.array((at & 0xFFFF).astype(np.int32))], names=["block", "bit"]
+                [pa.array(at >> 16), pa.array((at & 0xFFFF).astype(np.int32))],
+                names=["block", "bit"],
             )
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,147 +153,212 @@ def _word_bits(spark: SparkSession, frequent: DataFrame) -> np.ndarray:
     blocks = frequent.select("lang", "word").mapInArrow(place, "block bigint, bit int")
     blocks = blocks.groupBy("block").agg(F.collect_set("bit").alias("bits"))
     table = np.zeros(bits // 8, dtype=np.uint8)
-    for row in blocks.mapInArrow(packed, "block bigint, bytes binary").collect():
+    for row in blocks.mapInArrow(packed, "block bigint, bytes binary").toLocalIterator():
         at = row["block"] << 13
         table[at : at + (1 << 13)] = np.frombuffer(row["bytes"], dtype=np.uint8)
     return table
 
 
-def longest_grams(
-    docs: DataFrame, bits: np.ndarray, hot: set[tuple[str, str]], places: int
-) -> DataFrame:
-    """place, lang, gram, c: the edges of the graph with their weights, batch by batch.
+def _code(rank: int) -> int:
+    code = _FIRST_CODE + rank
+    return code + _SURROGATES[1] if code >= _SURROGATES[0] else code
+
+
+@dataclass
+class Plan:
+    """What every worker knows: all of it bounded by parameters, not by the texts."""
+
+    bits: np.ndarray
+    coded: dict[str, list[str]]  # the most frequent words of each language, in order of code
+    spread: dict[str, set[str]]  # beginnings whose grams go to many places
+    places: int
+
+    def numbers(self, lang: str) -> dict[str, int]:
+        return {w: _code(k) for k, w in enumerate(self.coded.get(lang, ()))}
+
+
+def longest_grams(docs: DataFrame, plan: Plan) -> DataFrame:
+    """place, lang, n, grams, twice: the edges of the graph, many to a row.
 
     From every word a gram goes on for ``LONGEST`` words; the end of a piece or a word below
     the limit cuts it short, and a gram of one word is no edge.  Grams that share their first
-    words up to one that is not hot (two words at least) have the same place; so what one
-    beginning brings to a place is bounded by a word that is not hot.
+    two words have the same place, or their first three or four if fewer are too common, so
+    each place gets its share.  A row holds the ``n`` distinct grams of one place and stretch
+    of text; ``twice`` has (index, weight) of those found more than once.
     """
-    held = docs.sparkSession.sparkContext.broadcast((bits, hot))
+    held = docs.sparkSession.sparkContext.broadcast(plan)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, hot = held.value
+        plan, known_numbers = held.value, {}
         for lang, texts in _by_lang(batches):
             codes, distinct = _numbered(tokens(texts))
             if not len(codes):
                 continue
             hashes = _hashes(lang, distinct)
-            at = (hashes % np.uint64(len(table) * 8)).astype(np.int64)
-            known = (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            at = (hashes % np.uint64(len(plan.bits) * 8)).astype(np.int64)
+            known = (plan.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
             codes = np.where(known[codes] & (codes >= 0), codes, -1)
-            spelled = [_spelled(w.decode("utf-8", "surrogatepass")) for w in distinct]
-            spread = np.array([(lang, w) in hot for w in spelled], dtype=bool)
+            if lang not in known_numbers:
+                known_numbers[lang] = plan.numbers(lang)
+            numbers, words = known_numbers[lang], _told(distinct)
+            written = pa.array(
+                [chr(numbers[w]) if w in numbers else _SPELLED + w + _SPELLED_END for w in words]
+            )
             padded = np.concatenate((codes, np.full(LONGEST, -1)))
             n = len(codes)
             start = np.flatnonzero((padded[:n] >= 0) & (padded[1 : n + 1] >= 0))
             if not len(start):
                 continue
-            first = codes[start]
-            gram = pa.array(spelled, pa.string())
-            words = gram
-            made = words.take(pa.array(first))
-            key = hashes[first]
-            loose = np.ones(len(start), dtype=bool)
-            alive = np.ones(len(start), dtype=bool)
-            seen_cold = ~spread[first]
+            made, key = written.take(pa.array(codes[start])), hashes[codes[start]]
+            alive, loose = np.ones(len(start), bool), np.ones(len(start), bool)
             for k in range(1, LONGEST):
                 nxt = padded[start + k]
                 alive &= nxt >= 0
-                safe = np.where(alive, nxt, 0)
-                step = pc.if_else(pa.array(alive), words.take(pa.array(safe)), None)
-                made = pc.binary_join_element_wise(
-                    made, step, "\t", null_handling="skip"
-                )
+                step = written.take(pa.array(nxt, mask=~alive))
+                made = pc.binary_join_element_wise(made, step, "", null_handling="skip")
                 grow = alive & loose
-                key = np.where(grow, mix(key * np.uint64(31) + hashes[safe]), key)
-                seen_cold |= alive & ~spread[safe]
-                loose &= ~seen_cold
-            place = (key % np.uint64(places)).astype(np.int32)
+                key = np.where(grow, mix(key * np.uint64(31) + hashes[np.where(alive, nxt, 0)]), key)
+                loose = grow & _common(plan.spread.get(lang), words, padded, start, k, grow)
+            place = (key % np.uint64(plan.places)).astype(np.int32)
             rows = pa.table({"place": place, "gram": made})
-            rows = rows.group_by(["place", "gram"], use_threads=False).aggregate([([], "count_all")])
-            for b in rows.combine_chunks().to_batches(max_chunksize=65_536):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("place"), pa.array([lang] * b.num_rows), b.column("gram"),
-                        b.column("count_all"),
-                    ],
-                    names=["place", "lang", "gram", "c"],
-                )
+            rows = rows.group_by(["place", "gram"], use_threads=False)
+            yield from _packed(lang, rows.aggregate([([], "count_all")]))
 
-    return docs.mapInArrow(cut, "place int, lang string, gram string, c bigint")
+    return docs.mapInArrow(
+        cut, "place int, lang string, n int, grams binary, twice binary"
+    )
 
 
-def _flows(least: int, hot: set[tuple[str, str]]):
+def _common(spread, words, padded, start, k, among) -> np.ndarray:
+    """Whether the first k + 1 words of a gram are in ``spread``, for the grams ``among``."""
+    out = np.zeros(len(start), dtype=bool)
+    if not spread or k + 1 >= LONGEST:
+        return out
+    numbers = {w: i for i, w in enumerate(words)}
+    for phrase in spread:
+        parts = [numbers.get(w) for w in phrase.split(" ")]
+        if len(parts) == k + 1 and None not in parts:
+            rows = among.copy()
+            for j, part in enumerate(parts):
+                rows[rows] = padded[start[rows] + j] == part
+            out |= rows
+    return out
+
+
+def _packed(lang: str, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """One row for each place, its grams one after another."""
+    order = np.argsort(rows.column("place").to_numpy(), kind="stable")
+    place = rows.column("place").to_numpy()[order]
+    weight = rows.column("count_all").to_numpy()[order]
+    grams = rows.column("gram").combine_chunks().take(pa.array(order))
+    ended = pc.binary_join_element_wise(grams, "", _GRAM_END)
+    offsets = np.frombuffer(ended.buffers()[1], dtype=np.int32)[: len(ended) + 1]
+    edges = np.flatnonzero(np.diff(place, prepend=-1, append=-1))
+    blobs = pa.Array.from_buffers(
+        pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets[edges].copy()), ended.buffers()[2]]
+    )
+    twice = []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        at = np.flatnonzero(weight[a:b] > 1)
+        twice.append(np.stack((at, weight[a:b][at])).astype("<i8").tobytes())
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(place[edges[:-1]]), pa.array([lang] * (len(edges) - 1)),
+            pa.array(np.diff(edges).astype(np.int32)), blobs, pa.array(twice, pa.binary()),
+        ],
+        names=["place", "lang", "n", "grams", "twice"],
+    )
+
+
+def _unpacked(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
+    """Matrix of word numbers (0 beyond a gram's end), weights, and the words without a code."""
+    text = b"".join(r["grams"] for r in rows).decode("utf-8", "surrogatepass")
+    weight = np.ones(sum(r["n"] for r in rows), dtype=np.int64)
+    at = 0
+    for r in rows:
+        if r["twice"]:
+            where, f = np.frombuffer(r["twice"], dtype="<i8").reshape(2, -1)
+            weight[at + where] = f
+        at += r["n"]
+    signs = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    spelled: dict[str, int] = {}
+    begin = np.flatnonzero(signs == ord(_SPELLED))
+    if len(begin):
+        end = np.flatnonzero(signs == ord(_SPELLED_END))
+        for a, b in zip(begin.tolist(), end.tolist()):
+            signs[a] = spelled.setdefault(text[a + 1 : b], _BEYOND + len(spelled))
+        inside = np.zeros(len(signs) + 1, dtype=np.int8)
+        inside[begin + 1] += 1
+        inside[end + 1] -= 1
+        signs = signs[np.cumsum(inside[:-1]) == 0]
+    ends = np.flatnonzero(signs == ord(_GRAM_END))
+    size = np.diff(ends, prepend=-1) - 1
+    matrix = np.zeros((len(ends), LONGEST), dtype=np.int64)
+    matrix[np.arange(LONGEST) < size[:, None]] = signs[signs != ord(_GRAM_END)]
+    return matrix, weight, {v: w for w, v in spelled.items()}
+
+
+def _flows(least: int, held):
     """Counts of all grams that begin an edge, place by place, by sorted prefix sums.
 
     A node's count is what flows out of it along its edges, plus the edges that end with it
     as a piece does.  Sorted by words, the edges of a node are neighbours; the changes of each
-    column are OR-ed onto those before it, and reduceat adds the weights up.  Grams of hot
-    words alone may go on in other places, so all their sums are passed on.
+    column are OR-ed onto those before it, and reduceat adds the weights up.  Beginnings that
+    are spread over places have only a part of their sum here, so it is passed on as it is.
     """
+    numbers: dict[str, dict[str, int]] = {}
 
     def flows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = [], None
+        rows, at = [], None
         for batch in batches:
-            place = batch.column(0).to_numpy()
-            edges = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(place)]
-            for a, b in zip(edges, edges[1:]):
-                if held and place[a] != at:
-                    yield from sums(held)
-                    held = []
-                at = place[a]
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from sums(held)
-
-    def sums(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held).combine_chunks()
-        split = pc.split_pattern(table.column("gram").chunk(0), "\t")
-        offsets = split.offsets.to_numpy().astype(np.int64)
-        words = split.values.dictionary_encode()
-        langs = table.column("lang").chunk(0).dictionary_encode()
-        weight = table.column("c").to_numpy()
-        del table, split
-        codes = words.indices.to_numpy().astype(np.int64)
-        names, lang_names = words.dictionary, langs.dictionary.to_pylist()
-        lang = langs.indices.to_numpy().astype(np.int64)
-        size = np.diff(offsets)
-        matrix = np.zeros((len(size), LONGEST), dtype=np.int64)
-        matrix[np.arange(LONGEST) < size[:, None]] = codes + 1
-        # Three keys of two columns each sort faster than six.
-        width = np.int64(len(names) + 2)
-        keys = (
-            matrix[:, 3] * width + matrix[:, 4], matrix[:, 1] * width + matrix[:, 2],
-            lang * width + matrix[:, 0],
-        )
-        order = np.lexsort(keys)
-        matrix, lang, weight = matrix[order], lang[order], weight[order]
-        hot_codes = np.zeros((len(lang_names), len(names) + 1), dtype=bool)
-        where = {w: k + 1 for k, w in enumerate(names.to_pylist())}
-        for k, name in enumerate(lang_names):
-            for hot_lang, w in hot:
-                if hot_lang == name and w in where:
-                    hot_codes[k, where[w]] = True
-        mask = np.ones(len(lang), dtype=bool)
-        mask[1:] = lang[1:] != lang[:-1]
-        open_here = np.ones(len(lang), dtype=bool)
+            for row in batch.to_pylist():
+                if rows and (row["place"], row["lang"]) != at:
+                    yield from sums(rows)
+                    rows = []
+                at = row["place"], row["lang"]
+                rows.append(row)
+        if rows:
+            yield from sums(rows)
+
+    def sums(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        plan, lang = held.value, rows[0]["lang"]
+        if lang not in numbers:
+            numbers[lang] = plan.numbers(lang)
+        matrix, weight, spelled = _unpacked(rows)
+        rows.clear()
+        number = {**numbers[lang], **{w: k for k, w in spelled.items()}} if spelled else numbers[lang]
+        spread = [[number.get(w) for w in p.split(" ")] for p in plan.spread.get(lang, ())]
+        spread = {tuple(p) for p in spread if None not in p}
+        pairs = np.array([p[0] << 32 | p[1] for p in spread], dtype=np.int64)
+        m = matrix
+        order = np.lexsort((m[:, 4], m[:, 2] << 32 | m[:, 3], m[:, 0] << 32 | m[:, 1]))
+        matrix, weight = m[order], weight[order]
+        mask = np.zeros(len(matrix), dtype=bool)
+        mask[:1] = True
         for j in range(LONGEST):
             mask[1:] |= matrix[1:, j] != matrix[:-1, j]
-            open_here &= hot_codes[lang, matrix[:, j]]
             if not j:
                 continue
             marks = np.flatnonzero(mask)
             f = np.add.reduceat(weight, marks)
-            keep = (matrix[marks, j] > 0) & ((f >= least) | open_here[marks])
-            marks, f = marks[keep], f[keep]
-            if not len(marks):
+            real = matrix[marks, j] > 0
+            keep = real & (f >= least)
+            if len(pairs) and j + 1 < LONGEST:
+                first = matrix[marks, 0] << 32 | matrix[marks, 1]
+                for k in np.flatnonzero(real & ~keep & np.isin(first, pairs)).tolist():
+                    keep[k] = tuple(matrix[marks[k], : j + 1].tolist()) in spread
+            if not keep.any():
                 continue
-            parts = [names.take(pa.array(matrix[marks, i] - 1)) for i in range(j + 1)]
-            made = pc.binary_join_element_wise(*parts, "\t")
+            found = matrix[marks[keep], : j + 1].tolist()
+            words = dict(spelled)
+            coded = plan.coded.get(lang, [])
+            for v in {v for g in found for v in g} - words.keys():
+                words[v] = coded[v - (_SURROGATES[1] if v >= sum(_SURROGATES) else 0) - _FIRST_CODE]
+            grams = [" ".join(words[v] for v in g) for g in found]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([lang_names[k] for k in lang[marks]]), made,
-                    pa.array(np.full(len(marks), j + 1, dtype=np.int32)), pa.array(f),
+                    pa.array([lang] * len(grams)), pa.array(grams),
+                    pa.array(np.full(len(grams), j + 1, dtype=np.int32)), pa.array(f[keep]),
                 ],
                 names=["lang", "gram", "k", "f"],
             )
@@ -296,47 +366,69 @@ def _flows(least: int, hot: set[tuple[str, str]]):
     return flows
 
 
+def _spread_beginnings(samples: DataFrame, place_words: int) -> dict[str, set[str]]:
+    """Phrases of 2 to ``LONGEST - 1`` words that begin over a quarter of a place's grams, by
+    the sample; a wrong guess costs balance, nothing else."""
+    total = samples.agg(F.sum("f")).first()[0] or 0
+    common = max(2, place_words // (4 * SAMPLED), total // MOST_SPREAD)
+    words = F.split("word", " ")
+    starts = F.explode(
+        F.transform(
+            F.sequence(F.lit(2), F.size(words)), lambda k: F.array_join(F.slice(words, 1, k), " ")
+        )
+    )
+    begun = samples.select("lang", "f", starts.alias("start")).groupBy("lang", "start")
+    found: dict[str, set[str]] = {}
+    for row in begun.agg(F.sum("f").alias("f")).where(F.col("f") >= common).collect():
+        found.setdefault(row["lang"], set()).add(row["start"])
+    return found
+
+
 def phrase_counts(
-    docs: DataFrame, least: int = LEAST, place_grams: int = PLACE_GRAMS
+    docs: DataFrame, least: int = LEAST, place_words: int = PLACE_WORDS,
+    coded_words: int = CODED_WORDS,
 ) -> tuple[DataFrame, DataFrame]:
     """Settled tables: (lang, gram, k, f) of all grams of up to ``LONGEST`` words with f of at
-    least ``least``, tab-joined, and (lang, n).  ``docs`` has lang and text."""
+    least ``least``, and (lang, n).  ``docs`` has lang and text.
+
+    Broadcast are the bit table (16 MB at most), ``coded_words`` words and the spread
+    beginnings, whose numbers are bounded by parameters.
+    """
     spark = docs.sparkSession
     words = settle(word_counts(docs), "words")
-    totals = settle(
-        words.where("word IS NULL").select("lang", F.col("f").alias("n")), "totals"
-    )
-    frequent = words.where(F.col("word").isNotNull() & (F.col("f") >= least))
-    bits = _word_bits(spark, frequent)
+    totals = settle(words.where("kind = 'all'").select("lang", F.col("f").alias("n")), "totals")
+    frequent = words.where((F.col("kind") == "word") & (F.col("f") >= least))
     total = totals.agg(F.sum("n")).first()[0] or 0
     partitions = max(
         int(spark.conf.get("spark.sql.shuffle.partitions")),
-        min(MOST_PARTITIONS, -(-total // (place_grams * PLACES))),
+        min(MOST_PARTITIONS, -(-total // (place_words * PLACES))),
     )
-    places = max(partitions * PLACES, -(-total // place_grams))
-    hot_limit = max(place_grams // HOT_SHARE, total // MOST_HOT, least)
-    hot = {
-        (r["lang"], r["word"])
-        for r in frequent.where(F.col("f") > hot_limit).select("lang", "word").collect()
-    }
-    grams = longest_grams(docs, bits, hot, places).repartition(partitions, "place")
-    flowed = grams.sortWithinPartitions("place").mapInArrow(
-        _flows(least, hot), "lang string, gram string, k int, f bigint"
+    places = max(partitions * PLACES, -(-total // place_words))
+    coded: dict[str, list[str]] = {}
+    top = frequent.orderBy(F.desc("f"), "lang", "word").limit(coded_words)
+    for row in top.select("lang", "word").collect():
+        coded.setdefault(row["lang"], []).append(row["word"])
+    spread = _spread_beginnings(words.where("kind = 'sample'"), place_words)
+    plan = Plan(_word_bits(frequent), coded, spread, places)
+    grams = longest_grams(docs, plan).repartition(partitions, "place")
+    grams = grams.sortWithinPartitions("place", "lang")
+    flowed = grams.mapInArrow(
+        _flows(least, spark.sparkContext.broadcast(plan)),
+        "lang string, gram string, k int, f bigint",
     )
-    flowed = settle(flowed, "flows")
-    summed = flowed.groupBy("lang", "gram", "k").agg(F.sum("f").alias("f"))
+    summed = settle(flowed, "flows").groupBy("lang", "gram", "k").agg(F.sum("f").alias("f"))
     single = frequent.select("lang", F.col("word").alias("gram"), F.lit(1).alias("k"), "f")
     counts = summed.where(F.col("f") >= least).unionByName(single)
     return settle(counts, "counts"), totals
 
 
 def _joined(parts):
-    return F.array_join(parts, "\t")
+    return F.array_join(parts, " ")
 
 
 def collocations(
     docs: DataFrame, least: int = LEAST, first: int = FIRST, lang_col: str = "lang",
-    text_col: str = "text", place_grams: int = PLACE_GRAMS,
+    text_col: str = "text", place_words: int = PLACE_WORDS, coded_words: int = CODED_WORDS,
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the ``first`` best phrases of each language.
 
@@ -350,8 +442,8 @@ def collocations(
     picked = docs.select(
         F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"), F.col(text_col).alias("text")
     )
-    counts, totals = phrase_counts(picked, least, place_grams)
-    phrases = counts.where("k >= 2").withColumn("w", F.split("gram", "\t"))
+    counts, totals = phrase_counts(picked, least, place_words, coded_words)
+    phrases = counts.where("k >= 2").withColumn("w", F.split("gram", " "))
 
     # Compaction: an edge that carries the whole weight of one of its two nodes.
     edges = phrases.where("k >= 3")
@@ -387,10 +479,7 @@ def collocations(
     worst = cuts.groupBy("lang", "gram").agg(
         F.min(F.struct("score", "at", "a", "l", "r", "n")).alias("c")
     )
-    spoken = F.udf(_phrase, "string", useArrow=True)
-    low = F.col("gram").contains("\x0b")
-    plain = F.when(low, spoken("gram")).otherwise(F.translate("gram", "\t", " "))
-    scored = worst.select("lang", plain.alias("phrase"), "c.a", "c.l", "c.r", "c.n", "c.score")
+    scored = worst.select("lang", F.col("gram").alias("phrase"), "c.a", "c.l", "c.r", "c.n", "c.score")
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = scored.withColumn("rank", F.row_number().over(best).cast("bigint"))
     ranked = ranked.where(F.col("rank") <= first)

@@ -67,14 +67,20 @@ def made(rng, n):
     return out
 
 
-@pytest.mark.parametrize("place_grams, first", [(50, 2000), (400_000, 7)])
-def test_rows_equal_brute_force(spark, place_grams, first):
+@pytest.mark.parametrize(
+    "place_words, coded, first", [(50, 3, 2000), (2_000, 200, 50), (400_000, 1 << 18, 7)]
+)
+def test_rows_equal_brute_force(spark, monkeypatch, place_words, coded, first):
+    monkeypatch.setattr(col, "SAMPLED", 7)
+    monkeypatch.setattr(col, "AT_ONCE", 50_000)
     rows = made(random.Random(4), 300)
     rows += [("en", None), (None, ""), ("fr", "one two. three"), rows[0], rows[0]]
     rows += [("en", "the of " * 20_000), ("de", "x" * 100_000)]
     df = spark.createDataFrame(rows, "lang string, text string").repartition(5)
     df = df.selectExpr("*", "'q' AS phrase", "1 AS n", "2 AS gram", "3 AS f")
-    got = mined(df, least=6, first=first, place_grams=place_grams)
+    made_words = {w for _, t in rows for w in (t or "").split()}
+    assert len(made_words) > 10
+    got = mined(df, least=6, first=first, place_words=place_words, coded_words=coded)
     assert got == brute(rows, 6, first) and len(got) > 10
 
 
