@@ -26,33 +26,64 @@ def _spaced(piece: str) -> str:
     return piece.replace(" ", "Ġ")
 
 
+# White space other than a single space or line end between other characters.
+_UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
+_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+# Python takes these for white space, the tokenizers do not.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+
+
+class Remembered:
+    """What was worked out for strings, in two generations of at most ``keep`` each."""
+
+    def __init__(self, keep: int):
+        self._keep = keep
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def all_of(self, wanted: set[str], learn) -> dict[str, bytes]:
+        """A table that has all of ``wanted``; ``learn`` gives those not known yet."""
+        if len(self._young) > self._keep:
+            self._old, self._young = self._young, {}
+        young, old, new = self._young, self._old, set()
+        for s in wanted - young.keys():
+            found = old.get(s)
+            if found is None:
+                new.add(s)
+            else:
+                young[s] = found
+        if new:
+            young.update(learn(new))
+        return young
+
+
 _loaded: dict[tuple[str, bool], "PieceTokenizer"] = {}
 
 
 class PieceTokenizer:
     """The ids of texts as little-endian unsigned 32-bit integers.
 
-    A text is cut where the tokenizer's own split pattern always cuts, each distinct piece
-    is encoded once, and a text's ids are its pieces' ids in order.  ``keep`` bounds the
-    pieces remembered between calls; it affects speed only.  With ``added_tokens`` the name of
-    an added token in a text, such as <|endoftext|>, is that token, as the tokenizer itself
-    has it; otherwise it is plain text.
+    A text is cut where the tokenizer's own split pattern always cuts, each distinct stretch
+    is encoded once, and a text's ids are its stretches' ids in order.  A new stretch is cut
+    into pieces, which are remembered too.  ``keep`` bounds what is remembered between calls;
+    it affects speed only.  With ``added_tokens`` the name of an added token in a text, such as
+    <|endoftext|>, is that token, as the tokenizer itself has it; otherwise it is plain text.
     """
 
-    def __init__(self, path: str, keep: int = 250_000, added_tokens: bool = False):
+    def __init__(self, path: str, keep: int = 150_000, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = not added_tokens
-        self._keep = keep
-        self._known: dict[str, bytes] = {}
+        self._known, self._stretched = Remembered(keep // 2), Remembered(keep)
         split = json.loads(self._tokenizer.to_str())["pre_tokenizer"] or {}
         parts = tuple(p["type"] for p in split.get("pretokenizers", [split]))
         self._pieces, self._plain, self._form = {
             ("ByteLevel",): (PIECES_WITH_SPACE, re.compile(" ?[A-Za-z]+"), _spaced),
             ("Split", "ByteLevel"): (PIECES_WITHOUT_SPACE, re.compile("[A-Za-z]+"), str.lower),
         }.get(parts, (None, None, None))
+        self._leading_space = parts == ("ByteLevel",)
         self._added, self._added_ids = None, {}
         added = self._tokenizer.get_added_tokens_decoder() if added_tokens else {}
         if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
@@ -66,26 +97,52 @@ class PieceTokenizer:
         for e in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
             yield np.array(e.ids, dtype="<u4").tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Remember the ids of ``pieces``; ASCII words need no normaliser, only the model."""
-        plain, model, other = self._plain.fullmatch, self._tokenizer.model, []
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of ``pieces``; ASCII words need no normaliser, only the model."""
+        plain, model, other, out = self._plain.fullmatch, self._tokenizer.model, [], {}
         for p in pieces:
             if plain(p):
                 ids = [t.id for t in model.tokenize(self._form(p))]
-                self._known[p] = np.array(ids, dtype="<u4").tobytes()
+                out[p] = np.array(ids, dtype="<u4").tobytes()
             else:
                 other.append(p)
         for at in range(0, len(other), 4096):
             some = other[at : at + 4096]
-            self._known.update(zip(some, self._encode(some)))
+            out.update(zip(some, self._encode(some)))
+        return out
+
+    def _learn_stretches(self, stretches: set[str]) -> dict[str, bytes]:
+        cut = {s: self._pieces.findall(s) for s in stretches}
+        known = self._known.all_of({p for pieces in cut.values() for p in pieces}, self._learn)
+        return {s: b"".join(map(known.__getitem__, pieces)) for s, pieces in cut.items()}
+
+    def _stretches(self, text: str) -> list[str]:
+        """What stands between single spaces and line ends, where the split pattern always cuts.
+
+        In texts with other white space the pieces themselves.
+        """
+        if not self._leading_space:
+            return text.split() if not _SEPARATORS.search(text) else self._pieces.findall(text)
+        if any(s in text for s in _UNEVEN) or text[:1].isspace() or text[-1:].isspace() or (
+            not text.isascii() and _WIDE_SPACE.search(text)
+        ):
+            return self._pieces.findall(text)
+        out = []
+        for line in text.split("\n"):
+            if out:
+                out.append("\n")
+            first, *rest = line.split(" ")
+            out.append(first)
+            out += [" " + s for s in rest]
+        return out
 
     def _cut(self, text: str) -> list[str]:
-        """Pieces of a text; added tokens are cut out first, each a piece of its own."""
+        """Stretches of a text; added tokens are cut out first, each a stretch of its own."""
         if self._added is None or not self._added.search(text):
-            return self._pieces.findall(text)
+            return self._stretches(text)
         out = []
         for k, part in enumerate(self._added.split(text)):
-            out += [part] if k % 2 else self._pieces.findall(part)
+            out += [part] if k % 2 else self._stretches(part)
         return out
 
     def __call__(self, texts: Iterable[str | None]) -> list[bytes]:
@@ -93,12 +150,10 @@ class PieceTokenizer:
         if self._pieces is None:
             return list(self._encode(texts))
         cut = [self._cut(t) for t in texts]
-        known = self._known
-        if len(known) > self._keep:
-            known.clear()
+        wanted = {s for stretches in cut for s in stretches} - self._added_ids.keys()
+        known = self._stretched.all_of(wanted, self._learn_stretches)
         known.update(self._added_ids)
-        self._learn({p for pieces in cut for p in pieces if p not in known})
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        return [b"".join(map(known.__getitem__, stretches)) for stretches in cut]
 
 
 def tokenizer(path: str, added_tokens: bool = False) -> PieceTokenizer:

@@ -40,6 +40,24 @@ def test_pieces_give_the_ids_of_the_whole(name, text):
     assert np.frombuffer(CACHED[name]([text])[0], "<u4").tolist() == want
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_stretches_of_plain_texts(name):
+    """Words, marks and line ends in all neighbourhoods, over several generations."""
+    rng = random.Random(2)
+    words = ["The", "don't", "é,", "(a)", "x1", "\"q\"", "end.", "ä́", "\x1cz", "a\tb", "\u3000", "'s"]
+    words += [f"word{k}" for k in range(300)] + [f"Wört{k}," for k in range(100)]
+    texts = [
+        "".join(rng.choice(words) + rng.choice([" ", " ", " ", "\n", "\n\n", "  ", " \n", ""])
+                for _ in range(rng.randrange(200)))
+        for _ in range(60)
+    ]
+    texts += [" ".join(rng.choice(words[:7]) for _ in range(50)) for _ in range(20)]
+    want = [DIRECT[name].encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        got = [np.frombuffer(b, "<u4").tolist() for t in texts for b in CACHED[name]([t])]
+        assert got == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(
     st.lists(
