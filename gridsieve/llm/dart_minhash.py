@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridsieve.llm.components import components
@@ -166,24 +166,25 @@ def _elements(docs: DataFrame, size: int, counted: bool) -> DataFrame:
 
     def list_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = (c.to_pylist() for c in batch.columns)
-            named, sets = list(map(_named, ids, texts)), []
-            for text in texts:
-                own, counts = weighted_set(text, size, counted)
-                if counted:
-                    times = counts.astype(np.int64)
-                    first = np.repeat(np.cumsum(times) - times, times)
-                    nth = (np.arange(len(first)) - first).astype(np.uint64)
-                    own = mix(np.repeat(own, times) + nth * _A)
-                sets.append(np.unique(own.astype(np.uint32)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([n for n, _ in named], pa.int64()),
-                    pa.array([d for _, d in named], pa.binary()),
-                    pa.array(sets, pa.list_(pa.int32())),
-                ],
-                ["node", "digest", "own"],
-            )
+            for at in range(0, batch.num_rows, 256):
+                ids, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
+                named, sets = list(map(_named, ids, texts)), []
+                for text in texts:
+                    own, counts = weighted_set(text, size, counted)
+                    if counted:
+                        times = counts.astype(np.int64)
+                        first = np.repeat(np.cumsum(times) - times, times)
+                        nth = (np.arange(len(first)) - first).astype(np.uint64)
+                        own = mix(np.repeat(own, times) + nth * _A)
+                    sets.append(np.unique(own.astype(np.uint32)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([n for n, _ in named], pa.int64()),
+                        pa.array([d for _, d in named], pa.binary()),
+                        pa.array(sets, pa.list_(pa.int32())),
+                    ],
+                    ["node", "digest", "own"],
+                )
 
     return docs.mapInArrow(list_, "node bigint, digest binary, own array<int>")
 
@@ -345,7 +346,7 @@ def near_duplicate_classes(
     4. Large buckets that still hold several components compare all pairs of different ones
        in blocks.  So every pair that shares a bucket is checked, or connected already.
 
-    ``class_id`` is the smallest id of the class.  Texts without words form one class.  Rows
+    ``class_id`` is the smallest id of the class, whatever null ids it holds.  Texts without words form one class.  Rows
     that share an id are taken as one document, so their texts share a class.  A row with a
     null id shares the class of equal texts; a class of null ids alone has a negative id.
     An empty table gives no rows.  Only the two named columns are used.
@@ -357,7 +358,8 @@ def near_duplicate_classes(
     first = told.groupBy("digest").agg(
         F.min("doc_id").alias("known"), F.min("node").alias("any")
     )
-    first = settle(first.select("digest", F.coalesce("known", "any").alias("first")), "texts")
+    first = first.select("digest", "known", F.coalesce("known", "any").alias("first"))
+    first = settle(first, "texts")
     distinct = told.join(first, "digest").where("node = first and size(bands) > 0")
     buckets = distinct.select("node", F.explode("bands").alias("h")).distinct()
     buckets = settle(buckets, "buckets")
@@ -421,22 +423,43 @@ def near_duplicate_classes(
 
     classes = first.join(
         label.select(F.col("node").alias("first"), "label"), "first", "left"
-    ).select("digest", F.coalesce("label", "first").alias("class_id"))
+    ).select("digest", "known", F.coalesce("label", "first").alias("label"))
+    # The number made for a text without an id never stands for a class that has ids.
+    made = first.where("known is null").select(F.col("first").alias("label"))
+    named = classes.join(made, "label", "left_semi").groupBy("label")
+    named = named.agg(F.min("known").alias("named")).where("named is not null")
+    classes = classes.join(named, "label", "left").select(
+        "digest", F.coalesce("named", "label").alias("class_id")
+    )
     return told.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id")
 
 
+def _least_rows(docs: DataFrame, key: str) -> DataFrame:
+    """The least row of each key, by the columns in the order of their names."""
+    names = sorted(c for c in docs.columns if c != key)
+    return docs.groupBy(key).agg(F.min(F.struct(*names)).alias("_row")).select(key, "_row.*")
+
+
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with the smallest id of each near-duplicate class, columns unchanged.
+    """One row of each near-duplicate class, columns unchanged.
 
-    Rows that share an id count as one document, of which one row stays.  Rows with a null id
-    stay once for each different text, unless an equal text has an id.
+    In a class with ids it is the row of the smallest id; rows that share an id count as one
+    document, of which the least row stays (by the columns in the order of their names).  A
+    class of null ids alone keeps the least row among those of one of its texts.
     """
     found = near_duplicate_classes(docs, similarity)
-    heads = found.where("doc_id = class_id").select("doc_id").distinct()
-    own = Window.partitionBy("doc_id").orderBy("doc_id")
-    kept = (
-        docs.join(heads, "doc_id").withColumn("_nth", F.row_number().over(own))
-        .where("_nth = 1").select(*docs.columns)
-    )
-    nameless = docs.where("doc_id is null").dropDuplicates(["text"])
-    return kept.unionByName(nameless)
+    found = settle(found.groupBy("doc_id", "class_id").agg(F.count("*").alias("m")), "classes")
+    heads = found.where("doc_id = class_id").select("doc_id", "m")
+    kept = docs.join(heads, "doc_id")
+    once = kept.where("m = 1").select(*docs.columns)
+    repeated = _least_rows(kept.where("m > 1").drop("m"), "doc_id").select(*docs.columns)
+    made = F.arrow_udf(_made_nodes, "bigint")
+    nameless = found.where("doc_id is null").select(F.col("class_id").alias("_node")).distinct()
+    loose = docs.where("doc_id is null").withColumn("_node", made("text"))
+    loose = _least_rows(loose.join(nameless, "_node", "left_semi"), "_node")
+    return once.unionByName(repeated).unionByName(loose.select(*docs.columns))
+
+
+def _made_nodes(texts: pa.Array) -> pa.Array:
+    """The numbers that stand for texts without an id."""
+    return pa.array([_named(None, t.as_py())[0] for t in texts], pa.int64())

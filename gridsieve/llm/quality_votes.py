@@ -49,7 +49,7 @@ def word_form(word: str) -> str:
 def _buckets(word: str) -> tuple[int, int]:
     found = _KNOWN.get(word)
     if found is None:
-        if len(_KNOWN) > 100_000:
+        if len(_KNOWN) > 50_000:
             _KNOWN.clear()
         low = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORD_BUCKETS
         form = zlib.crc32(word_form(word).encode("utf-8", "surrogatepass")) % FORM_BUCKETS
@@ -262,25 +262,16 @@ def score_quality(
     if model is None:
         model = fit_votes(docs.withColumn("text", F.col(text_col)), labels)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        for batch in batches:
-            out = []
-            for start in range(0, batch.num_rows, BLOCK):
-                texts = batch.column(at).slice(start, BLOCK)
-                vectors = model.project([features(t.as_py()) for t in texts])
-                out.append(model.scores(vectors))
-            scores = np.concatenate(out) if out else np.empty(0)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(scores, pa.float64())],
-                [*batch.schema.names, "quality_score"],
-            )
+    @F.arrow_udf("double")
+    def voted(column: pa.Array) -> pa.Array:
+        model, out = held.value, []
+        for start in range(0, len(column), BLOCK):
+            texts = column.slice(start, BLOCK)
+            out.append(model.scores(model.project([features(t.as_py()) for t in texts])))
+        return pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
 
-    added = StructType.fromDDL("quality_score double")
-    schema = StructType(docs.schema.fields + added.fields)
-    return docs.mapInArrow(score, schema)
+    return docs.withColumn("quality_score", voted(F.col(text_col)))
 
 
 def quality_votes(docs: DataFrame, labels: DataFrame) -> DataFrame:

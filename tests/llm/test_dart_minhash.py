@@ -140,6 +140,25 @@ def test_keep_one(spark, documents):
     assert dm.keep_one(documents([])).count() == 0
 
 
+def test_null_ids_never_stand_for_a_class_with_ids(spark, documents):
+    rng = random.Random(4)
+    t, other = made_text(rng, 200), made_text(rng, 200, [f"v{i}" for i in range(500)])
+    rows = [(1, t), (3, t + " y"), (None, t + " x"), (None, t)]
+    rows += [(None, other), (None, other + " x"), (None, other), (None, "a lone text of its own")]
+    rows += [(7, "id shared by"), (7, "two different texts"), (7, "two different texts")]
+    found = dm.near_duplicate_classes(documents(rows)).collect()
+    assert sorted(r.class_id for r in found if r.class_id > 0) == [1] * 4 + [7] * 3
+    kept = sorted(((r.doc_id, r.text) for r in dm.keep_one(documents(rows)).collect()), key=repr)
+    named = [r for r in kept if r[0] is not None]
+    assert named == [(1, t), (7, "id shared by")]
+    loose = [r[1] for r in kept if r[0] is None]
+    assert len(loose) == 2 and "a lone text of its own" in loose
+    # Rows that share an id and a text, and rows without ids, stay once.
+    rows = [(None, t), (None, t + " x"), (None, None), (None, ""), (2, " ")]
+    kept = dm.keep_one(documents(rows)).collect()
+    assert len(kept) == 2 and [r.doc_id for r in kept if r.doc_id is not None] == [2]
+
+
 def test_copies_of_a_middle_original_are_one_class(spark, documents):
     """Copies resemble the original only, which is not the smallest id of their buckets."""
     rng = random.Random(12)
