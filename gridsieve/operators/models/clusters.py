@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..similarity import matrix_as_rows, rows_as_matrix
+from .partials import merged
 
 # Cluster count, restarts, iteration limit and seed.
 CLUSTERS = 10
 RESTARTS = 10
 ITERATIONS = 300
 SEED = 42
+# A fit has settled when its centres moved by no more than this squared length.
+SETTLED = 1e-12
 
 
 def scaler_stats(rows: DataFrame, vector: str) -> DataFrame:
@@ -45,31 +48,159 @@ def scale_vectors(rows: DataFrame, stats: DataFrame, vector: str, into: str) ->
     return rows.withColumn(into, scale(F.col(vector)))
 
 
+def scaler_arrays(rows: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population deviation of each element as arrays; a flat element scales by 1."""
+    given = rows.where(F.col(vector).isNotNull()).select(vector)
+
+    def sums(batches):
+        out = None
+        for batch in batches:
+            x = rows_as_matrix(batch.column(0))
+            part = np.concatenate(([len(x)], x.sum(axis=0)))
+            out = part if out is None else out + part
+        return out
+
+    total = merged(given, sums)
+    if total is None:
+        return np.zeros(0), np.ones(0)
+    mean = total[1:] / total[0]
+
+    def squares(batches):
+        return sum(((rows_as_matrix(b.column(0)) - mean) ** 2).sum(axis=0) for b in batches)
+
+    some = lambda batches: out if np.ndim(out := squares(batches)) else None
+    scale = np.sqrt(merged(given, some) / total[0])
+    return mean, np.where(scale == 0, 1.0, scale)
+
+
+@dataclass
+class KMeansFit:
+    """The best of several fits: centres, members and cost, and the passes all fits took."""
+
+    centres: np.ndarray
+    members: np.ndarray
+    cost: float
+    passes: int
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the nearest centre and squared distance, for each fit: (fits, rows)."""
+    fits, k, d = centres.shape
+    flat = centres.reshape(fits * k, d)
+    gap = (x * x).sum(axis=1)[:, None] - 2.0 * (x @ flat.T) + (flat * flat).sum(axis=1)
+    gap = gap.reshape(len(x), fits, k)
+    at = gap.argmin(axis=2)
+    return at.T, np.maximum(np.take_along_axis(gap, at[:, :, None], axis=2)[:, :, 0], 0.0).T
+
+
+def _draw(data: DataFrame, centres: np.ndarray | None, fits: int, d: int, seed: int, step: int):
+    """One row for each fit, drawn with its squared distance from the centres as weight.
+
+    A weighted reservoir: the largest log(u) / weight wins, wherever the row lies.
+    """
+
+    def best(batches):
+        out = None
+        for batch in batches:
+            h = batch.column(0).to_numpy().astype(np.uint64)
+            x = rows_as_matrix(batch.column(1))
+            weight = np.ones((fits, len(x))) if centres is None else _nearest(x, centres)[1]
+            salt = np.arange(fits, dtype=np.uint64)[:, None] * np.uint64(1_000_003)
+            with np.errstate(over="ignore", divide="ignore"):
+                u = _uniform(h[None, :] ^ (salt + np.uint64(seed * 7919 + step * 104_729)))
+                key = np.where(weight > 0, np.log(u) / weight, -np.inf)
+            at = key.argmax(axis=1)
+            part = np.column_stack((key[np.arange(fits), at], x[at]))
+            out = part if out is None else _larger(out, part)
+        return out
+
+    found = merged(data, best, lambda a, b: _larger(a.reshape(fits, -1), b.reshape(fits, -1)).ravel())
+    return None if found is None else found.reshape(fits, d + 1)[:, 1:]
+
+
+def _larger(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row the one with the larger first cell; ties by the following cells."""
+    out = a.copy()
+    for i in range(len(a)):
+        if tuple(b[i]) > tuple(a[i]):
+            out[i] = b[i]
+    return out
+
+
+def _uniform(x: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) from 64-bit hashes."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x = x ^ (x >> np.uint64(31))
+    return ((x >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+
+
+def _member_sums(data: DataFrame, centres: np.ndarray) -> np.ndarray | None:
+    """(fits, k, d + 2): members, their cost and the sums of their vectors, in one pass."""
+    fits, k, d = centres.shape
+
+    def sums(batches):
+        out = None
+        for batch in batches:
+            x = rows_as_matrix(batch.column(1))
+            if out is None:
+                out = np.zeros((fits, k, d + 2))
+            at, gap = _nearest(x, centres)
+            for f in range(fits):
+                out[f, :, 0] += np.bincount(at[f], minlength=k)
+                out[f, :, 1] += np.bincount(at[f], weights=gap[f], minlength=k)
+                order = np.argsort(at[f], kind="stable")
+                own, starts = np.unique(at[f][order], return_index=True)
+                out[f, own, 2:] += np.add.reduceat(x[order], starts, axis=0)
+        return out
+
+    found = merged(data, sums)
+    return None if found is None else found.reshape(fits, k, d + 2)
+
+
 def fit_kmeans(
     rows: DataFrame,
+    key: str,
     vector: str,
     k: int = CLUSTERS,
     restarts: int = RESTARTS,
     iterations: int = ITERATIONS,
     seed: int = SEED,
-):
-    """Best of several seeded fits by training cost."""
-    data = rows.select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features"))
-    data = data.persist()
-    try:
-        best = None
-        for n in range(restarts):
-            model = KMeans(k=k, maxIter=iterations, seed=seed + n, initMode="k-means||").fit(data)
-            if best is None or model.summary.trainingCost < best.summary.trainingCost:
-                best = model
-        return best
-    finally:
-        data.unpersist()
-
-
-def centroid_table(spark, model) -> DataFrame:
+) -> KMeansFit:
+    """Best of several fits by cost, all advanced in the same passes over the rows.
+
+    Centres are seeded by squared distance, one for every fit in each pass.  Then each pass
+    moves all fits that have not settled yet, with sums a task adds up first; at most
+    ``iterations`` passes in all.  A centre without members stays where it is.  Rows without
+    a vector are left out; fewer distinct rows than ``k`` give repeated centres.
+    """
+    data = rows.where(F.col(vector).isNotNull()).select(F.xxhash64(key).alias("h"), vector)
+    d = data.select(F.max(F.size(vector))).first()[0]
+    if d is None:
+        return KMeansFit(np.zeros((0, 0)), np.zeros(0, np.int64), 0.0, 0)
+    centres, passes = None, 0
+    for step in range(k):
+        drawn = _draw(data, centres, restarts, d, seed, step)[:, None, :]
+        centres = drawn if centres is None else np.concatenate((centres, drawn), axis=1)
+        passes += 1
+    moving = np.ones(restarts, dtype=bool)
+    while moving.any() and passes < iterations - 1:
+        sums = _member_sums(data, centres[moving])
+        passes += 1
+        n = sums[:, :, :1]
+        moved = np.where(n > 0, sums[:, :, 2:] / np.maximum(n, 1), centres[moving])
+        shift = ((moved - centres[moving]) ** 2).sum(axis=(1, 2))
+        centres[moving] = moved
+        moving[np.flatnonzero(moving)[shift <= SETTLED]] = False
+    sums = _member_sums(data, centres)
+    best = int(sums[:, :, 1].sum(axis=1).argmin())
+    members = sums[best, :, 0].astype(np.int64)
+    return KMeansFit(centres[best], members, float(sums[best, :, 1].sum()), passes + 1)
+
+
+def centroid_table(spark, fit: KMeansFit) -> DataFrame:
     """The ``k`` centres as rows ``(cluster, embedding)``."""
-    centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    centres = [(i, [float(x) for x in c]) for i, c in enumerate(fit.centres)]
     return spark.createDataFrame(centres, "cluster int, embedding array<double>")
 
 

@@ -99,51 +99,57 @@ def grow_forest(
     return drawn.groupBy("tree").applyInPandas(one_tree, NODE_SCHEMA)
 
 
-def raw_scores(rows: DataFrame, forest: DataFrame, vector: str, into: str = "score") -> DataFrame:
-    """Add ``-2 ** (-mean depth / c(sample))``, closer to -1 the more anomalous; NULL for
-    a NULL vector.
+def pack_forest(forest: DataFrame) -> dict:
+    """The node table as arrays for a vectorised walk.
 
-    The node table has at most ``trees * (2 * sample - 1)`` rows whatever the
-    data, which bounds the broadcast.
+    It has at most ``trees * (2 * sample - 1)`` rows whatever the data.
     """
     nodes = forest.orderBy("tree", "node").toArrow()
     get = lambda name: nodes.column(name).to_numpy()
     tree = get("tree")
-    starts = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]])
+    starts = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]]) if len(tree) else np.empty(0, int)
     sizes = get("size")
     base = np.repeat(starts, np.diff(np.r_[starts, len(tree)]))
-    packed = rows.sparkSession.sparkContext.broadcast(
-        {
-            "roots": starts,
-            "feature": get("feature"),
-            "threshold": get("threshold"),
-            "left": get("left") + base,
-            "right": get("right") + base,
-            "length": get("depth") + average_path(sizes),
-            "scale": float(average_path(sizes[starts]).mean()),
-        }
-    )
+    return {
+        "roots": starts,
+        "feature": get("feature"),
+        "threshold": get("threshold"),
+        "left": get("left") + base,
+        "right": get("right") + base,
+        "size": sizes,
+        "length": get("depth") + average_path(sizes),
+        "scale": float(average_path(sizes[starts]).mean()) if len(starts) else 0.0,
+    }
+
+
+def walk_forest(x: np.ndarray, f: dict) -> np.ndarray:
+    """``-2 ** (-mean depth / c(sample))`` of every row of a matrix."""
+    everyone = np.arange(len(x))
+    total = np.zeros(len(x))
+    for root in f["roots"]:
+        at = np.full(len(x), root)
+        while True:
+            inner = f["feature"][at] >= 0
+            if not inner.any():
+                break
+            who, here = everyone[inner], at[inner]
+            low = x[who, f["feature"][here]] <= f["threshold"][here]
+            at[inner] = np.where(low, f["left"][here], f["right"][here])
+        total += f["length"][at]
+    mean = total / max(len(f["roots"]), 1)
+    return -np.exp2(-mean / max(f["scale"], 1e-12))
+
+
+def raw_scores(rows: DataFrame, forest: DataFrame, vector: str, into: str = "score") -> DataFrame:
+    """Add ``-2 ** (-mean depth / c(sample))``, closer to -1 the more anomalous; NULL for
+    a NULL vector.  The size of the broadcast forest is bounded by its parameters."""
+    packed = rows.sparkSession.sparkContext.broadcast(pack_forest(forest))
 
     @F.arrow_udf("double")
     def walk(column: pa.Array) -> pa.Array:
-        f = packed.value
         given = np.asarray(column.is_valid())
-        x = rows_as_matrix(column.filter(pa.array(given)))
-        everyone = np.arange(len(x))
-        total = np.zeros(len(x))
-        for root in f["roots"]:
-            at = np.full(len(x), root)
-            while True:
-                inner = f["feature"][at] >= 0
-                if not inner.any():
-                    break
-                who, here = everyone[inner], at[inner]
-                low = x[who, f["feature"][here]] <= f["threshold"][here]
-                at[inner] = np.where(low, f["left"][here], f["right"][here])
-            total += f["length"][at]
-        mean = total / len(f["roots"])
         out = np.full(len(given), np.nan)
-        out[given] = -np.exp2(-mean / max(f["scale"], 1e-12))
+        out[given] = walk_forest(rows_as_matrix(column.filter(pa.array(given))), packed.value)
         return pa.array(out, mask=~given)
 
     return rows.withColumn(into, walk(F.col(vector)))

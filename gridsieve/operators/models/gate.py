@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ...functions.scalars import sigmoid, standardize
-
 FEATURES = ("prob_autoencoder", "prob_iforest", "prob_kmeans", "arch_similarity")
 LAYERS = (4, 16, 8, 1)
 
@@ -29,36 +29,36 @@ def demo_weights() -> dict:
     return {"weights": weights, "biases": biases, "mean": [0.5] * 4, "scale": [0.25] * 4}
 
 
+def forward(features: np.ndarray, model: dict) -> np.ndarray:
+    """Probability of every row: scaler, rectified layers, logistic output."""
+    x = (features - np.asarray(model["mean"])) / np.asarray(model["scale"])
+    layers = list(zip(model["weights"], model["biases"]))
+    for n, (matrix, bias) in enumerate(layers):
+        x = x @ np.asarray(matrix, dtype=float).T + np.asarray(bias, dtype=float)
+        if n < len(layers) - 1:
+            x = np.maximum(x, 0.0)
+    with np.errstate(over="ignore"):
+        return 1.0 / (1.0 + np.exp(-x[:, 0]))
+
+
 def gate_score(
     scores: DataFrame, model: dict, features=FEATURES, into: str = "gate_prediction",
     binary: bool = False,
 ) -> DataFrame:
-    """Forward pass as column arithmetic: scaler, two rectified layers, logistic output.
+    """Add the network's probability: scaler, two rectified layers, logistic output.
 
-    ``binary`` reports 0/1 at 0.5 instead of the probability.
+    One pass in Arrow batches; a row with a missing score gets NULL.  ``binary`` reports 0/1
+    at 0.5 instead of the probability.
     """
-    width = len(model["mean"])
-    out = scores.withColumns(
-        {
-            f"__l0_{j}": standardize(
-                F.col(features[j]), F.lit(model["mean"][j]), F.lit(model["scale"][j])
-            )
-            for j in range(width)
-        }
-    )
-    depth = len(model["weights"])
-    for n, (matrix, bias) in enumerate(zip(model["weights"], model["biases"])):
-        last = n == depth - 1
-        cells = {}
-        for i, line in enumerate(matrix):
-            total = F.lit(bias[i])
-            for j, w in enumerate(line):
-                total = total + F.lit(w) * F.col(f"__l{n}_{j}")
-            cells[f"__l{n + 1}_{i}"] = sigmoid(total) if last else F.greatest(total, F.lit(0.0))
-        out = out.withColumns(cells)
-    p = F.col(f"__l{depth}_0")
-    out = out.withColumn(into, (p > 0.5).cast("double") if binary else p)
-    return out.drop(*[c for c in out.columns if c.startswith("__l")])
+    held = scores.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def network(*columns: pa.Array) -> pa.Array:
+        x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in columns], axis=1)
+        return pa.array(forward(x, held.value), from_pandas=True)
+
+    p = network(*[F.col(c).cast("double") for c in features[: len(model["mean"])]])
+    return scores.withColumn(into, (p > 0.5).cast("double") if binary else p)
 
 
 def fit_gate(

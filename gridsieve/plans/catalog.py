@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import (  # noqa: F401
+    bundle_queries,
     model_queries,
     patch_queries,
     pixel_queries,

@@ -248,22 +248,60 @@ def scaler_stats(spark, sf):
     return rounded(clusters.scaler_stats(tb.table(spark, sf, "embeddings"), "embedding"))
 
 
-@query("kmeans_fit")
-def kmeans_fit(spark, sf):
-    """Ten centres fitted on standardised vectors, with the size of each cluster."""
+def _clustered(spark, sf):
+    """Standardised vectors, ten fitted centres, and the cluster of each vector."""
     vecs = tb.patch_vectors(spark, sf).select("vec_id", "embedding")
     stats = settle(clusters.scaler_stats(vecs, "embedding"), "scaler")
     scaled = settle(clusters.scale_vectors(vecs, stats, "embedding", "scaled"), "scaled")
-    model = clusters.fit_kmeans(scaled, "scaled")
-    centres = clusters.centroid_table(spark, model)
+    fit = clusters.fit_kmeans(scaled, "vec_id", "scaled")
+    centres = settle(clusters.centroid_table(spark, fit), "centres")
     near = sim.best_match(
         scaled, centres, "vec_id", vector="scaled", site_key="cluster", metric="euclidean"
     ).select("vec_id", F.col("best_idx").alias("cluster"))
-    return clusters.cluster_sizes(settle(near, "assigned")).join(
+    return scaled, fit, centres, settle(near, "assigned")
+
+
+@query("kmeans_fit")
+def kmeans_fit(spark, sf):
+    """Ten centres fitted on standardised vectors, with the size of each cluster."""
+    _, _, centres, near = _clustered(spark, sf)
+    return clusters.cluster_sizes(near).join(
         centres.withColumn("cluster", F.col("cluster").cast("long")), "cluster"
     )
 
 
+@query(
+    "kmeans_invariants",
+    compose(
+        [SC, VECS,
+         "cell AS (SELECT unnest(embedding) AS x, unnest(generate_series(1, len(embedding))) AS pos FROM vecs)",
+         "wide AS (SELECT count(*) AS d FROM (SELECT pos FROM cell GROUP BY pos "
+         "HAVING stddev_pop(CAST(x AS DOUBLE)) > 0))"],
+        "SELECT count(*) AS members, 10 AS clusters, 0 AS gap, CAST(count(*) * any_value(d) AS DOUBLE) "
+        "AS total_ss, 1 AS bounded FROM vecs, wide",
+        "members, clusters, gap, bounded", "total_ss",
+    ).replace("10 AS clusters", "CAST(10 AS BIGINT) AS clusters").replace("0 AS gap", "CAST(0 AS BIGINT) AS gap")
+    .replace("1 AS bounded", "CAST(1 AS BIGINT) AS bounded"),
+)
+def kmeans_invariants(spark, sf):
+    """What holds for any settled fit of standardised vectors: every centre is the mean of its
+    members, the squares within and between clusters add up to all of them, 300 passes do."""
+    scaled, fit, centres, near = _clustered(spark, sf)
+    means = sim.mean_vectors(scaled.join(near, "vec_id"), "cluster", "scaled", "mean")
+    apart = F.zip_with("embedding", "mean", lambda a, b: F.abs(a - b))
+    gaps = centres.withColumn("cluster", F.col("cluster").cast("long")).join(means, "cluster")
+    between = float((fit.members * (fit.centres**2).sum(axis=1)).sum())
+    return rounded(
+        gaps.agg(
+            F.lit(int(fit.members.sum())).cast("long").alias("members"),
+            F.count(F.lit(1)).alias("clusters"),
+            F.count_if(F.array_max(apart) > 1e-6).alias("gap"),
+            F.lit(fit.cost + between).alias("total_ss"),
+            F.lit(int(fit.passes <= clusters.ITERATIONS)).cast("long").alias("bounded"),
+        )
+    )
+
+
 # ---- isolation forest ------------------------------------------------------
 
 

@@ -115,6 +115,26 @@ ok AS (SELECT aoi, r0, c0, count(ndvi) AS n_valid FROM cut GROUP BY aoi, r0, c0
 {name} AS (SELECT cut.*, n_valid FROM cut JOIN ok USING (aoi, r0, c0))"""
 
 
+def gate_ctes(model: dict, source: str, keep: str) -> list[str]:
+    """CTEs of the network's forward pass over the four scores, ending in gated(keep, gate)."""
+    names = ["prob_autoencoder", "prob_iforest", "prob_kmeans", "arch_similarity"]
+    cells = [f"({n} - {m}) / {s} AS l0_{j}" for j, (n, m, s) in
+             enumerate(zip(names, model["mean"], model["scale"]))]
+    ctes = [f"h0 AS (SELECT {keep}, {', '.join(cells)} FROM {source})"]
+    depth = len(model["weights"])
+    for n, (matrix, bias) in enumerate(zip(model["weights"], model["biases"])):
+        outs = []
+        for i, line in enumerate(matrix):
+            total = f"CAST({bias[i]} AS DOUBLE)" + "".join(
+                f" + ({w}) * l{n}_{j}" for j, w in enumerate(line)
+            )
+            last = n == depth - 1
+            outs.append(f"1 / (1 + exp(-({total})))" if last else f"greatest({total}, 0)")
+        cols = ", ".join(f"{o} AS l{n + 1}_{i}" for i, o in enumerate(outs))
+        ctes.append(f"h{n + 1} AS (SELECT {keep}, {cols} FROM h{n})")
+    return [*ctes, f"gated AS (SELECT {keep}, l{depth}_0 AS gate FROM h{depth})"]
+
+
 def rnd(expr: str, n: int = 6) -> str:
     """Rounded value with a plain zero."""
     value = f"round(CAST({expr} AS DOUBLE), {n})"

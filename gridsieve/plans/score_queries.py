@@ -12,7 +12,7 @@ from ..operators.models.gate import demo_weights, gate_score
 from ..session import attach_small
 from ..sources import readers
 from . import tables as tb
-from .registry import EXTENT, META, PX, SC, compose, query, rounded, unpivot_sql
+from .registry import EXTENT, META, PX, SC, compose, gate_ctes, query, rounded, unpivot_sql
 
 scores = tb.scores_only
 
@@ -776,24 +776,10 @@ def spatial_context(spark, sf):
 
 
 def _gate_sql() -> str:
-    model = demo_weights()
-    names = ["prob_autoencoder", "prob_iforest", "prob_kmeans", "arch_similarity"]
-    ctes, source = [], "sc"
-    cells = [f"({n} - {m}) / {s} AS l0_{j}" for j, (n, m, s) in
-             enumerate(zip(names, model["mean"], model["scale"]))]
-    ctes.append(f"h0 AS (SELECT patch_id, {', '.join(cells)} FROM {source})")
-    for n, (matrix, bias) in enumerate(zip(model["weights"], model["biases"])):
-        outs = []
-        for i, line in enumerate(matrix):
-            total = f"CAST({bias[i]} AS DOUBLE)" + "".join(
-                f" + ({w}) * l{n}_{j}" for j, w in enumerate(line)
-            )
-            outs.append(f"greatest({total}, 0)" if n < 2 else f"1 / (1 + exp(-({total})))")
-        cols = ", ".join(f"{o} AS l{n + 1}_{i}" for i, o in enumerate(outs))
-        ctes.append(f"h{n + 1} AS (SELECT patch_id, {cols} FROM h{n})")
     return compose(
-        [SC, *ctes],
-        "SELECT patch_id, l3_0 AS gate_prediction, CASE WHEN l3_0 > 0.5 THEN 1.0 ELSE 0.0 END AS gate_binary FROM h3",
+        [SC, *gate_ctes(demo_weights(), "sc", "patch_id")],
+        "SELECT patch_id, gate AS gate_prediction, CASE WHEN gate > 0.5 THEN 1.0 ELSE 0.0 END "
+        "AS gate_binary FROM gated",
         "patch_id", "gate_prediction, gate_binary",
     )
 

@@ -81,7 +81,7 @@ def offline_scores(
     decided = decided.withColumn(
         "prob_iforest", minmax_eps(F.col("inverted"), F.col("lo"), F.col("hi"))
     ).drop("lo", "hi", "inverted", "score", "decision", "flag")
-    model = clusters.fit_kmeans(scaled, "scaled", restarts=restarts)
+    model = clusters.fit_kmeans(scaled, key, "scaled", restarts=restarts)
     centres = clusters.centroid_table(patches.sparkSession, model)
     near = sim.cluster_cosine(scaled, centres, key, vector="scaled")
     known = sim.site_similarity(patches, sites, key, "offline", vector=vector)
