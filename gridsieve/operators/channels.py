@@ -233,6 +233,7 @@ def global_stats(
     per_area: int | None = None,
     seed=42,
     approx: bool = False,
+    whole_group_rows: int = 500_000,
 ) -> DataFrame:
     """Robust mean and population deviation per channel.
 
@@ -252,7 +253,10 @@ def global_stats(
         q = F.percentile_approx("value", [low, high], 100_000)
         bounds = values.groupBy("channel").agg(q[0].alias("p_low"), q[1].alias("p_high"))
     else:
-        bounds = exact_quantiles(values, ["channel"], "value", {"p_low": low, "p_high": high})
+        wanted = {"p_low": low, "p_high": high}
+        bounds = exact_quantiles(
+            values, ["channel"], "value", wanted, whole_group_rows=whole_group_rows
+        )
     # One row per channel name, so these two results are collected and stay tiny.
     range_of = {r["channel"]: (r["p_low"], r["p_high"]) for r in bounds.collect()}
     clipped = F.lit(None).cast("double")

@@ -170,6 +170,36 @@ def mean_patch_error_of_pixels(
     return map_patches(pixels, grid, flat, schema, min_valid_ratio, channels)
 
 
+def cell_errors(x: np.ndarray, ref: np.ndarray) -> dict[str, np.ndarray]:
+    """Error of every pixel of sanitised (n, channels, patch, patch) pixels against a mean
+    patch, averaged over all channels: (n, patch, patch) each."""
+    gap = np.nan_to_num(x, posinf=0.0, neginf=0.0) - np.nan_to_num(ref).reshape(x.shape[1:])
+    return {"abs_error": np.abs(gap).mean(axis=1), "squared_error": np.square(gap).mean(axis=1)}
+
+
+def patch_errors_of_pixels(
+    pixels: DataFrame, grid: PatchGrid, template: DataFrame, min_valid_ratio: float = 0.7,
+    channels=CHANNELS,
+) -> DataFrame:
+    """Rows ``(aoi, row, col, n_valid, mse, abs_error, squared_error)`` straight from pixels.
+
+    The two errors are arrays with the channel mean of every pixel, row by row; ``mse`` is
+    the mean over the whole patch.
+    """
+    from ..patches import map_patches
+
+    ref = _shared_template(template, channels)
+
+    def errors(x: np.ndarray) -> dict[str, pa.Array]:
+        found = cell_errors(x, ref.value)
+        out = {n: matrix_as_rows(e.reshape(len(x), -1)) for n, e in found.items()}
+        return {"mse": pa.array(found["squared_error"].mean(axis=(1, 2))), **out}
+
+    arrays = [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("abs_error", "squared_error")]
+    schema = T.StructType(patch_schema(()).fields + [T.StructField("mse", T.DoubleType()), *arrays])
+    return map_patches(pixels, grid, errors, schema, min_valid_ratio, channels)
+
+
 def _shared_template(template: DataFrame, channels):
     """The mean patch for all tasks; one row per pixel of a patch, fixed by the geometry."""
     table = template.orderBy("pos").toArrow()

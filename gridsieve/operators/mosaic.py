@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..config import PatchGrid
+from ..config import CHANNELS, PatchGrid
+from .patches import map_patches
 
 # Lower and upper bound of the blending weight.
 MIN_WEIGHT = 0.1
@@ -119,6 +123,50 @@ def blend_weight(pr: Column, pc: Column, patch: int) -> Column:
     return F.greatest(F.least(1.0 - away * away, F.lit(MAX_WEIGHT)), F.lit(MIN_WEIGHT))
 
 
+def blended_errors(
+    pixels: DataFrame, grid: PatchGrid, template: DataFrame, min_valid_ratio: float = 0.7,
+    channels=CHANNELS, weighted: bool = True,
+) -> DataFrame:
+    """Rows ``(aoi, row, col, weight, squared_error)``: the patches' pixel errors, averaged
+    over all channels and blended where patches overlap.
+
+    The patches of a block are blended inside it, so only the lines that blocks share are
+    added up in the shuffle, and no patch is taken apart into rows.
+    """
+    from .models.embedding import _shared_template, cell_errors
+
+    ref, p = _shared_template(template, channels), grid.patch
+    away = (np.arange(p) - p // 2) ** 2
+    shape = 1.0 - (away[:, None] + away[None, :]) / (2.0 * (p // 2) ** 2)
+    weights = np.clip(shape, MIN_WEIGHT, MAX_WEIGHT) if weighted else np.ones((p, p))
+
+    def blend(x: np.ndarray, aoi: str, rows: np.ndarray, cols: np.ndarray) -> dict[str, pa.Array]:
+        errors = cell_errors(x, ref.value)["squared_error"] * weights
+        top, left = int(rows.min()), int(cols.min())
+        size = int(rows.max()) - top + p, int(cols.max()) - left + p
+        total, weight = np.zeros(size), np.zeros(size)
+        for e, r, c in zip(errors, rows - top, cols - left):
+            total[r : r + p, c : c + p] += e
+            weight[r : r + p, c : c + p] += weights
+        r, c = np.nonzero(weight)
+        return {
+            "aoi": pa.array([aoi] * len(r), pa.string()),
+            "row": pa.array((r + top).astype("int32")), "col": pa.array((c + left).astype("int32")),
+            "weight": pa.array(weight[r, c]), "total": pa.array(total[r, c]),
+        }
+
+    schema = T.StructType.fromDDL("aoi string, row int, col int, weight double, total double")
+    parts = map_patches(
+        pixels, grid, blend, schema, min_valid_ratio, channels, per_patch=False, placed=True
+    )
+    whole = parts.groupBy("aoi", "row", "col").agg(
+        F.sum("weight").alias("weight"), F.sum("total").alias("total")
+    )
+    return whole.select(
+        "aoi", "row", "col", "weight", (F.col("total") / F.col("weight")).alias("squared_error")
+    )
+
+
 def mosaic_weighted(
     patch_cells: DataFrame, patch: int, values: list[str], weighted: bool = True
 ) -> DataFrame:

@@ -116,12 +116,13 @@ def mean_pool_channels(
 def map_patches(
     pixels: DataFrame,
     grid: PatchGrid,
-    fn: Callable[[np.ndarray], dict[str, pa.Array]],
+    fn: Callable[..., dict[str, pa.Array]],
     schema: T.StructType,
     min_valid_ratio: float = 0.7,
     channels=CHANNELS,
     per_patch: bool = True,
     corners_per_block: int = CORNERS_PER_BLOCK,
+    placed: bool = False,
 ) -> DataFrame:
     """Run ``fn`` on the patches of each block without ever storing them.
 
@@ -130,7 +131,8 @@ def map_patches(
     sending each pixel to all four patches it belongs to.  ``fn`` receives a
     ``(patches, channels, patch, patch)`` array, NaN where a pixel is missing, and
     returns further columns.  With ``per_patch`` they follow ``aoi, row, col,
-    n_valid``; otherwise the columns stand alone, e.g. one row of sums per block.
+    n_valid``; otherwise the columns stand alone, e.g. one row of sums per block.  With
+    ``placed`` it also receives the area and the rows and columns of the patches' corners.
     The pixel table must be dense; NDVI decides which patches are kept.
     """
     p, s = grid.patch, grid.stride
@@ -163,7 +165,7 @@ def map_patches(
         x = np.empty((len(kept), len(cols), p, p))
         for n, (y, z) in enumerate(zip(ys[yy], xs[xx])):
             x[n] = stack[:, y : y + p, z : z + p]
-        data = fn(x)
+        data = fn(x, aoi, top + ys[yy], left + xs[xx]) if placed else fn(x)
         if per_patch:
             data = {
                 "aoi": pa.array([aoi] * len(kept), pa.string()),

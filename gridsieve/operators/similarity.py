@@ -1,20 +1,24 @@
 """Vector matching against reference sites and cluster centres.
 
-Patches stay where they are while a packed reference matrix is small enough to
-broadcast; the size is checked first.  Beyond the limit both sides are cut into
-blocks and every pair of blocks meets in its own task, so neither side has to fit
-anywhere whole.  Only the best match per patch and block leaves a task.
+Patches stay where they are.  A packed reference matrix that is small enough is broadcast
+whole; its size is checked first.  Beyond the limit the sites are walked chunk by chunk: each
+pass broadcasts as many chunks as the limit allows and carries the best matches so far along
+with the patches, which are never shuffled.  Chunks hold sites that point the same way, and
+an angle (or distance) bound skips those that cannot improve a patch's matches.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import shift_cosine
-from ..session import settle
+from ..session import attach_small, scratch_path, settle
 
 # Epsilon added to vector lengths by the two scoring variants.
 EPS_OFFLINE = 1e-10
@@ -22,6 +26,8 @@ EPS_ONLINE = 1e-8
 
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 4096
+# Sites that chunks of sites are gathered around, at most.
+MAX_PIVOTS = 1024
 
 
 def rows_as_matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
@@ -86,7 +92,6 @@ def best_match(
     eps: float = EPS_OFFLINE,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
     block_rows: int = BLOCK_ROWS,
-    patch_blocks: int | None = None,
 ) -> DataFrame:
     """``(key, best_idx, best)`` per patch; ties go to the lowest site index.
 
@@ -97,7 +102,7 @@ def best_match(
     """
     m = _best_match(
         patches, sites, key, vector, site_vector, site_key, metric, eps,
-        max_broadcast_bytes, block_rows, patch_blocks,
+        max_broadcast_bytes, block_rows,
     )
     found = ~F.isnan("best")
     return m.select(
@@ -108,7 +113,7 @@ def best_match(
 
 def _best_match(
     patches, sites, key, vector, site_vector, site_key, metric, eps,
-    max_broadcast_bytes, block_rows, patch_blocks,
+    max_broadcast_bytes, block_rows,
 ):
     size = sites.agg(
         F.count(F.lit(1)).alias("n"), F.max(F.size(site_vector)).alias("d")
@@ -122,12 +127,12 @@ def _best_match(
         )
     if n_sites * dim * 8 <= max_broadcast_bytes:
         return _match_broadcast(patches, sites, key, vector, site_vector, site_key, metric, eps, sign)
-    if patch_blocks is None:
-        patch_blocks = max(1, -(-patches.count() // block_rows))
-    return _match_blocks(
-        patches, sites, key, vector, site_vector, site_key, metric, eps, sign,
-        block_rows, -(-n_sites // block_rows), patch_blocks,
+    walked = _walk_sites(
+        patches, sites, key, vector, site_vector, site_key, metric, eps, 1, n_sites, dim,
+        max_broadcast_bytes, block_rows,
     )
+    best, at = F.get("top", F.lit(0)), F.get("ids", F.lit(0))
+    return walked.select(key, at.alias("best_idx"), (best * sign).alias("best"))
 
 
 def _match_broadcast(patches, sites, key, vector, site_vector, site_key, metric, eps, sign):
@@ -151,76 +156,139 @@ def _match_broadcast(patches, sites, key, vector, site_vector, site_key, metric,
     return patches.select(key, match(F.col(vector)).alias("m")).select(key, "m.best_idx", "m.best")
 
 
-def _match_blocks(
-    patches, sites, key, vector, site_vector, site_key, metric, eps, sign,
-    block_rows, site_blocks, patch_blocks,
-):
-    partial = _meet_in_blocks(
-        patches, sites, key, vector, site_vector, site_key, metric, eps, site_blocks, patch_blocks, 1
-    )
-    best = F.max(F.struct("score", (-F.col("best_idx")).alias("neg")))
-    return (
-        partial.groupBy("row", "key")
-        .agg(best.alias("b"))
-        .select(
-            F.col("key").alias(key),
-            (-F.col("b.neg")).alias("best_idx"),
-            (F.col("b.score") * sign).alias("best"),
-        )
-    )
+@dataclass
+class _Chunk:
+    """Some sites that lie close together, in order of their index."""
 
+    ids: np.ndarray
+    sites: np.ndarray
+    centre: np.ndarray
+    reach: float  # largest angle, or distance, of a site from the centre
+
+
+def _chunk(table: pa.Table, metric: str) -> _Chunk:
+    table = table.sort_by("idx")
+    sites = rows_as_matrix(table.column("ref"))
+    if metric == "cosine":
+        unit = _unit(sites, 1e-300)
+        centre = _unit(unit.mean(axis=0, keepdims=True), 1e-300)[0]
+        reach = float(np.arccos(np.clip(unit @ centre, -1.0, 1.0)).max())
+    else:
+        centre = sites.mean(axis=0)
+        reach = float(np.sqrt(((sites - centre) ** 2).sum(axis=1)).max())
+    return _Chunk(table.column("idx").to_numpy(), sites, centre, reach)
 
-def _meet_in_blocks(
-    patches, sites, key, vector, site_vector, site_key, metric, eps, site_blocks, patch_blocks, k
-):
-    """Rows ``(row, key, best_idx, score)``: the ``k`` best of every block a patch meets.
 
-    ``row`` tells patches with the same key apart, and spreads them over the blocks; it is
-    written down first, so that it stays the same if a task is repeated.
+# Slack of the bounds, well above the rounding of a cosine or a distance.
+_SLACK = 1e-6
+
+
+def _bound(x: np.ndarray, chunk: _Chunk, metric: str) -> np.ndarray:
+    """No site of the chunk scores more than this."""
+    if metric == "cosine":
+        angle = np.arccos(np.clip(_unit(x, 1e-300) @ chunk.centre, -1.0, 1.0))
+        # The epsilon in a length moves a cosine towards 0, so a negative bound becomes 0.
+        return np.maximum(np.cos(np.maximum(angle - chunk.reach, 0.0)), 0.0) + _SLACK
+    away = np.sqrt(((x - chunk.centre) ** 2).sum(axis=1))
+    return -np.maximum(away - chunk.reach, 0.0) * (1.0 - _SLACK) + _SLACK
+
+
+def _carry(x, top, ids, chunks, metric, eps, k):
+    """The ``k`` best of what is known and of the chunks, best first, ties by index."""
+    for chunk in chunks:
+        rows = np.flatnonzero(_bound(x, chunk, metric) >= top[:, -1])
+        if not len(rows):
+            continue
+        scores = _score(x[rows], chunk.sites, metric, eps)
+        at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        both = np.concatenate((top[rows], np.take_along_axis(scores, at, axis=1)), axis=1)
+        names = np.concatenate((ids[rows], chunk.ids[at]), axis=1)
+        order = np.lexsort((names, -both), axis=1)[:, :k]
+        top[rows] = np.take_along_axis(both, order, axis=1)
+        ids[rows] = np.take_along_axis(names, order, axis=1)
+    return top, ids
+
+
+def _dealt_sites(sites, site_vector, site_key, metric, n_sites, block_rows) -> tuple[str, list[int]]:
+    """Folder with one part per chunk of sites, and the chunks' numbers.
+
+    Sites go to the nearest of a bounded number of drawn sites; more than ``block_rows`` of
+    them are split by hash.
     """
-    numbered = settle(
-        patches.select(
-            F.monotonically_increasing_id().alias("row"),
-            F.col(key).alias("key"),
-            F.col(vector).alias("vec"),
-        ),
-        "numbered",
+    spark = sites.sparkSession
+    rows = sites.select(
+        F.col(site_key).cast("long").alias("idx"), F.col(site_vector).alias("ref")
     )
-    left = numbered.withColumns(
-        {
-            "pb": F.pmod(F.xxhash64("row"), F.lit(patch_blocks)).cast("int"),
-            "sb": F.explode(F.sequence(F.lit(0), F.lit(site_blocks - 1))),
-        }
-    )
-    right = sites.select(
-        F.col(site_key).cast("long").alias("idx"),
-        F.col(site_vector).alias("ref"),
-        F.pmod(F.xxhash64(site_key), F.lit(site_blocks)).cast("int").alias("sb"),
-        F.explode(F.sequence(F.lit(0), F.lit(patch_blocks - 1))).alias("pb"),
+    pivots = min(MAX_PIVOTS, -(-n_sites // block_rows))
+    drawn = rows.orderBy(F.xxhash64("idx"), "idx").limit(pivots).toArrow()
+    held = spark.sparkContext.broadcast(rows_as_matrix(drawn.column("ref")))
+
+    @F.arrow_udf("int")
+    def nearest(column: pa.Array) -> pa.Array:
+        scores = _score(rows_as_matrix(column, held.value.shape[1]), held.value, metric, 1e-300)
+        return pa.array(np.nan_to_num(scores, nan=-np.inf).argmax(axis=1).astype(np.int32))
+
+    near = settle(rows.withColumn("pivot", nearest("ref")), "sites")
+    counts = near.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.ceil(F.col("n") / F.lit(float(block_rows))).cast("int")
+    split = attach_small(near, counts.select("pivot", parts.alias("parts")), ["pivot"], "inner")
+    part = F.pmod(F.xxhash64("idx"), F.col("parts")).cast("long")
+    # The number is the pivot and the part in it.
+    split = split.withColumn("chunk", F.col("pivot").cast("long") * F.lit(1 << 20) + part)
+    path = scratch_path(spark, "chunks")
+    split.select("chunk", "idx", "ref").repartition("chunk").write.partitionBy("chunk").parquet(path)
+    found = spark.read.parquet(path).select("chunk").distinct().collect()
+    return path, sorted(r["chunk"] for r in found)
+
+
+def _walk_sites(
+    patches, sites, key, vector, site_vector, site_key, metric, eps, k, n_sites, dim,
+    max_broadcast_bytes, block_rows,
+):
+    """Rows ``(key, top, ids)``: scores and indices of the ``k`` best sites of each patch."""
+    spark = patches.sparkSession
+    path, numbers = _dealt_sites(sites, site_vector, site_key, metric, n_sites, block_rows)
+    at_once = max(1, max_broadcast_bytes // (block_rows * dim * 8))
+    state = "struct<top: array<double>, ids: array<bigint>>"
+    stored = spark.read.parquet(path)
+    carried = patches.select(
+        key, F.col(vector).alias("vec"), F.lit(None).cast(state).alias("s")
     )
-    kind = patches.schema[key].dataType.simpleString()
-
-    def one_pair(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            ids, top, who = np.zeros(0, dtype="int64"), np.zeros(0), np.zeros(0, dtype="int64")
-        else:
-            b = b.sort_by("idx")
-            ref = rows_as_matrix(b.column("ref"))
-            scores = _score(rows_as_matrix(a.column("vec"), ref.shape[1]), ref, metric, eps)
-            at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            ids = b.column("idx").to_numpy()[at].ravel()
-            top = np.take_along_axis(scores, at, axis=1).ravel()
-            who = np.repeat(np.arange(len(at)), at.shape[1])
-        who = pa.array(who)
-        return pa.table(
-            {
-                "row": a.column("row").take(who), "key": a.column("key").take(who),
-                "best_idx": pa.array(ids), "score": pa.array(top),
-            }
+    for start in range(0, len(numbers), at_once):
+        some = stored.where(F.col("chunk").isin(numbers[start : start + at_once])).toArrow()
+        tables = [
+            some.filter(pa.compute.equal(some.column("chunk"), n))
+            for n in numbers[start : start + at_once]
+        ]
+        held = spark.sparkContext.broadcast([_chunk(t, metric) for t in tables])
+        carried = settle(_passed(carried, key, held, metric, eps, k, dim, state), "carried")
+        held.unpersist()
+    cut = F.filter(F.col("s.top"), lambda v: v > float("-inf"))
+    return carried.select(key, cut.alias("top"), F.slice("s.ids", F.lit(1), F.size(cut)).alias("ids"))
+
+
+def _passed(carried, key, held, metric, eps, k, dim, state):
+    """One pass over the patches where they are."""
+
+    @F.arrow_udf(state)
+    def onwards(vec: pa.Array, s: pa.Array) -> pa.Array:
+        x = rows_as_matrix(vec, dim)
+        good = np.isfinite(x).all(axis=1)
+        top, ids = np.full((len(x), k), -np.inf), np.full((len(x), k), 2**62)
+        if len(x) and s.null_count < len(s):
+            known, names = s.flatten()
+            top = rows_as_matrix(known, k).copy()
+            ids = np.asarray(names.flatten()).reshape(len(x), k).copy()
+        top[good], ids[good] = _carry(x[good], top[good], ids[good], held.value, metric, eps, k)
+        offsets = pa.array(np.arange(len(x) + 1, dtype="int32") * k)
+        return pa.StructArray.from_arrays(
+            [
+                pa.ListArray.from_arrays(offsets, pa.array(a.ravel())) for a in (top, ids)
+            ],
+            ["top", "ids"],
         )
 
-    met = left.groupBy("pb", "sb").cogroup(right.groupBy("pb", "sb"))
-    return met.applyInArrow(one_pair, f"row bigint, key {kind}, best_idx bigint, score double")
+    return carried.select(key, "vec", onwards("vec", "s").alias("s"))
 
 
 # ---- named scores ----------------------------------------------------------
@@ -331,23 +399,21 @@ def top_matches(
 ) -> DataFrame:
     """The ``k`` most similar sites per patch as rows ``(key, rank, site_idx, similarity)``.
 
-    Same two ways as ``best_match``; a patch collects at most ``k`` sites per block.
+    Same two ways as ``best_match``; a patch carries its ``k`` best sites from pass to pass.
     Patches without a usable vector have no rows.
     """
     size = sites.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
     if size["n"] * (size["d"] or 0) * 8 <= max_broadcast_bytes:
         found = _top_of_broadcast(patches, sites, key, k, vector, eps)
     else:
-        patch_blocks = max(1, -(-patches.count() // block_rows))
-        partial = _meet_in_blocks(
-            patches, sites, key, vector, "embedding", "site_idx", "cosine", eps,
-            -(-size["n"] // block_rows), patch_blocks, k,
+        walked = _walk_sites(
+            patches, sites, key, vector, "embedding", "site_idx", "cosine", eps, k, size["n"],
+            size["d"], max_broadcast_bytes, block_rows,
+        )
+        cells = F.transform(
+            F.arrays_zip("top", "ids"), lambda c: F.struct(c["top"].alias("s"), c["ids"].alias("i"))
         )
-        # Ascending by (-score, index): best first, ties by the lower index.
-        cell = F.struct((-F.col("score")).alias("neg"), F.col("best_idx").alias("i"))
-        best = F.slice(F.array_sort(F.collect_list(cell)), 1, k)
-        back = F.transform(best, lambda c: F.struct((-c["neg"]).alias("s"), c["i"].alias("i")))
-        found = partial.groupBy("row", F.col("key").alias(key)).agg(back.alias("m"))
+        found = walked.select(key, cells.alias("m"))
     cells = found.select(key, F.posexplode("m").alias("pos", "m"))
     return cells.where(~F.isnan("m.s")).select(
         key,

@@ -98,10 +98,10 @@ def arch_similarity_online(spark, sf):
             "vec_id, best_idx", "max_similarity"),
 )
 def arch_similarity_blocks(spark, sf):
-    """The way taken when the sites are too many to broadcast: blocks meet in pairs."""
+    """The way taken when the sites are too many to broadcast: four chunks of them at a time."""
     out = sim.best_match(
         tb.patch_vectors(spark, sf), tb.reference_sites(spark, sf), "vec_id",
-        max_broadcast_bytes=0, block_rows=32,
+        max_broadcast_bytes=4 * 8 * 64 * 8, block_rows=8,
     )
     return rounded(out.withColumnRenamed("best", "max_similarity"))
 

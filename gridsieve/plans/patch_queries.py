@@ -18,7 +18,7 @@ from ..operators import evaluation as ev
 from ..operators import mosaic, quality
 from ..operators import patches as pt
 from ..operators import results as rs
-from ..operators.models import embedding
+from ..operators.models import autoencoder, embedding
 from ..session import attach_small, settle
 from . import scoring
 from . import tables as tb
@@ -310,38 +310,57 @@ def ae_score_online(spark, sf):
     return rounded(out.select("aoi", "row", "col", "score"))
 
 
-def _pixel_errors(cut, channel="ndvi"):
-    """Per-cell absolute and squared error of one channel against the mean patch."""
-    cells = pt.explode_patches(cut, P, BASE).select("aoi", "row", "col", "pr", "pc", channel)
-    mean = cells.groupBy("pr", "pc").agg(F.avg(channel).alias("m"))
-    # One row per cell of a patch: the geometry bounds this side.
-    gap = F.col(channel) - F.col("m")
-    return cells.join(F.broadcast(mean), ["pr", "pc"]).withColumns(
-        {"abs_error": F.abs(gap), "squared_error": gap * gap}
+def _normal_pixels(spark, sf):
+    """Normalised pixels and the mean patch, for errors over all channels."""
+    px = tb.pixels(spark, sf)
+    normal = settle(ch.normalize_channels(px, ch.global_stats(px, BASE), BASE), "normal")
+    return normal, embedding.mean_patch_of_pixels(normal, GRID, tb.MIN_VALID, BASE)
+
+
+def _patch_errors(spark, sf):
+    normal, template = _normal_pixels(spark, sf)
+    return embedding.patch_errors_of_pixels(normal, GRID, template, tb.MIN_VALID, BASE)
+
+
+def _cells(patches, value):
+    """One row per pixel of an array with a value for each."""
+    rows = patches.select("aoi", "row", "col", F.posexplode(value).alias("pos", value))
+    return rows.select(
+        "aoi", "row", "col", F.floor(F.col("pos") / F.lit(float(P))).cast("int").alias("pr"),
+        (F.col("pos") % P).cast("int").alias("pc"), value,
     )
 
 
+def _gaps_sql(fn: str) -> str:
+    """Channel mean of an error of sanitised cells against the mean patch."""
+    return "(" + " + ".join(fn.format(f"(coalesce({c}, 0) - coalesce(m_{c}, 0))") for c in BASE) + f") / {len(BASE)}"
+
+
+ABSOLUTE, SQUARED = _gaps_sql("abs({})"), _gaps_sql("pow({}, 2)")
+
+
 @query(
     "abs_error",
     compose([*NORMAL, MEANS],
             "SELECT aoi, CAST(r0 AS INT) AS row, CAST(c0 AS INT) AS col, CAST(pr AS INT) AS pr, "
-            "CAST(pc AS INT) AS pc, abs(ndvi - m_ndvi) AS abs_error FROM pp JOIN mp USING (pr, pc)",
+            f"CAST(pc AS INT) AS pc, {ABSOLUTE} AS abs_error FROM pp JOIN mp USING (pr, pc)",
             "aoi, row, col, pr, pc", "abs_error"),
 )
 def abs_error(spark, sf):
-    cells = _pixel_errors(_normal_patches(spark, sf))
-    return rounded(cells.select("aoi", "row", "col", "pr", "pc", "abs_error"))
+    """Channel mean of the absolute error of every pixel of every patch."""
+    return rounded(_cells(_patch_errors(spark, sf), "abs_error"))
 
 
 @query(
     "ae_mse",
     compose([*NORMAL, MEANS],
-            "SELECT aoi, CAST(r0 AS INT) AS row, CAST(c0 AS INT) AS col, avg(pow(ndvi - m_ndvi, 2)) AS mse "
+            f"SELECT aoi, CAST(r0 AS INT) AS row, CAST(c0 AS INT) AS col, avg({SQUARED}) AS mse "
             "FROM pp JOIN mp USING (pr, pc) GROUP BY aoi, r0, c0", "aoi, row, col", "mse"),
 )
 def ae_mse(spark, sf):
-    cells = _pixel_errors(_normal_patches(spark, sf))
-    return rounded(cells.groupBy("aoi", "row", "col").agg(F.avg("squared_error").alias("mse")))
+    """Squared error of every patch over all pixels and channels."""
+    return rounded(_patch_errors(spark, sf).select("aoi", "row", "col", "mse"))
+
 
 
 @query(
@@ -432,12 +451,53 @@ def patch_moment_vector(spark, sf):
 
 @query("recon_pca")
 def recon_pca(spark, sf):
-    """Linear autoencoder over pooled patches: squared error of the rebuilt cells."""
-    pooled = embedding.pooled_vector(_normal_patches(spark, sf), GRID, 4, BASE)
-    pooled = settle(pooled.select("aoi", "row", "col", "pooled"), "pooled")
-    out = embedding.pca_reconstruction(pooled, "pooled", 8)
-    mse = embedding.array_mse(F.col("pooled"), F.col("recon"))
-    return out.select("aoi", "row", "col", mse.alias("mse"))
+    """Linear autoencoder over whole patches: channel means of the rebuilt pixels' errors."""
+    cut = _normal_patches(spark, sf)
+    model = autoencoder.fit_autoencoder(cut, BASE)
+    scored = autoencoder.autoencoder_scores(cut, model, BASE, with_pixels=True)
+    cells = scored.withColumn("cell", F.arrays_zip("pixel_mse", "pixel_uncertainty"))
+    rows = cells.select("aoi", "row", "col", "mse", "uncertainty", F.posexplode("cell").alias("pos", "cell"))
+    return rows.select(
+        "aoi", "row", "col", "mse", "uncertainty",
+        F.floor(F.col("pos") / F.lit(float(P))).cast("int").alias("pr"),
+        (F.col("pos") % P).cast("int").alias("pc"), "cell.pixel_mse", "cell.pixel_uncertainty",
+    )
+
+
+SPREAD = (
+    "sm AS (SELECT pr, pc, " + ", ".join(f"avg(coalesce({c}, 0)) AS s_{c}" for c in BASE)
+    + " FROM pp GROUP BY pr, pc), sq AS (SELECT count(*) / 256 AS patches, "
+    + "sum(" + " + ".join(f"pow(coalesce({c}, 0) - s_{c}, 2)" for c in BASE)
+    + ") AS total FROM pp JOIN sm USING (pr, pc))"
+)
+
+
+@query(
+    "recon_pca_invariants",
+    compose(
+        [*NORMAL, SPREAD],
+        "SELECT CAST(patches AS BIGINT) AS patches, total, total AS parts, CAST(0 AS BIGINT) AS askew, "
+        "CAST(1 AS BIGINT) AS better FROM sq",
+        "patches, askew, better", "total, parts",
+    ),
+)
+def recon_pca_invariants(spark, sf):
+    """The components are orthonormal, their energy and what is left over add up to all squared
+    distances from the mean patch, and no single pixel explains more than the first."""
+    cut = _normal_patches(spark, sf)
+    m = autoencoder.fit_autoencoder(cut, BASE)
+    left = autoencoder.autoencoder_scores(cut, m, BASE).agg(
+        F.count(F.lit(1)).alias("patches"), F.sum(F.col("mse") * F.lit(float(len(m.mean)))).alias("left")
+    )
+    askew = int((np.abs(m.basis.T @ m.basis - np.eye(m.basis.shape[1])) > 1e-9).sum())
+    better = int(m.energy[0] >= m.total / len(m.mean) and (np.diff(m.energy) <= 0).all())
+    return rounded(
+        left.select(
+            "patches", F.lit(m.total).alias("total"),
+            (F.col("left") + F.lit(float(m.energy.sum()))).alias("parts"),
+            F.lit(askew).cast("long").alias("askew"), F.lit(better).cast("long").alias("better"),
+        )
+    )
 
 
 @query("user_model_embedding")
@@ -550,26 +610,24 @@ def positive_area(spark, sf):
     return rounded(mosaic.positive_area(blocks, "gate_prediction"))
 
 
-BLEND = """bl AS (SELECT aoi, row, col, pow(ndvi - m_ndvi, 2) AS e, greatest(least(1 - pow(sqrt(
+BLEND = f"""bl AS (SELECT aoi, row, col, {SQUARED} AS e, greatest(least(1 - pow(sqrt(
   pow(pr - 8, 2) + pow(pc - 8, 2)) / (sqrt(2.0) * 8), 2), 1.0), 0.1) AS w FROM pp JOIN mp USING (pr, pc)),
 mo AS (SELECT aoi, row, col, sum(w) AS weight, sum(e * w) / sum(w) AS squared_error
        FROM bl GROUP BY aoi, row, col)"""
 
 
-def _clean_errors(spark, sf):
-    """Errors of sanitised patches, so that every covered pixel has a value."""
-    return _pixel_errors(_normal_patches(spark, sf)).withColumn(
-        "squared_error", F.coalesce("squared_error", F.lit(0.0))
-    )
+def _mosaic(spark, sf, weighted=True):
+    normal, template = _normal_pixels(spark, sf)
+    return mosaic.blended_errors(normal, GRID, template, tb.MIN_VALID, BASE, weighted)
 
 
 @query(
     "mosaic_weighted",
-    compose([*NORMAL, MEANS, BLEND.replace("pow(ndvi - m_ndvi, 2) AS e", "coalesce(pow(ndvi - m_ndvi, 2), 0) AS e")],
-            "SELECT * FROM mo", "aoi, row, col", "weight, squared_error", places=8),
+    compose([*NORMAL, MEANS, BLEND], "SELECT * FROM mo", "aoi, row, col", "weight, squared_error", places=8),
 )
 def mosaic_weighted(spark, sf):
-    return rounded(mosaic.mosaic_weighted(_clean_errors(spark, sf), P, ["squared_error"]), 8)
+    """Errors over all channels, blended by the distance from the patches' centres."""
+    return rounded(_mosaic(spark, sf), 8)
 
 
 @query(
@@ -581,18 +639,20 @@ def mosaic_weighted(spark, sf):
             "aoi, covered", "coverage_pct, mean_overlap", places=9),
 )
 def mosaic_coverage(spark, sf):
-    cut = _normal_patches(spark, sf)
-    cells = pt.explode_patches(cut, P, BASE).select("aoi", "row", "col", "pr", "pc", "ndvi")
-    whole = mosaic.mosaic_weighted(cells, P, ["ndvi"])
-    return rounded(mosaic.mosaic_coverage(whole, mosaic.area_extent(cut, P)), 9)
+    whole = settle(_mosaic(spark, sf), "mosaic")
+    # The covered pixel furthest down and right ends the area's extent.
+    extent = whole.groupBy("aoi").agg(
+        (F.max("row") + 1).cast("int").alias("height"), (F.max("col") + 1).cast("int").alias("width")
+    )
+    return rounded(mosaic.mosaic_coverage(whole, extent), 9)
 
 
 @query(
     "pixel_heatmap",
     compose([*NORMAL, MEANS],
-            "SELECT aoi, row, col, avg(coalesce(pow(ndvi - m_ndvi, 2), 0)) AS squared_error "
+            f"SELECT aoi, row, col, avg({SQUARED}) AS squared_error "
             "FROM pp JOIN mp USING (pr, pc) GROUP BY aoi, row, col", "aoi, row, col", "squared_error"),
 )
 def pixel_heatmap(spark, sf):
     """Overlap mean of a score that differs from pixel to pixel."""
-    return rounded(mosaic.pixel_heatmap(_clean_errors(spark, sf), "squared_error"))
+    return rounded(_mosaic(spark, sf, False).drop("weight"))

@@ -287,6 +287,16 @@ def global_stats(spark, sf):
     return rounded(ch.global_stats(tb.pixels(spark, sf), BASE))
 
 
+@query(
+    "global_stats_ranks",
+    compose([PX, unpivot_sql("px", BASE), stats_sql("lng")],
+            "SELECT * FROM st", "channel", "mean, std, p_low, p_high"),
+)
+def global_stats_ranks(spark, sf):
+    """The way taken when a channel has many values: ranks narrowed down by histograms."""
+    return rounded(ch.global_stats(tb.pixels(spark, sf), BASE, whole_group_rows=0))
+
+
 @query(
     "global_stats_sampled",
     compose([PX, unpivot_sql("px", BASE), SAMPLED, stats_sql("smp")],

@@ -84,3 +84,32 @@ def test_argument_checks():
             ScoringRequest(**bad)
     with pytest.raises(ValueError):
         PatchGrid(16, 32)
+
+
+def test_ranks_are_found_whatever_the_values(spark):
+    """Values no sketch brackets: far outliers, infinities, heavy ties, neighbouring doubles."""
+    rng = np.random.default_rng(2)
+    near = 1.0 + np.arange(60) * np.finfo(float).eps
+    values = {
+        "decades": np.concatenate((10.0 ** rng.uniform(-300, 300, 400), -(10.0 ** rng.uniform(-9, 9, 99)))),
+        "endless": np.array([-np.inf, -np.inf, 0.0, 1.0, 5.0, np.inf]),
+        "near": rng.permutation(np.repeat(near, 3)),
+        "wide": np.array([-1.7e308, 1.7e308, 0.0, -5e-324, 5e-324]),
+        "ties": np.repeat([4.0, -0.0, 7.0], [500, 300, 1]),
+    }
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    probs = {"a": 0.0, "b": 0.2, "c": 0.5, "d": 1.0}
+    got = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", probs, 64, whole_group_rows=0).collect()}
+    for k, vs in values.items():
+        ordered = np.sort(vs)
+        for name, p in probs.items():
+            h = p * (len(vs) - 1)
+            low, high = ordered[int(np.floor(h))], ordered[int(np.ceil(h))]
+            want = low if low == high else low + (high - low) * (h - np.floor(h))
+            np.testing.assert_allclose(got[k][name], want, rtol=1e-15)
+
+
+def test_no_values_give_no_quantiles(spark):
+    empty = spark.createDataFrame([(None, "a")], "v double, k string")
+    assert exact_quantiles(empty, ["k"], "v", {"m": 0.5}, whole_group_rows=0).count() == 0
