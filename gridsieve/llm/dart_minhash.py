@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridsieve.llm.components import components
+from gridsieve.llm.memory import giving_back
 from gridsieve.llm.shingles import mix, shingles, words_of
 from gridsieve.session import settle
 
@@ -154,7 +155,7 @@ def _described(docs: DataFrame, size: int, counted: bool) -> DataFrame:
                 )
 
     schema = "doc_id bigint, node bigint, digest binary, bands array<bigint>"
-    return docs.mapInArrow(describe, schema)
+    return docs.mapInArrow(giving_back(describe), schema)
 
 
 def _elements(docs: DataFrame, size: int, counted: bool) -> DataFrame:
@@ -186,7 +187,7 @@ def _elements(docs: DataFrame, size: int, counted: bool) -> DataFrame:
                     ["node", "digest", "own"],
                 )
 
-    return docs.mapInArrow(list_, "node bigint, digest binary, own array<int>")
+    return docs.mapInArrow(giving_back(list_), "node bigint, digest binary, own array<int>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gridsieve.llm.automaton import SuffixAutomaton, benchmark_words
+from gridsieve.llm.memory import giving_back
 
 WINDOW = 13
 # A document is contaminated if at least one in so many of its words is hit.
@@ -132,7 +133,7 @@ def _searched(docs: DataFrame, automaton: SuffixAutomaton | None, text_col: str)
 
     added = f"n_words bigint, spans {SPANS}, items array<string>"
     schema = StructType(docs.schema.fields + StructType.fromDDL(added).fields)
-    return docs.mapInArrow(search, schema)
+    return docs.mapInArrow(giving_back(search), schema)
 
 
 def n_hit():

@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridsieve.llm.memory import giving_back
 from gridsieve.llm.tokens import encoded
 from gridsieve.session import settle
 
@@ -195,7 +196,7 @@ def token_table(
                 names=["doc_id", "width", "ids"],
             )
 
-    return settle(rows.mapInArrow(encode, "doc_id bigint, width int, ids binary"), "tokens")
+    return settle(rows.mapInArrow(giving_back(encode), "doc_id bigint, width int, ids binary"), "tokens")
 
 
 def pack_documents(
@@ -246,4 +247,4 @@ def pack_documents(
         packer.finish()
         yield packer.take()
 
-    return table.mapInArrow(pack, PIECE_SCHEMA)
+    return table.mapInArrow(giving_back(pack), PIECE_SCHEMA)

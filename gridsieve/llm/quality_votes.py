@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from gridsieve.llm.memory import giving_back
 
 # Buckets of words and of word forms; a form is a word's shape, e.g. "Aa." for "Thing.".
 WORD_BUCKETS = 1 << 14
@@ -169,7 +170,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
         )
 
     counted = (
-        docs.select(F.col(text_col)).mapInArrow(count, "bucket bigint, n bigint")
+        docs.select(F.col(text_col)).mapInArrow(giving_back(count), "bucket bigint, n bigint")
         .groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     )  # at most BUCKETS + 1 rows
     out = np.zeros(BUCKETS + 1, dtype=np.int64)
@@ -216,7 +217,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple
             )
 
     schema = "doc_id bigint, quality int, buckets array<bigint>, counts array<double>"
-    table = rows.mapInArrow(describe, schema).toArrow()
+    table = rows.mapInArrow(giving_back(describe), schema).toArrow()
     order = np.lexsort((table.column("quality").to_numpy(), table.column("doc_id").to_numpy()))
     sample = []
     for i in order.tolist():

@@ -41,8 +41,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Rows travel to Python in batches of about 16 MB, whatever the length of texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 * 1024 * 1024))
+    """Rows travel to Python in batches of about 6 MB, whatever the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(6 * 1024 * 1024))
 
 
 @query("op4_decontamination")

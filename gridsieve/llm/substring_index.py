@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gridsieve.llm.fm_index import FMIndex, earliest, matching_windows
+from gridsieve.llm.memory import giving_back
 from gridsieve.llm.shingles import mix, window_hashes, word_hashes, words_of
 from gridsieve.session import settle, temporary_tables
 
@@ -103,7 +104,7 @@ def _segments_of(rows: DataFrame) -> DataFrame:
                     ["mini", "form", "doc", "key", "start", "n"],
                 )
 
-    return rows.mapInArrow(cut, _SEGMENT)
+    return rows.mapInArrow(giving_back(cut), _SEGMENT)
 
 
 def _joined(big: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes: int) -> DataFrame:
@@ -145,8 +146,7 @@ def _words_of_forms(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     held = (wanted.count() + 2 * lists.count()) * 24
     keyed = _keyed(rows)
     joined = keyed.join(F.broadcast(lists) if held <= BROADCAST_BYTES else lists, "key")
-    return joined.select("key", "doc", "text", "s").mapInArrow(
-        cut, "mini bigint, doc bigint, key bigint, start int, n int, words binary"
+    return joined.select("key", "doc", "text", "s").mapInArrow(giving_back(cut), "mini bigint, doc bigint, key bigint, start int, n int, words binary"
     )
 
 
@@ -163,7 +163,7 @@ def _keyed(rows: DataFrame) -> DataFrame:
                 )
 
     schema = StructType(StructType.fromDDL("key bigint").fields + rows.schema.fields)
-    return rows.mapInArrow(add, schema)
+    return rows.mapInArrow(giving_back(add), schema)
 
 
 def _search_shards(forms: DataFrame, shards: int) -> DataFrame:
@@ -213,8 +213,7 @@ def _search_shards(forms: DataFrame, shards: int) -> DataFrame:
             ["doc", "key", "start", "n"],
         )
 
-    return forms.repartition(shards, "mini").mapInArrow(
-        search, "doc bigint, key bigint, start int, n int"
+    return forms.repartition(shards, "mini").mapInArrow(giving_back(search), "doc bigint, key bigint, start int, n int"
     )
 
 
@@ -322,7 +321,7 @@ def repeats_report(docs: DataFrame) -> DataFrame:
 
     found = find_repeats(docs.select("doc_id", "text"))
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
-    return found.select(F.col("doc_id").cast("bigint"), "text", "removed").mapInArrow(digest, schema)
+    return found.select(F.col("doc_id").cast("bigint"), "text", "removed").mapInArrow(giving_back(digest), schema)
 
 
 def without_words(text: str | None, spans: list | None) -> str | None:

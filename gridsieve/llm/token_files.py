@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridsieve.llm import simple8b
+from gridsieve.llm.memory import giving_back
 from gridsieve.llm.tokens import encoded
 from gridsieve.session import scratch_path
 
@@ -114,7 +115,7 @@ def write_token_files(
             yield out()
 
     (
-        rows.mapInArrow(blocks, INDEX + ", block binary")
+        rows.mapInArrow(giving_back(blocks), INDEX + ", block binary")
         .write.option("compression", "none")
         .option("parquet.block.size", 8 * 1024 * 1024)
         .parquet(path)
@@ -155,7 +156,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     names=["doc_id", "start", "ids"],
                 )
 
-    return placed.mapInArrow(documents, "doc_id bigint, start bigint, ids binary")
+    return placed.mapInArrow(giving_back(documents), "doc_id bigint, start bigint, ids binary")
 
 
 def token_file_digest(

@@ -70,7 +70,7 @@ class PieceTokenizer:
     <|endoftext|>, is that token, as the tokenizer itself has it; otherwise it is plain text.
     """
 
-    def __init__(self, path: str, keep: int = 150_000, added_tokens: bool = False):
+    def __init__(self, path: str, keep: int = 80_000, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
