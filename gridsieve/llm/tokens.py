@@ -39,7 +39,7 @@ class PieceTokenizer:
     has it; otherwise it is plain text.
     """
 
-    def __init__(self, path: str, keep: int = 250_000, added_tokens: bool = False):
+    def __init__(self, path: str, keep: int = 400_000, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
