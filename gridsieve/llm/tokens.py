@@ -6,6 +6,8 @@ import json
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
+from struct import pack
 
 import numpy as np
 
@@ -21,9 +23,20 @@ PIECES_WITHOUT_SPACE = re.compile(_WORD)
 PIECES_WITH_SPACE = re.compile(f" ?(?:{_WORD})|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
-def _spaced(piece: str) -> str:
-    """A byte-level piece of ASCII letters as its model spells it."""
-    return piece.replace(" ", "Ġ")
+# Byte-level models spell the bytes that have no visible Latin-1 character with the characters
+# from 256 on, in order.
+_UNSEEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_SPELLING = {b: 256 + k for k, b in enumerate(_UNSEEN)}
+
+
+def _spelled(word: str) -> str:
+    """A word as a byte-level model spells it."""
+    return word.encode("utf-8").decode("latin-1").translate(_SPELLING)
+
+
+def _lowered(word: str) -> str:
+    """The same in lower case; the letters of ``LETTERS`` need no other normalising."""
+    return _spelled(word.lower())
 
 
 _loaded: dict[tuple[str, bool], "PieceTokenizer"] = {}
@@ -33,8 +46,9 @@ class PieceTokenizer:
     """The ids of texts as little-endian unsigned 32-bit integers.
 
     A text is cut where the tokenizer's own split pattern always cuts, each distinct piece
-    is encoded once, and a text's ids are its pieces' ids in order.  ``keep`` bounds the
-    pieces remembered between calls; it affects speed only.  With ``added_tokens`` the name of
+    is encoded once, and a text's ids are its pieces' ids in order.  The pieces remembered
+    between calls are at most ``keep`` and those of one call: when half of that is new, what
+    was not met since the last such moment is forgotten.  That affects speed only.  With ``added_tokens`` the name of
     an added token in a text, such as <|endoftext|>, is that token, as the tokenizer itself
     has it; otherwise it is plain text.
     """
@@ -47,11 +61,12 @@ class PieceTokenizer:
         self._tokenizer.encode_special_tokens = not added_tokens
         self._keep = keep
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         split = json.loads(self._tokenizer.to_str())["pre_tokenizer"] or {}
         parts = tuple(p["type"] for p in split.get("pretokenizers", [split]))
         self._pieces, self._plain, self._form = {
-            ("ByteLevel",): (PIECES_WITH_SPACE, re.compile(" ?[A-Za-z]+"), _spaced),
-            ("Split", "ByteLevel"): (PIECES_WITHOUT_SPACE, re.compile("[A-Za-z]+"), str.lower),
+            ("ByteLevel",): (PIECES_WITH_SPACE, re.compile(f" ?[{LETTERS}]+"), _spelled),
+            ("Split", "ByteLevel"): (PIECES_WITHOUT_SPACE, re.compile(f"[{LETTERS}]+"), _lowered),
         }.get(parts, (None, None, None))
         self._added, self._added_ids = None, {}
         added = self._tokenizer.get_added_tokens_decoder() if added_tokens else {}
@@ -66,19 +81,35 @@ class PieceTokenizer:
         for e in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
             yield np.array(e.ids, dtype="<u4").tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Remember the ids of ``pieces``; ASCII words need no normaliser, only the model."""
-        plain, model, other = self._plain.fullmatch, self._tokenizer.model, []
+    def _learn(self, pieces: list[str]) -> None:
+        """Remember the ids of ``pieces``; words of ``LETTERS`` need only the model."""
+        plain, form, model, other = self._plain.fullmatch, self._form, self._tokenizer.model, []
         for p in pieces:
             if plain(p):
-                ids = [t.id for t in model.tokenize(self._form(p))]
-                self._known[p] = np.array(ids, dtype="<u4").tobytes()
+                ids = [t.id for t in model.tokenize(form(p))]
+                self._known[p] = pack(f"<{len(ids)}I", *ids)
             else:
                 other.append(p)
         for at in range(0, len(other), 4096):
             some = other[at : at + 4096]
             self._known.update(zip(some, self._encode(some)))
 
+    def _ids_of(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of distinct pieces, remembered or learnt."""
+        if len(self._known) > self._keep // 2:
+            self._known, self._older = {}, self._known
+        known, older, new = self._known, self._older, []
+        known.update(self._added_ids)
+        for p in pieces:
+            if p not in known:
+                ids = older.get(p)
+                if ids is None:
+                    new.append(p)
+                else:
+                    known[p] = ids
+        self._learn(new)
+        return {p: known[p] for p in pieces}
+
     def _cut(self, text: str) -> list[str]:
         """Pieces of a text; added tokens are cut out first, each a piece of its own."""
         if self._added is None or not self._added.search(text):
@@ -93,12 +124,8 @@ class PieceTokenizer:
         if self._pieces is None:
             return list(self._encode(texts))
         cut = [self._cut(t) for t in texts]
-        known = self._known
-        if len(known) > self._keep:
-            known.clear()
-        known.update(self._added_ids)
-        self._learn({p for pieces in cut for p in pieces if p not in known})
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        ids = self._ids_of(set(chain.from_iterable(cut))).__getitem__
+        return [b"".join(map(ids, pieces)) for pieces in cut]
 
 
 def tokenizer(path: str, added_tokens: bool = False) -> PieceTokenizer:
