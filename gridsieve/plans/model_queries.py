@@ -8,7 +8,7 @@ from ..functions.scalars import sigmoid, vector_cosine
 from ..operators import evaluation as ev
 from ..operators import results as rs
 from ..operators import similarity as sim
-from ..operators.models import clusters, forest, gate
+from ..operators.models import clusters, forest, gate, gate_fit
 from ..session import settle
 from . import scoring
 from . import tables as tb
@@ -360,6 +360,44 @@ def gate_fit_eval(spark, sf):
     return out
 
 
+GATE_FEATURES = "prob_autoencoder prob_iforest prob_kmeans arch_similarity".split()
+
+
+@query(
+    "gate_network_fit",
+    compose(
+        [SC, "f AS (" + " UNION ALL ".join(
+            f"SELECT '{c}' AS feature, avg({c}) AS mean, stddev_pop({c}) AS scale, count(*) AS n FROM sc"
+            for c in GATE_FEATURES) + ")"],
+        "SELECT feature, mean, scale, n, TRUE AS falls, TRUE AS informed, TRUE AS agrees FROM f",
+        "feature, n, falls, informed, agrees", "mean, scale",
+    ),
+)
+def gate_network_fit(spark, sf):
+    """What holds for any good fit of the stacked network: its scaler is that of the population,
+    the loss falls below that of the base rate, and ``gate_score`` reproduces it."""
+    rows = tb.patch_scores(spark, sf).select("vec_id", *gate.FEATURES, "y")
+    model = gate_fit.fit_network(rows, "y", rounds=40, shrink=0.0)
+    p = F.col("p")
+    own = -F.when(F.col("y") == 1, F.log(p)).otherwise(F.log1p(-p))
+    rate = F.avg("y")
+    base = -(rate * F.log(rate) + (1 - rate) * F.log1p(-rate))
+    losses = gate.gate_score(rows, model, into="p").agg(
+        F.avg(own).alias("own"), F.coalesce(base, F.lit(0.0)).alias("base")
+    )
+    fit = [(f, m, s, model["rows"]) for f, m, s in zip(gate.FEATURES, model["mean"], model["scale"])]
+    found = spark.createDataFrame(fit, "feature string, mean double, scale double, n long")
+    best = min(model["losses"])
+    return rounded(
+        found.join(F.broadcast(losses)).select(
+            "feature", "mean", "scale", "n",
+            F.lit(best < model["losses"][0]).alias("falls"),
+            (F.col("own") <= F.col("base")).alias("informed"),
+            (F.abs(F.col("own") - best) < 1e-9).alias("agrees"),
+        )
+    )
+
+
 @query("unified_scores")
 def unified_scores(spark, sf):
     """All five offline scores of every patch."""

@@ -309,6 +309,28 @@ def stream_dedup(spark, sf):
     return spark.read.schema("patch_id string").parquet(out)
 
 
+@query("stream_incremental", SQL["gate_mlp_score"])
+def stream_incremental(spark, sf):
+    """Only patches that are not stored yet are scored: every patch comes twice, all come once
+    more after a restart, and everything is read again after the checkpoint is lost."""
+    path, schema = _arrivals(spark, sf, copies=2)
+    store = scratch_path(spark, "incremental")
+    score = lambda rows: st.score_patches(rows, demo_weights())
+    arriving = lambda: st.read_stream(spark, path, schema, files_per_batch=2)
+    mark = scratch_path(spark, "progress")
+    st.run_incremental(arriving(), store, mark, score, order="ts")
+    again, _ = _arrivals(spark, sf)
+    spark.read.schema(schema).parquet(again).write.mode("append").parquet(path)
+    st.run_incremental(arriving(), store, mark, score, order="ts")
+    st.run_incremental(arriving(), store, scratch_path(spark, "progress"), score, order="ts")
+    scored = score(spark.read.schema(schema).parquet(path)).schema
+    return rounded(
+        st.committed_rows(spark, store, scored).select(
+            "patch_id", "gate_prediction", F.col("is_anomaly").cast("double").alias("gate_binary")
+        )
+    )
+
+
 @query(
     "stream_window_counts",
     compose(
