@@ -10,6 +10,7 @@ of their likelihood, which the same messages provide.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -69,6 +70,9 @@ FURNITURE = re.compile(
 CONTENT = re.compile(
     r"(^|[-_ ])(article|content|main|post|entry|story|body|text|page)($|[-_ \d])", re.I
 )
+# Elements that their own attributes hide; what stands in them is opened under a marked name.
+UNSEEN = "!"
+NOT_SHOWN = re.compile(r"(^|;)\s*(display\s*:\s*none|visibility\s*:\s*hidden)\s*(!|;|$)", re.I)
 SHARES = (0.2, 0.5, 0.8)  # of a node's text in links
 LENGTHS = (1, 20, 80, 300)  # characters of a node's text
 N_FEATURES = len(KINDS) + 2 + len(SHARES) + len(LENGTHS) + 2
@@ -87,12 +91,20 @@ class Page:
     runs: list[tuple[int, str]] = field(default_factory=list)  # (node, text) between block edges
 
 
+def _is_unseen(attrs) -> bool:
+    return any(
+        key == "hidden" or (key == "style" and value and NOT_SHOWN.search(value))
+        for key, value in attrs
+    )
+
+
 class _Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.page = Page()
         self.open: list[tuple[str, int]] = [("", 0)]
-        self.hidden = 0  # open elements of HIDDEN
+        self.opened: Counter[str] = Counter()  # names of the open elements
+        self.hidden = 0  # open elements whose text is not shown
         self.links = 0
         self.held: list[str] = []
 
@@ -110,12 +122,14 @@ class _Reader(HTMLParser):
             return
         if self.hidden:
             self._show_before(tag)
-        if tag in HIDDEN:
-            self.hidden += 1
-            self.open.append((tag, self.open[-1][1]))
+        if tag in HIDDEN or (tag in INLINE and self.opened[UNSEEN + tag]):
+            self._open_hidden(tag if tag in HIDDEN else UNSEEN + tag)
             return
+        unseen = _is_unseen(attrs)
         if tag in INLINE:
-            if tag == "a":
+            if unseen:
+                self._open_hidden(UNSEEN + tag)
+            elif tag == "a":
                 self.links = 1
             return
         self._edge()
@@ -139,11 +153,21 @@ class _Reader(HTMLParser):
         page.chars.append(0)
         page.linked.append(0)
         self.open.append((tag, node))
+        self.opened[tag] += 1
+        if unseen:
+            self._open_hidden(UNSEEN)
+
+    def _open_hidden(self, name: str) -> None:
+        self.hidden += 1
+        self.open.append((name, self.open[-1][1]))
+        self.opened[name] += 1
 
     def _show_before(self, tag: str) -> None:
         """End an open head or drawing that cannot hold the starting element."""
         if self.open[-1][0] == "head" and tag not in IN_HEAD:
             self._leave(len(self.open) - 1)
+        if not (self.opened["svg"] or self.opened["math"] or self.opened["head"]):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             name = self.open[k][0]
             if name == "foreignobject":
@@ -154,11 +178,15 @@ class _Reader(HTMLParser):
 
     def _leave(self, k: int) -> None:
         """End the open elements from the k-th on."""
-        self.hidden -= sum(tag in HIDDEN for tag, _ in self.open[k:])
+        for tag, _ in self.open[k:]:
+            self.hidden -= tag in HIDDEN or tag.startswith(UNSEEN)
+            self.opened[tag] -= 1
         del self.open[k:]
 
     def _close(self, tags, starting) -> None:
         """End an open element of ``tags`` that is not beyond a list, table or the body."""
+        if not any(self.opened[tag] for tag in tags):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             tag = self.open[k][0]
             if tag in tags:
@@ -173,12 +201,16 @@ class _Reader(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if tag in INLINE and self.opened[UNSEEN + tag]:
+            tag = UNSEEN + tag
         if tag in INLINE:
             if tag == "a":
                 self.links = 0
         elif tag not in VOID:
-            if tag not in HIDDEN:
+            if tag not in HIDDEN and not tag.startswith(UNSEEN):
                 self._edge()
+            if not self.opened[tag]:
+                return
             for k in range(len(self.open) - 1, 0, -1):
                 if self.open[k][0] == tag:
                     self._leave(k)
@@ -207,6 +239,8 @@ def read_page(html: str | None) -> Page:
     """Elements, features' raw material and text runs of a page; tolerant of bad markup."""
     reader = _Reader()
     reader.feed(html or "")
+    if reader.rawdata.startswith("<!--"):
+        reader.rawdata = ""  # a comment without an end hides the rest, as in browsers
     reader.close()
     reader._edge()
     return reader.page
@@ -332,8 +366,9 @@ def main_texts(model: TreeModel, html: list[str | None]) -> list[str]:
 def extract_pages(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
     """page_id, url, text and n_chars of every page, from the whole html.
 
-    A null html counts as empty; a page without content has an empty text.  Repeated rows are
-    read each; other columns are not used.  The model is a few hundred numbers; pages are not
+    A null html counts as empty; a page without content has an empty text.  Text of elements
+    that their own attributes hide is not shown.  Repeated rows are read each, other columns
+    are not used, and an empty table gives no rows.  The model is a few hundred numbers; pages are not
     shuffled.
     """
     model = model or train(labelled_pages())
