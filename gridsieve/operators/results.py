@@ -243,6 +243,38 @@ def processing_summary(inputs: DataFrame, produced: DataFrame) -> DataFrame:
     )
 
 
+NO_REASON = "no output"
+
+
+def area_status(inputs: DataFrame, produced: DataFrame, reasons: DataFrame | None = None) -> DataFrame:
+    """(aoi, ok, reason): one row for each area of ``inputs``.
+
+    An area is ok when it produced rows.  ``reasons`` (aoi, reason) says why others failed; an
+    area with several has the first by alphabet, one without has ``NO_REASON``.  Rows without
+    an area are left out.
+    """
+    marked = (
+        inputs.where("aoi is not null").select("aoi").distinct()
+        .join(produced.select("aoi").distinct().withColumn("__ok", F.lit(True)), "aoi", "left")
+        .withColumn("ok", F.coalesce("__ok", F.lit(False)))
+    )
+    if reasons is None:
+        found = marked.withColumn("__why", F.lit(None).cast("string"))
+    else:
+        found = marked.join(reasons.groupBy("aoi").agg(F.min("reason").alias("__why")), "aoi", "left")
+    why = F.when(~F.col("ok"), F.coalesce("__why", F.lit(NO_REASON)))
+    return found.select("aoi", "ok", why.alias("reason"))
+
+
+def status_summary(status: DataFrame) -> DataFrame:
+    """Counts of successful and failed areas and the success rate in percent; 0 without areas."""
+    return status.agg(
+        F.count_if("ok").alias("successful"),
+        F.count_if(~F.col("ok")).alias("failed"),
+        F.coalesce(_share(F.col("ok")), F.lit(0.0)).alias("success_rate"),
+    )
+
+
 def missing_areas(inputs: DataFrame, produced: DataFrame) -> DataFrame:
     """Areas without any output row."""
     return inputs.select("aoi").distinct().join(produced.select("aoi").distinct(), "aoi", "left_anti")

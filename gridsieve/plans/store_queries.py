@@ -247,6 +247,58 @@ def run_summary_roundtrip(spark, sf):
     return rounded(back)
 
 
+WHY = "too few valid elevations: "
+
+
+@query(
+    "run_record_roundtrip",
+    compose(
+        [PX, "a AS (SELECT aoi, count(dtm) AS n FROM px GROUP BY aoi)"],
+        f"SELECT aoi, n >= 1990 AS ok, CASE WHEN n < 1990 THEN '{WHY}' || n END AS reason, "
+        "count(*) FILTER (WHERE n >= 1990) OVER () AS successful, "
+        "count(*) FILTER (WHERE n < 1990) OVER () AS failed, "
+        "avg(CASE WHEN n >= 1990 THEN 100.0 ELSE 0.0 END) OVER () AS success_rate FROM a",
+        "aoi, ok, reason, successful, failed", "success_rate",
+    ),
+)
+def run_record_roundtrip(spark, sf):
+    """Every area of a run with its state and reason, next to the run's summary."""
+    path = scratch_path(spark, "run-record")
+    px = tb.pixels(spark, sf)
+    valid = px.groupBy("aoi").agg(F.count("dtm").alias("n"))
+    reasons = valid.select("aoi", F.concat(F.lit(WHY), F.col("n").cast("string")).alias("reason"))
+    sinks.write_run_record(
+        rs.area_status(px, _usable_areas(px), reasons), PreprocessingConfig(), path
+    )
+    back = readers.read_run_record(spark, path)
+    good = back["successful"].select("aoi", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("reason"))
+    bad = back["failed"].select("aoi", F.lit(False).alias("ok"), "reason")
+    return rounded(good.unionByName(bad).join(F.broadcast(back["summary"])))
+
+
+@query(
+    "json_report_blocks",
+    compose(
+        [SC, "m AS (SELECT aoi, count(*) AS area_patches FROM sc GROUP BY aoi)",
+         f"o AS ({SQL['formatted_overview']})", f"p AS (SELECT count(*) AS predictions FROM ({SQL['json_report']}))"],
+        "SELECT * FROM m, o, p", "*",
+    ),
+)
+def json_report_blocks(spark, sf):
+    """Metadata of every area, the summary, and the number of predictions, read back."""
+    root = scratch_path(spark, "report")
+    scores = tb.scores_only(spark, sf)
+    sinks.write_report(scores, root)
+    blocks = readers.read_report(spark, root, {
+        "metadata": "aoi string, total_patches long",
+        "summary": rs.formatted_overview(scores, 0.5).schema,
+        "predictions": rs.json_report(scores).schema,
+    })
+    whole = blocks["predictions"].agg(F.count(F.lit(1)).alias("predictions"))
+    areas = blocks["metadata"].withColumnRenamed("total_patches", "area_patches")
+    return rounded(areas.join(F.broadcast(blocks["summary"])).join(F.broadcast(whole)))
+
+
 @query(
     "response_bundle",
     compose(

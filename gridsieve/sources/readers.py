@@ -105,6 +105,7 @@ def metadata_or_zero(areas: DataFrame, metadata: DataFrame) -> DataFrame:
     )
 
 
+# The keys of a coordinate file.
 COORDINATE_KEYS = ("AOI_ID", "LiDAR_File", "min_lon", "min_lat", "max_lon", "max_lat")
 
 
@@ -173,6 +174,22 @@ def dimension_mismatches(sites: DataFrame, dim: int) -> DataFrame:
     return sites.where(F.size("embedding") != dim).select("aoi", "patch_id")
 
 
+def read_run_record(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Summary, successful areas, and failed areas with their reasons, of a finished run."""
+    counts = "successful long, failed long, success_rate double"
+    areas = spark.read.schema("aoi string, reason string, ok boolean").json(f"{path}/areas")
+    return {
+        "summary": spark.read.schema(counts).json(f"{path}/summary"),
+        "successful": areas.where("ok").select("aoi"),
+        "failed": areas.where("not ok").select("aoi", "reason"),
+    }
+
+
+def read_report(spark: SparkSession, root: str, schemas: dict) -> dict[str, DataFrame]:
+    """Blocks of a JSON report; ``schemas`` has one for each wanted block."""
+    return {part: spark.read.schema(s).json(f"{root}/{part}") for part, s in schemas.items()}
+
+
 def read_document(spark: SparkSession, root: str, schemas=None) -> dict[str, DataFrame]:
     """Parts of a published result document; give schemas to skip inference."""
     parts = ("summary", "aois", "top_candidates", "all_anomalies")

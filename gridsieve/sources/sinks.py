@@ -6,7 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CHANNELS, MATRIX_COLUMNS, UNIFIED_COLUMNS
-from ..operators.results import csv_report, geojson_features, geojson_lines, json_report
+from ..operators.results import (
+    csv_report,
+    formatted_overview,
+    geojson_features,
+    geojson_lines,
+    json_report,
+    status_summary,
+)
 from ..session import sized_row_groups
 
 # Lines and columns of patches that share one output task; spreads a dominant area.
@@ -64,6 +71,18 @@ def write_run_summary(summary: DataFrame, config, path: str, mode="errorifexists
     summary.withColumn("config", settings).write.mode(mode).json(path)
 
 
+def write_run_record(status: DataFrame, config, path: str, mode="errorifexists") -> None:
+    """Areas of a run with their state and reason, then its summary and settings.
+
+    ``status`` comes from ``area_status``.  The lists are rows, one per area, split by state, as
+    a run may have more areas than one row should hold.  The summary is derived from the rows
+    as written and comes last: a record without one is incomplete.
+    """
+    status.write.mode(mode).partitionBy("ok").json(f"{path}/areas")
+    kept = status.sparkSession.read.schema(status.schema).json(f"{path}/areas")
+    write_run_summary(status_summary(kept), config, f"{path}/summary", mode)
+
+
 def write_geojson(scores: DataFrame, path: str, patch: int, threshold=0.5, grids=None) -> None:
     """GeoJSON, one feature per line."""
     geojson_lines(geojson_features(scores, patch, threshold, grids)).write.text(path)
@@ -77,6 +96,17 @@ def write_json_report(scores: DataFrame, path: str) -> None:
     json_report(scores).write.json(path)
 
 
+def write_report(scores: DataFrame, root: str, threshold: float = 0.5) -> None:
+    """The whole JSON report: predictions, then their summary, then the patches of each area.
+
+    The metadata comes last, so a report that has it is complete.
+    """
+    write_json_report(scores, f"{root}/predictions")
+    formatted_overview(scores, threshold).write.json(f"{root}/summary")
+    areas = scores.groupBy("aoi").agg(F.count(F.lit(1)).alias("total_patches"))
+    areas.write.json(f"{root}/metadata")
+
+
 def write_document(parts: dict[str, DataFrame], root: str) -> None:
     """Each part of the multi-area document as JSON lines below ``root``."""
     for name, rows in parts.items():
@@ -90,7 +120,7 @@ def append_run(run: DataFrame, path: str) -> None:
 
 def response_bundle(scores: DataFrame, patch: int, threshold: float = 0.5) -> dict[str, DataFrame]:
     """Everything a client is sent after scoring, without images."""
-    from ..operators.results import formatted_overview, formatted_statistics
+    from ..operators.results import formatted_statistics
 
     return {
         "geojson": geojson_lines(geojson_features(scores, patch, threshold)),
