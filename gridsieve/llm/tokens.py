@@ -98,17 +98,20 @@ class PieceTokenizer:
         """Ids of distinct pieces, remembered or learnt."""
         if len(self._known) > self._keep // 2:
             self._known, self._older = {}, self._known
-        known, older, new = self._known, self._older, []
+        known, older, found, new = self._known, self._older, {}, []
         known.update(self._added_ids)
         for p in pieces:
-            if p not in known:
+            ids = known.get(p)
+            if ids is None:
                 ids = older.get(p)
                 if ids is None:
                     new.append(p)
-                else:
-                    known[p] = ids
+                    continue
+                known[p] = ids
+            found[p] = ids
         self._learn(new)
-        return {p: known[p] for p in pieces}
+        found.update((p, known[p]) for p in new)
+        return found
 
     def _cut(self, text: str) -> list[str]:
         """Pieces of a text; added tokens are cut out first, each a piece of its own."""
@@ -136,7 +139,7 @@ def tokenizer(path: str, added_tokens: bool = False) -> PieceTokenizer:
 
 
 def encoded(
-    path: str, texts: list, end_id: int, at_once: int = 256, added_tokens: bool = False
+    path: str, texts: list, end_id: int, at_once: int = 32, added_tokens: bool = False
 ) -> Iterator[bytes]:
     """Ids of every text followed by ``end_id``; a null text counts as empty."""
     encode = tokenizer(path, added_tokens)
