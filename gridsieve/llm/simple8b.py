@@ -16,6 +16,7 @@ SELECTORS = (
 )
 ESCAPE = 0
 COUNTS = np.array([c for c, _ in SELECTORS], dtype=np.int64)
+_LIMITS = np.array([1 << b for _, b in SELECTORS[1:]], dtype=np.uint64)
 
 
 def encode(values: np.ndarray) -> np.ndarray:
@@ -27,23 +28,18 @@ def encode(values: np.ndarray) -> np.ndarray:
     n = len(values)
     if n == 0:
         return np.empty(0, dtype="<u8")
-    at = np.arange(n, dtype=np.int64)
-    select = np.full(n, ESCAPE, dtype=np.int64)
-    largest = int(values.max())
-    open_ = np.ones(n, dtype=bool)
-    for s in range(1, len(SELECTORS)):
-        count, bits = SELECTORS[s]
-        if largest >> bits:
-            # Index of the next value that does not fit, at or after each index.
-            stop = np.where(values >> np.uint64(bits) != 0, at, n)
-            stop = np.minimum.accumulate(stop[::-1])[::-1]
-            fits = open_ & (stop - at >= np.minimum(count, n - at))
-        else:
-            fits = open_
-        select[fits] = s
-        open_ = open_ & ~fits
-        if not open_.any():
-            break
+    # Class of the narrowest selector that each value fits; values past the end fit all.
+    need = np.zeros(n + 120, dtype=np.uint8)
+    need[:n] = np.searchsorted(_LIMITS, values, side="right")
+    select = np.full(n, ESCAPE, dtype=np.uint8)
+    # Largest class among the next ``count`` values, widened from selector to selector.
+    widest, reach = need, 1
+    for s in range(len(SELECTORS) - 1, 0, -1):
+        count, _ = SELECTORS[s]
+        while reach < count:
+            step = min(reach, count - reach)
+            widest, reach = np.maximum(widest[:-step], widest[step:]), reach + step
+        select[widest[:n] < s] = s
     steps = COUNTS[select].tolist()
     starts, i = [], 0
     while i < n:

@@ -26,12 +26,14 @@ PIECES_WITH_SPACE = re.compile(f" ?(?:{_WORD})|[{WHITE}]+(?![^{WHITE}])|[{WHITE}
 # Byte-level models spell the bytes that have no visible Latin-1 character with the characters
 # from 256 on, in order.
 _UNSEEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
-_SPELLING = {b: 256 + k for k, b in enumerate(_UNSEEN)}
+_SPELLING = [chr(256 + _UNSEEN.index(b)) if b in _UNSEEN else chr(b) for b in range(256)]
 
 
 def _spelled(word: str) -> str:
-    """A word as a byte-level model spells it."""
-    return word.encode("utf-8").decode("latin-1").translate(_SPELLING)
+    """A word of letters, perhaps after a space, as a byte-level model spells it."""
+    if word.isascii():
+        return word.replace(" ", _SPELLING[32])
+    return "".join(map(_SPELLING.__getitem__, word.encode("utf-8")))
 
 
 def _lowered(word: str) -> str:
