@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ...config import CHANNELS, PatchGrid
+from ..correlation import valid_correlations
 from ...functions.scalars import array_mean
 from ...schemas import patch_schema
 from ..similarity import matrix_as_rows, rows_as_matrix
@@ -276,7 +277,7 @@ def template_match(
     patches: DataFrame, patch: int, templates: dict[str, np.ndarray], channel: str = "dtm",
     into: str = "template_score",
 ) -> DataFrame:
-    """Best valid cross-correlation over a few small templates, by vector lengths."""
+    """Best valid cross-correlation over a few templates up to the patch size, by vector lengths."""
     shared = {n: np.asarray(t, dtype=float) for n, t in templates.items()}
 
     @F.arrow_udf("double")
@@ -284,12 +285,8 @@ def template_match(
         x = np.nan_to_num(rows_as_matrix(column), posinf=0.0, neginf=0.0).reshape(-1, patch, patch)
         length = np.sqrt((x * x).sum(axis=(1, 2)))
         best = np.full(len(x), -np.inf)
-        for t in shared.values():
-            h, w = t.shape
-            corr = np.zeros((len(x), patch - h + 1, patch - w + 1))
-            for dy in range(h):
-                for dx in range(w):
-                    corr += t[dy, dx] * x[:, dy : dy + patch - h + 1, dx : dx + patch - w + 1]
+        kinds = list(shared.values())
+        for t, corr in zip(kinds, valid_correlations(x, kinds)):
             score = corr.max(axis=(1, 2)) / (length * np.sqrt((t * t).sum()) + 1e-10)
             best = np.maximum(best, score)
         return pa.array(best)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import channels as ch
+from ..operators import correlation, resampling, terrain
 from ..operators import results as rs
-from ..operators import terrain
-from ..sources import readers
+from ..session import scratch_path
+from ..sources import readers, sinks
 from . import tables as tb
 from .registry import (
     AROUND,
@@ -43,10 +45,32 @@ BASE = tb.BASE_CHANNELS
     ),
 )
 def discover_aois(spark, sf):
-    """Band files are named after the areas Spark finds; NDVI marks a usable one."""
-    found = tb.pixels(spark, sf).where(F.col("ndvi").isNotNull()).select("aoi").distinct()
-    files = found.select(F.concat(F.lit("/in/"), "aoi", F.lit("/sentinel/NDVI.tif")).alias("path"))
-    return readers.areas_in_paths(files)
+    """NDVI files are written into the folders of their areas and found there by listing."""
+    usable = tb.bands(spark, sf).where((F.col("band") == "ndvi") & F.col("value").isNotNull())
+    root = scratch_path(spark, "bands")
+    sinks.write_band_files(usable, root)
+    return readers.areas_in_paths(readers.area_files(spark, root))
+
+
+@query(
+    "band_inventory",
+    compose(
+        [PX, unpivot_sql("px", BASE)],
+        "SELECT aoi, CAST(regexp_extract(aoi, 'AOI_(\\d+)', 1) AS INT) AS aoi_index, channel AS band, "
+        "count(*) AS n FROM lng WHERE aoi IN ('AOI_0000', 'AOI_0001', 'AOI_0003') "
+        "AND NOT (aoi = 'AOI_0001' AND channel = 'ndwi') GROUP BY ALL",
+        "aoi, aoi_index, band, n",
+    ),
+)
+def band_inventory(spark, sf):
+    """Band files of three chosen areas, listed without opening the others, and their pixels."""
+    root = scratch_path(spark, "bands")
+    sinks.write_band_files(tb.bands(spark, sf).where(F.col("value").isNotNull()), root)
+    chosen = ["AOI_0000", "AOI_0001", "AOI_0003"]
+    files = readers.area_files(spark, root, chosen, "*.parquet")
+    found = files.groupBy("aoi", "aoi_index", "band").agg(F.sum("length").alias("bytes"))
+    counted = readers.read_by_area(spark, root, chosen).groupBy("aoi", "band").agg(F.count("value").alias("n"))
+    return found.where("bytes > 0").join(counted, ["aoi", "band"]).select("aoi", "aoi_index", "band", "n")
 
 
 @query(
@@ -54,9 +78,12 @@ def discover_aois(spark, sf):
     compose([PX], "SELECT DISTINCT aoi FROM px", "aoi"),
 )
 def areas_from_patch_files(spark, sf):
-    found = tb.pixels(spark, sf).select("aoi").distinct()
-    files = found.select(F.concat(F.lit("/p/"), "aoi", F.lit("_all_patches.npz")).alias("path"))
-    return readers.areas_from_patch_files(files)
+    """Pooled patches in one dataset per area, named after it, found by listing."""
+    sums = tb.pixels(spark, sf).groupBy("aoi").agg(F.count("ndvi").alias("n"))
+    root = scratch_path(spark, "patch-files")
+    named = sums.withColumn("file", F.concat("aoi", F.lit("_all_patches.npz")))
+    named.write.partitionBy("file").parquet(root)
+    return readers.areas_from_patch_files(readers.list_files(spark, root, "*.parquet"))
 
 
 @query(
@@ -173,6 +200,68 @@ def resample_bilinear(spark, sf):
     return rounded(ch.resample(px.select("aoi", "row", "col", "dtm"), target, "dtm"))
 
 
+# A target of 40 by 40 cells, turned by 30 degrees, stretched and sheared.
+# All digits count: short decimals would put values on the edge of rounding.
+_TURN = {
+    "a": 1.0392304845, "b": -0.4512345678, "c": 9.7135792468,
+    "d": 0.6012345679, "e": 0.8660254038, "f": -2.4135792468,
+}
+
+
+@query(
+    "resample_rotated",
+    compose(
+        [PX,
+         "tg AS (SELECT aoi, r AS row, c AS col, "
+         "round({d} * c + {e} * r + ({f}), 9) AS sr, round({a} * c + ({b}) * r + {c}, 9) AS sc "
+         "FROM (SELECT DISTINCT aoi FROM px), (SELECT CAST(unnest(generate_series(0, 39)) AS DOUBLE) AS r), "
+         "(SELECT CAST(unnest(generate_series(0, 39)) AS DOUBLE) AS c))".format(
+             **{k: f"CAST({v} AS DOUBLE)" for k, v in _TURN.items()}
+         ),
+         "nbr AS (SELECT tg.aoi, tg.row, tg.col, dtm, ndvi, "
+         "(CASE WHEN dr = 0 THEN 1 - (sr - floor(sr)) ELSE sr - floor(sr) END) * "
+         "(CASE WHEN dc = 0 THEN 1 - (sc - floor(sc)) ELSE sc - floor(sc) END) AS wt FROM tg "
+         "JOIN (VALUES (0,0),(0,1),(1,0),(1,1)) k(dr, dc) ON TRUE "
+         "LEFT JOIN px ON px.aoi = tg.aoi AND px.row = floor(sr) + dr AND px.col = floor(sc) + dc)"],
+        "SELECT aoi, CAST(row AS INT) AS row, CAST(col AS INT) AS col, "
+        "sum(dtm * wt) / nullif(sum(CASE WHEN dtm IS NOT NULL THEN wt END), 0) AS dtm, "
+        "sum(ndvi * wt) / nullif(sum(CASE WHEN ndvi IS NOT NULL THEN wt END), 0) AS ndvi "
+        "FROM nbr GROUP BY aoi, row, col",
+        "aoi, row, col", "dtm, ndvi",
+    ),
+)
+def resample_rotated(spark, sf):
+    """Two channels of every area on a turned and sheared grid."""
+    px = tb.pixels(spark, sf).select("aoi", "row", "col", "dtm", "ndvi")
+    sized = {"height": F.lit(40), "width": F.lit(40)}
+    grids = px.select("aoi").distinct().withColumns(sized | {k: F.lit(v) for k, v in _TURN.items()})
+    return rounded(resampling.resample_affine(px, grids, ["dtm", "ndvi"]))
+
+
+# A fixed template of twelve by twelve cells.
+_LARGE = np.array([[(5 * i + 3 * j) % 11 - 5 for j in range(12)] for i in range(12)])
+
+
+@query(
+    "template_field",
+    compose(
+        [PX,
+         "tpl AS (SELECT i, j, CAST((5 * i + 3 * j) % 11 - 5 AS DOUBLE) AS t FROM "
+         "(SELECT unnest(generate_series(0, 11)) AS i), (SELECT unnest(generate_series(0, 11)) AS j))",
+         "win AS (SELECT s.aoi, s.row - i AS row, s.col - j AS col, coalesce(s.dtm, 0) AS v, t FROM px s, tpl "
+         "WHERE s.row >= i AND s.col >= j)"],
+        "SELECT aoi, CAST(row AS INT) AS row, CAST(col AS INT) AS col, "
+        "sum(v * t) / (sqrt(sum(v * v)) * sqrt(sum(t * t)) + 1e-10) AS similarity "
+        "FROM win GROUP BY aoi, row, col HAVING count(*) = 144",
+        "aoi, row, col", "similarity",
+    ),
+)
+def template_field(spark, sf):
+    """Similarity of the elevation around every pixel to a large template."""
+    px = tb.pixels(spark, sf).select("aoi", "row", "col", "dtm")
+    return rounded(correlation.template_field(px, _LARGE, "dtm"))
+
+
 # ---- band expressions ------------------------------------------------------
 
 
@@ -380,15 +469,16 @@ def roughness_window5(spark, sf):
         [PX, AROUND,
          "hs AS (SELECT aoi, row, col, dtm, atan(sqrt(gx*gx + gy*gy) / 8.0) AS sl, "
          "atan2(-gy / 8.0, gx / 8.0) AS asp FROM gr)"],
-        "SELECT aoi, row, col, sl AS slope_rad, greatest(least((4 * sin(radians(45.0)) * sin(sl) + "
+        "SELECT *, CAST(CASE WHEN dtm IS NULL THEN 128 ELSE floor((shade + 1) / 2.0 * 255) END AS INT) "
+        "AS shade_byte FROM (SELECT aoi, row, col, dtm, sl AS slope_rad, greatest(least((4 * sin(radians(45.0)) * sin(sl) + "
         "cos(radians(45.0)) * cos(sl) * (cos(radians(315.0) - asp) + cos(radians(45.0) - asp) + "
-        "cos(radians(225.0) - asp) + cos(radians(135.0) - asp))) / 4.0, 1.0), -1.0) AS shade FROM hs",
-        "aoi, row, col", "slope_rad, shade",
+        "cos(radians(225.0) - asp) + cos(radians(135.0) - asp))) / 4.0, 1.0), -1.0) AS shade FROM hs)",
+        "aoi, row, col, shade_byte", "slope_rad, shade",
     ),
 )
 def hillshade(spark, sf):
     px = tb.pixels(spark, sf).select("aoi", "row", "col", "dtm")
-    return rounded(terrain.hillshade(px).select("aoi", "row", "col", "slope_rad", "shade"))
+    return rounded(terrain.hillshade(px).select("aoi", "row", "col", "slope_rad", "shade", "shade_byte"))
 
 
 @query(

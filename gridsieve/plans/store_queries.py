@@ -398,9 +398,24 @@ def stream_window_counts(spark, sf):
         "ts", F.col("ts").cast("timestamp")
     )
     out, mark = scratch_path(spark, "windows"), scratch_path(spark, "progress")
-    counted = st.window_counts(stream, "ts", ["event_type"], "1 hour")
-    st.run_upserts(counted, out, mark)
-    back = st.latest_rows(spark, out, counted.schema, ["window_start", "event_type"])
+    hourly = lambda rows: st.window_counts(rows, "ts", ["event_type"], "1 hour")
+    st.run_partials(stream, out, mark, hourly)
+    back = st.summed_rows(spark, out, hourly(stream).schema, ["window_start", "event_type"])
     return back.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n"
     )
+
+
+@query(
+    "site_dimensions",
+    compose([SC], "SELECT aoi, patch_id FROM sc WHERE label = 0 AND vec_id % 7 = 0", "aoi, patch_id"),
+)
+def site_dimensions(spark, sf):
+    """Sites whose stored vector has another length than the patches' vectors."""
+    sites = tb.patch_scores(spark, sf).where("label = 0")
+    short = F.slice("embedding", 1, 10)
+    path = scratch_path(spark, "sites")
+    mixed = F.when(F.col("vec_id") % 7 == 0, short).otherwise(F.col("embedding"))
+    sites.select("aoi", "patch_id", mixed.alias("embedding")).write.parquet(path)
+    expected = tb.patch_vectors(spark, sf).agg(F.max(F.size("embedding")).alias("dim"))
+    return readers.dimension_mismatches(spark.read.parquet(path), expected)

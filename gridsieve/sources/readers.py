@@ -23,12 +23,50 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     )
 
 
-def areas_in_paths(files: DataFrame, must_contain: str = "ndvi") -> DataFrame:
-    """Areas named in the paths that own a file of the required band."""
+def area_files(
+    spark: SparkSession, root: str, areas: list[str] | None = None, glob: str = "*"
+) -> DataFrame:
+    """One row per file below the area folders of ``root``, ``AOI_<n>`` or ``aoi=AOI_<n>``.
+
+    Columns ``aoi, aoi_index, band, name, path, length, modified``; ``band`` is that of a
+    ``band=`` folder, else the file's lower-cased stem.  A chosen list of areas is part of
+    the listed paths, so other folders are never opened; a list of which no folder exists
+    raises.  Contents are never read.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    where = root.rstrip("/")
+    if areas is not None:
+        names = ",".join(f"{a},aoi={a}" for a in areas)
+        where = f"{where}/{{{names}}}"
+    folder = F.regexp_extract("path", r"/(?:aoi=)?(AOI_\d+)/", 1)
     name = F.element_at(F.split("path", "/"), -1)
+    band = F.regexp_extract("path", r"/band=([^/]+)/", 1)
+    stem = F.lower(F.regexp_replace(name, r"\.[^.]+$", ""))
     return (
-        files.where(F.contains(F.lower(name), F.lit(must_contain)))
-        .select(F.regexp_extract("path", r"(AOI_\d+)", 1).alias("aoi"))
+        reader.option("pathGlobFilter", glob)
+        .load(where)
+        .where(folder != "")
+        .select(
+            folder.alias("aoi"),
+            aoi_index(folder).alias("aoi_index"),
+            F.when(band != "", band).otherwise(stem).alias("band"),
+            name.alias("name"),
+            "path",
+            "length",
+            F.col("modificationTime").alias("modified"),
+        )
+    )
+
+
+def areas_in_paths(files: DataFrame, must_contain: str = "ndvi") -> DataFrame:
+    """Areas named in the paths that own a file of the required band.
+
+    The band stands in the path below the area's folder, in a folder's or the file's name.
+    """
+    below = F.lower(F.regexp_extract("path", r"AOI_\d+/(.*)$", 1))
+    return (
+        files.where(F.contains(below, F.lit(must_contain)))
+        .select(F.regexp_extract("path", r"(AOI_\d+)/", 1).alias("aoi"))
         .where(F.col("aoi") != "")
         .distinct()
         .withColumn("aoi_index", aoi_index(F.col("aoi")))
@@ -36,12 +74,13 @@ def areas_in_paths(files: DataFrame, must_contain: str = "ndvi") -> DataFrame:
 
 
 def areas_from_patch_files(files: DataFrame, suffix: str = "_all_patches") -> DataFrame:
-    """Area names from patch file names with their suffix stripped."""
-    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]+$", "")
+    """Area names from patch file names with their suffix stripped.
+
+    A dataset that Spark wrote is a folder of that name, or ``file=`` and that name.
+    """
+    named = r"(?:^|[/=])(AOI_[^/]*)" + suffix + r"(?:\.[^/.]*)?(?:/part-[^/]*)?$"
     return (
-        files.where(stem.startswith("AOI_") & stem.endswith(suffix))
-        .select(F.regexp_replace(stem, F.lit(suffix + "$"), F.lit("")).alias("aoi"))
-        .distinct()
+        files.select(F.regexp_extract("path", named, 1).alias("aoi")).where(F.col("aoi") != "").distinct()
     )
 
 
@@ -169,9 +208,14 @@ def read_site_embeddings(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def dimension_mismatches(sites: DataFrame, dim: int) -> DataFrame:
-    """Sites whose vector has another length than expected (a warning, not an error)."""
-    return sites.where(F.size("embedding") != dim).select("aoi", "patch_id")
+def dimension_mismatches(sites: DataFrame, expected: DataFrame) -> DataFrame:
+    """Sites whose vector has another length than the one row ``expected`` (``dim``) says.
+
+    A warning, not an error; a site without a vector is one of them.
+    """
+    length = F.coalesce(F.size("embedding"), F.lit(-1))
+    dim = expected.select(F.max("dim")).scalar()
+    return sites.where(length != dim).select("aoi", "patch_id")
 
 
 def read_run_record(spark: SparkSession, path: str) -> dict[str, DataFrame]:

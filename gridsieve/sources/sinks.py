@@ -55,6 +55,16 @@ def write_score_matrix(scores: DataFrame, path: str, mode="errorifexists") -> No
     )
 
 
+def write_band_files(bands: DataFrame, path: str, mode="errorifexists") -> None:
+    """Long bands ``(aoi, band, row, col, value)``, a folder per area and band.
+
+    Blocks of lines of a dominant area go to different tasks, each with a file of its own.
+    """
+    lines = F.floor(F.col("row") / F.lit(float(BAND_ROWS)))
+    rows = bands.repartition("aoi", "band", lines)
+    rows.write.mode(mode).partitionBy("aoi", "band").parquet(path)
+
+
 def write_stats(stats: DataFrame, path: str, mode="errorifexists") -> None:
     """Seven rows of channel statistics as JSON."""
     stats.write.mode(mode).json(path)

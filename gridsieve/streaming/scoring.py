@@ -43,8 +43,8 @@ def first_arrivals(stream: DataFrame, key: str = "patch_id") -> DataFrame:
 def window_counts(stream: DataFrame, time: str, keys: list[str], width: str) -> DataFrame:
     """Tumbling counts of all events, late ones included.
 
-    The state holds one count per window and key, so it grows with time, not with events.
-    ``run_upserts`` stores the changed counts of every micro-batch.
+    On a stream the state holds one count per window and key, so it grows with time, not
+    with events; ``run_partials`` needs no state.
     """
     return (
         stream.groupBy(F.window(time, width).alias("w"), *keys)
@@ -96,6 +96,49 @@ def latest_rows(spark: SparkSession, out: str, schema, keys: list[str]) -> DataF
     return stored.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in values])
 
 
+def run_partials(
+    stream: DataFrame,
+    out: str,
+    checkpoint: str,
+    partial: Callable[[DataFrame], DataFrame],
+) -> list[dict]:
+    """Aggregate every micro-batch by itself and store its partial rows; returns the progress.
+
+    A late event is a row of a later batch that adds to a window counted before, so nothing is
+    dropped, no watermark is needed, and the stream keeps no state at all.  A repeated
+    micro-batch overwrites its own folder.  ``summed_rows`` adds the partial rows up.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        partial(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = (
+        stream.writeStream.foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    try:
+        query.awaitTermination()
+        return list(query.recentProgress)
+    finally:
+        query.stop()
+
+
+def summed_rows(
+    spark: SparkSession, out: str, schema: T.StructType, keys: list[str], since=None
+) -> DataFrame:
+    """Partial rows of all micro-batches added up by ``keys``; all other columns are sums.
+
+    With ``since`` only windows that start then or later are read.
+    """
+    stored = spark.read.schema(schema).parquet(out)
+    if since is not None:
+        stored = stored.where(F.col("window_start") >= F.lit(since))
+    values = [f.name for f in schema.fields if f.name not in keys]
+    return stored.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in values])
+
+
 # ---- scoring what is not stored yet ----------------------------------------
 
 

@@ -22,6 +22,8 @@ NAMES = [
     "temporal_change", "spatial_context", "gate_mlp_score", "split_stratified", "arch_similarity",
     "arch_similarity_blocks", "explain_patch", "kmeans_distance", "coords_parse",
     "polygon_bounds", "stream_scores", "stream_dedup", "stream_window_counts",
+    "areas_from_patch_files", "band_inventory", "resample_rotated", "template_field", "hillshade",
+    "site_dimensions",
 ]
 
 
@@ -47,6 +49,7 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
     order = sorted(df.columns)
     assert sorted(names) == order
     want = _canon(cur.fetchall(), names, order)
+    assert want, "a comparison without rows shows nothing"
     assert _canon(df.collect(), df.columns, order) == want
 
 
