@@ -201,10 +201,11 @@ def resample_bilinear(spark, sf):
 
 
 # A target of 40 by 40 cells, turned by 30 degrees, stretched and sheared.
-# All digits count: short decimals would put values on the edge of rounding.
+# Short decimals would put positions or values on the edge of rounding, which engines decide
+# in different ways.
 _TURN = {
-    "a": 1.0392304845, "b": -0.4512345678, "c": 9.7135792468,
-    "d": 0.6012345679, "e": 0.8660254038, "f": -2.4135792468,
+    "a": 1.0392304845413, "b": -0.4512345678917, "c": 9.7135792468139,
+    "d": 0.6012345678911, "e": 0.8660254037843, "f": -2.4135792468133,
 }
 
 
