@@ -47,6 +47,8 @@ ENDS_OWN_KIND = {
     "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
 SCOPE = frozenset("ul ol dl table body html".split())
+# What may hold text that no other element holds; the page itself has no name.
+BARE = frozenset(("", "html", "body"))
 
 KINDS = (
     "article main section div p h1 heading li list nav header footer aside form table quote body other"
@@ -138,24 +140,26 @@ class _Reader(HTMLParser):
             self._close({"p"}, tag)
         if tag in ENDS_OWN_KIND:
             self._close(ENDS_OWN_KIND[tag], tag)
-        page, node = self.page, len(self.page.parent)
         names, label = "", None
         for key, value in attrs:
             if key in ("class", "id", "role") and value:
                 names += " " + value
             elif key == "data-content":
                 label = int(value == "1")
-        above = self.open[-1][1]
+        self._open_shown(tag, names, label)
+        if unseen:
+            self._open_hidden(UNSEEN)
+
+    def _open_shown(self, tag: str, names: str = "", label: int | None = None) -> None:
+        page, above = self.page, self.open[-1][1]
+        self.open.append((tag, len(page.parent)))
+        self.opened[tag] += 1
         page.parent.append(above)
         page.kind.append(_KIND.get(tag, "other"))
         page.names.append(names)
         page.label.append(page.label[above] if label is None else label)
         page.chars.append(0)
         page.linked.append(0)
-        self.open.append((tag, node))
-        self.opened[tag] += 1
-        if unseen:
-            self._open_hidden(UNSEEN)
 
     def _open_hidden(self, name: str) -> None:
         self.hidden += 1
@@ -228,6 +232,8 @@ class _Reader(HTMLParser):
             self._leave(len(self.open) - 1)
         if self.hidden:
             return
+        if self.open[-1][0] in BARE and data.strip():
+            self._open_shown("p")  # text right in the body is a paragraph without its tag
         self.held.append(data)
         n = len(data) - data.count(" ") - data.count("\n")
         node = self.open[-1][1]
@@ -273,8 +279,9 @@ def node_features(page: Page) -> np.ndarray:
 
 
 def under_body(features: np.ndarray, parent: np.ndarray) -> np.ndarray:
-    """1 for nodes right below a body, where content may begin, else 0."""
-    return np.where(parent >= 0, features[parent, KINDS.index("body")], 0).astype(np.int64)
+    """1 for nodes right below a body or the page itself, where content may begin, else 0."""
+    open_ = np.maximum(features[parent, KINDS.index("body")], features[parent, -2])
+    return np.where(parent >= 0, open_, 0).astype(np.int64)
 
 
 @dataclass

@@ -117,4 +117,24 @@ def labelled_pages(n: int = 260, seed: int = 11) -> list[str]:
         if rng.random() < 0.3:
             page = f'<div class="wrapper">{page}</div>'
         pages.append(_page(page))
+    return pages + _nested_pages(random.Random(seed + 1), n // 6)
+
+
+def _nested_pages(rng: random.Random, n: int) -> list[str]:
+    """Pages and fragments whose content stands in plain elements inside each other."""
+    pages = []
+    for _ in range(n):
+        before, after = _furniture(rng)
+        inner = f"<p>{_sentences(rng, rng.randint(1, 4))}</p>" if rng.random() < 0.4 else _content(rng)
+        for _ in range(rng.randint(1, 4)):
+            inner = f"<div>{inner}</div>"
+        inner = inner.replace("<div>", '<div data-content="1">', 1)
+        if rng.random() < 0.4:
+            before, after = [], []
+        whole = "".join(before) + inner + "".join(after)
+        if rng.random() < 0.3:  # a fragment without a body
+            whole = whole.replace('<div data-content="1"><p>', '<p data-content="1">', 1)
+            pages.append(whole)
+        else:
+            pages.append(_page(whole))
     return pages

@@ -5,7 +5,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from gridsieve.llm import html_graph
 from gridsieve.llm.html_graph import extract_pages, read_page
+from gridsieve.llm.html_pages import labelled_pages
 
 
 def runs(html):
@@ -53,3 +55,18 @@ def test_odd_tables(spark):
     assert [f[2] for f in found] == ["", want, want, ""]
     assert [f[3] for f in found] == [0, len(want), len(want), 0]
     assert extract_pages(pages.limit(0)).count() == 0
+
+
+def test_content_without_an_element_of_its_own():
+    line = "The committee met on Tuesday to talk about the budget. Several members asked what it costs. "
+    want = line.strip()
+    model = html_graph.train(labelled_pages())
+    pages = {
+        f"<html><body>{line}</body></html>": want,
+        line: want,
+        f"<p>{line}</p>{line}<p>{line}</p>": " ".join([want] * 3),
+        f"<body> <b>The</b>{line[3:]}</body>": want,
+        f"<html><body><div><div><div><p>{line}</p></div></div></div></body></html>": want,
+        f"<body><nav><a href=x>Home</a> <a href=y>News</a></nav>{line}<footer>Copyright</footer></body>": want,
+    }
+    assert html_graph.main_texts(model, list(pages)) == list(pages.values())
