@@ -449,11 +449,11 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     class of null ids alone keeps the least row among those of one of its texts.
     """
     found = near_duplicate_classes(docs, similarity)
-    found = settle(found.groupBy("doc_id", "class_id").agg(F.count("*").alias("m")), "classes")
-    heads = found.where("doc_id = class_id").select("doc_id", "m")
-    kept = docs.join(heads, "doc_id")
-    once = kept.where("m = 1").select(*docs.columns)
-    repeated = _least_rows(kept.where("m > 1").drop("m"), "doc_id").select(*docs.columns)
+    found = settle(found.groupBy("doc_id", "class_id").agg(F.count("*").alias("_copies")), "classes")
+    heads = found.where("doc_id = class_id").select("doc_id", "_copies")
+    once = docs.join(heads.where("_copies = 1"), "doc_id", "left_semi")
+    repeated = docs.join(heads.where("_copies > 1"), "doc_id", "left_semi")
+    repeated = _least_rows(repeated, "doc_id").select(*docs.columns)
     made = F.arrow_udf(_made_nodes, "bigint")
     nameless = found.where("doc_id is null").select(F.col("class_id").alias("_node")).distinct()
     loose = docs.where("doc_id is null").withColumn("_node", made("text"))
