@@ -28,6 +28,12 @@ MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 4096
 # Sites that chunks of sites are gathered around, at most.
 MAX_PIVOTS = 1024
+# Scores that a task holds at a time, and the sites they are for.
+TILE_CELLS = 1 << 20
+TILE_SITES = 2048
+# Matrices are padded to multiples of this before they are multiplied, so that equal vectors
+# score alike wherever they lie and ties go by the index.
+PADDING = 16
 
 
 def rows_as_matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
@@ -71,6 +77,82 @@ def _score(x: np.ndarray, ref: np.ndarray, metric: str, eps: float) -> np.ndarra
     return np.stack([-np.sqrt(((x - row) ** 2).sum(axis=1)) for row in ref], axis=1)
 
 
+def _padded(matrix: np.ndarray) -> np.ndarray:
+    """The matrix with rows of zeros up to a multiple of ``PADDING``."""
+    missing = -len(matrix) % PADDING
+    return np.pad(matrix, ((0, missing), (0, 0))) if missing else matrix
+
+
+def _cosines(x: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    """Cosines of unit vectors."""
+    return (_padded(x) @ _padded(ref).T)[: len(x), : len(ref)]
+
+
+def _tiles(x: np.ndarray, ref: np.ndarray, metric: str):
+    """``(first row, first site, scores)`` of bounded tiles; cosines are those of unit vectors.
+
+    A row's tiles come one after the other, in order of the sites.
+    """
+    tall = max(PADDING, TILE_CELLS // max(1, min(len(ref), TILE_SITES)))
+    for row in range(0, len(x), tall):
+        some = x[row : row + tall]
+        for site in range(0, len(ref), TILE_SITES):
+            part = ref[site : site + TILE_SITES]
+            if metric == "cosine":
+                yield row, site, _cosines(some, part)
+            else:
+                yield row, site, _score(some, part, metric, 0.0)
+
+
+def _best_of(x: np.ndarray, ref: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Position and score of each row's best site, the first of equals; NaN if any is NaN."""
+    at, top = np.zeros(len(x), dtype=np.int64), np.full(len(x), -np.inf)
+    for row, site, scores in _tiles(x, ref, metric):
+        here = scores.argmax(axis=1)
+        found = scores[np.arange(len(here)), here]
+        own, where = top[row : row + len(here)], at[row : row + len(here)]
+        better = (found > own) | np.isnan(found)
+        where[better] = here[better] + site
+        # NaN stays NaN.
+        np.maximum(own, found, out=own)
+    return at, top
+
+
+def _firsts(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and values of the ``k`` largest scores of each row, best first, the first of equals."""
+    if k > 16:
+        at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        return at, np.take_along_axis(scores, at, axis=1)
+    scores, rows = scores.copy(), np.arange(len(scores))
+    at = np.empty((len(scores), min(k, scores.shape[1])), dtype=np.int64)
+    top = np.empty(at.shape)
+    for j in range(at.shape[1]):
+        at[:, j] = scores.argmax(axis=1)
+        top[:, j] = scores[rows, at[:, j]]
+        scores[rows, at[:, j]] = -np.inf
+    return at, top
+
+
+def _top_of(x: np.ndarray, ref: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and cosines of each row's ``k`` best sites, best first; NaN for none."""
+    k = min(k, len(ref))
+    at, top = np.zeros((len(x), k), dtype=np.int64), np.full((len(x), k), -np.inf)
+    for row, site, scores in _tiles(x, ref, "cosine"):
+        scores[np.isnan(scores)] = -np.inf
+        rows = slice(row, row + len(scores))
+        near = np.flatnonzero(scores.max(axis=1) > top[rows, -1])
+        if not len(near):
+            continue
+        here, found = _firsts(scores[near], k)
+        both = np.concatenate((top[rows][near], found), axis=1)
+        names = np.concatenate((at[rows][near], here + site), axis=1)
+        # Sites known so far come first and have lower positions.
+        order = np.argsort(-both, axis=1, kind="stable")[:, :k]
+        top[rows][near] = np.take_along_axis(both, order, axis=1)
+        at[rows][near] = np.take_along_axis(names, order, axis=1)
+    return at, np.where(np.isneginf(top), np.nan, top)
+
+
 def number_sites(sites: DataFrame, order: str) -> DataFrame:
     """0-based ``site_idx`` in the order of a unique key, counted per range block."""
     from ..functions.ranking import ordinal_by_line
@@ -138,19 +220,20 @@ def _best_match(
 def _match_broadcast(patches, sites, key, vector, site_vector, site_key, metric, eps, sign):
     spark = patches.sparkSession
     table = sites.select(F.col(site_key).cast("long").alias("k"), site_vector).orderBy("k").toArrow()
+    held = rows_as_matrix(table.column(site_vector))
     packed = spark.sparkContext.broadcast(
-        (table.column("k").to_numpy(), rows_as_matrix(table.column(site_vector)))
+        (table.column("k").to_numpy(), _unit(held, eps) if metric == "cosine" else held)
     )
     out = "struct<best_idx: bigint, best: double>"
 
     @F.arrow_udf(out)
     def match(column: pa.Array) -> pa.Array:
         ids, ref = packed.value
-        scores = _score(rows_as_matrix(column, ref.shape[1]), ref, metric, eps)
-        at = scores.argmax(axis=1)
-        top = scores[np.arange(len(at)), at] * sign
+        x = rows_as_matrix(column, ref.shape[1])
+        at, top = _best_of(_unit(x, eps) if metric == "cosine" else x, ref, metric)
         return pa.StructArray.from_arrays(
-            [pa.array(ids[at], pa.int64()), pa.array(top, pa.float64())], ["best_idx", "best"]
+            [pa.array(ids[at], pa.int64()), pa.array(top * sign, pa.float64())],
+            ["best_idx", "best"],
         )
 
     return patches.select(key, match(F.col(vector)).alias("m")).select(key, "m.best_idx", "m.best")
@@ -429,23 +512,18 @@ def _top_of_broadcast(patches, sites, key, k, vector, eps):
     )
     ids = table.column("k").to_numpy()
     packed = patches.sparkSession.sparkContext.broadcast(
-        (ids, rows_as_matrix(table.column("embedding")))
+        (ids, _unit(rows_as_matrix(table.column("embedding")), eps))
     )
 
     @F.arrow_udf("array<struct<s: double, i: bigint>>")
     def match(column: pa.Array) -> pa.Array:
         site_ids, ref = packed.value
-        scores = _unit(rows_as_matrix(column, ref.shape[1]), eps) @ _unit(ref, eps).T
-        n = min(k, scores.shape[1])
-        at = np.argsort(-scores, axis=1, kind="stable")[:, :n]
+        x = rows_as_matrix(column, ref.shape[1])
+        at, top = _top_of(_unit(x, eps), ref, k)
         cells = pa.StructArray.from_arrays(
-            [
-                pa.array(np.take_along_axis(scores, at, axis=1).ravel()),
-                pa.array(site_ids[at].ravel()),
-            ],
-            ["s", "i"],
+            [pa.array(top.ravel()), pa.array(site_ids[at].ravel())], ["s", "i"]
         )
-        offsets = pa.array(np.arange(len(scores) + 1, dtype="int32") * n)
+        offsets = pa.array(np.arange(len(at) + 1, dtype="int32") * at.shape[1])
         return pa.ListArray.from_arrays(offsets, cells)
 
     return patches.select(key, match(F.col(vector)).alias("m"))
