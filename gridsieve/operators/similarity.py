@@ -1,24 +1,26 @@
 """Vector matching against reference sites and cluster centres.
 
-Patches stay where they are.  A packed reference matrix that is small enough is broadcast
-whole; its size is checked first.  Beyond the limit the sites are walked chunk by chunk: each
-pass broadcasts as many chunks as the limit allows and carries the best matches so far along
-with the patches, which are never shuffled.  Chunks hold sites that point the same way, and
-an angle (or distance) bound skips those that cannot improve a patch's matches.
+A packed reference matrix that is small enough is broadcast
+whole; its size is checked first.  Beyond the limit the patches are dealt once into buckets
+that a task can hold, and the sites stream past each bucket chunk by chunk, as many at a time
+as the limit allows.  Chunks hold sites that point the same way, and an angle (or distance)
+bound skips those that cannot improve a patch's matches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.scalars import shift_cosine
-from ..session import attach_small, scratch_path, settle
+from ..session import attach_small, settle
 
 # Epsilon added to vector lengths by the two scoring variants.
 EPS_OFFLINE = 1e-10
@@ -31,6 +33,10 @@ MAX_PIVOTS = 1024
 # Scores that a task holds at a time, and the sites they are for.
 TILE_CELLS = 1 << 20
 TILE_SITES = 2048
+# Bytes of the vectors of a bucket of patches that sites stream past.
+BUCKET_BYTES = 16 * 1024 * 1024
+# Chunks of sites that a bucket is compared with at a time, at most.
+MAX_CHUNKS = 64
 # Matrices are padded to multiples of this before they are multiplied, so that equal vectors
 # score alike wherever they lie and ties go by the index.
 PADDING = 16
@@ -249,9 +255,7 @@ class _Chunk:
     reach: float  # largest angle, or distance, of a site from the centre
 
 
-def _chunk(table: pa.Table, metric: str) -> _Chunk:
-    table = table.sort_by("idx")
-    sites = rows_as_matrix(table.column("ref"))
+def _chunk(ids: np.ndarray, sites: np.ndarray, metric: str) -> _Chunk:
     if metric == "cosine":
         unit = _unit(sites, 1e-300)
         centre = _unit(unit.mean(axis=0, keepdims=True), 1e-300)[0]
@@ -259,41 +263,91 @@ def _chunk(table: pa.Table, metric: str) -> _Chunk:
     else:
         centre = sites.mean(axis=0)
         reach = float(np.sqrt(((sites - centre) ** 2).sum(axis=1)).max())
-    return _Chunk(table.column("idx").to_numpy(), sites, centre, reach)
+    return _Chunk(ids, sites, centre, reach)
 
 
 # Slack of the bounds, well above the rounding of a cosine or a distance.
 _SLACK = 1e-6
 
 
-def _bound(x: np.ndarray, chunk: _Chunk, metric: str) -> np.ndarray:
-    """No site of the chunk scores more than this."""
+def _bounds(x: np.ndarray, chunks: list[_Chunk], metric: str) -> np.ndarray:
+    """No site of a chunk scores more than its column; ``x`` are unit vectors for cosines."""
+    centres = np.stack([c.centre for c in chunks])
+    reach = np.array([c.reach for c in chunks])
     if metric == "cosine":
-        angle = np.arccos(np.clip(_unit(x, 1e-300) @ chunk.centre, -1.0, 1.0))
+        angle = np.arccos(np.clip(x @ centres.T, -1.0, 1.0))
         # The epsilon in a length moves a cosine towards 0, so a negative bound becomes 0.
-        return np.maximum(np.cos(np.maximum(angle - chunk.reach, 0.0)), 0.0) + _SLACK
-    away = np.sqrt(((x - chunk.centre) ** 2).sum(axis=1))
-    return -np.maximum(away - chunk.reach, 0.0) * (1.0 - _SLACK) + _SLACK
-
-
-def _carry(x, top, ids, chunks, metric, eps, k):
-    """The ``k`` best of what is known and of the chunks, best first, ties by index."""
-    for chunk in chunks:
-        rows = np.flatnonzero(_bound(x, chunk, metric) >= top[:, -1])
+        return np.maximum(np.cos(np.maximum(angle - reach, 0.0)), 0.0) + _SLACK
+    away = -_score(x, centres, metric, 0.0)
+    return -np.maximum(away - reach, 0.0) * (1.0 - _SLACK) + _SLACK
+
+
+class _Bucket:
+    """Some patches and the ``k`` best sites of each so far, best first, ties by index."""
+
+    def __init__(self, keys: list[pa.Array], vectors: list[np.ndarray], metric, eps, k):
+        self.keys, self.metric, self.eps = pa.concat_arrays(keys), metric, eps
+        x = np.concatenate(vectors)
+        self.top, self.ids = np.full((len(x), k), -np.inf), np.full((len(x), k), 2**62)
+        self.good = np.flatnonzero(np.isfinite(x).all(axis=1))
+        x = x[self.good]
+        # Vectors for the scores and for the bounds.
+        self.x = _unit(x, eps) if metric == "cosine" else x
+        self.plain = _unit(x, 1e-300) if metric == "cosine" else x
+
+    def meet(self, chunks: list[_Chunk]) -> None:
+        """Take the sites of some chunks into account."""
+        if not len(self.good):
+            return
+        bounds = _bounds(self.plain, chunks, self.metric)
+        near = (bounds >= self.top[self.good, -1:]).any(axis=0)
+        for part in _grouped(np.flatnonzero(near).tolist(), chunks):
+            self._take([chunks[i] for i in part], bounds[:, part])
+
+    def _take(self, chunks: list[_Chunk], bounds: np.ndarray) -> None:
+        rows = np.flatnonzero((bounds >= self.top[self.good, -1:]).any(axis=1))
         if not len(rows):
-            continue
-        scores = _score(x[rows], chunk.sites, metric, eps)
-        at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        both = np.concatenate((top[rows], np.take_along_axis(scores, at, axis=1)), axis=1)
-        names = np.concatenate((ids[rows], chunk.ids[at]), axis=1)
+            return
+        ids = np.concatenate([c.ids for c in chunks])
+        order = np.argsort(ids, kind="stable")
+        ids, ref = ids[order], np.concatenate([c.sites for c in chunks])[order]
+        ref = _unit(ref, self.eps) if self.metric == "cosine" else ref
+        x = self.x if len(rows) == len(self.x) else self.x[rows]
+        own, k = self.good[rows], self.top.shape[1]
+        if k == 1:
+            at, found = _best_of(x, ref, self.metric)
+            names, was = ids[at], self.top[own, 0]
+            better = (found > was) | ((found == was) & (names < self.ids[own, 0]))
+            self.top[own[better], 0], self.ids[own[better], 0] = found[better], names[better]
+            return
+        at, found = _top_of(x, ref, k)
+        both = np.concatenate((self.top[own], np.nan_to_num(found, nan=-np.inf)), axis=1)
+        names = np.concatenate((self.ids[own], ids[at]), axis=1)
         order = np.lexsort((names, -both), axis=1)[:, :k]
-        top[rows] = np.take_along_axis(both, order, axis=1)
-        ids[rows] = np.take_along_axis(names, order, axis=1)
-    return top, ids
+        self.top[own] = np.take_along_axis(both, order, axis=1)
+        self.ids[own] = np.take_along_axis(names, order, axis=1)
+
+    def rows(self, schema: pa.Schema) -> pa.RecordBatch:
+        arrays = [self.keys, matrix_as_rows(self.top), matrix_as_rows(self.ids)]
+        return pa.RecordBatch.from_arrays(
+            [a.cast(f.type) for a, f in zip(arrays, schema)], schema=schema
+        )
+
+
+def _grouped(numbers: list[int], chunks: list[_Chunk]) -> list[list[int]]:
+    """Neighbouring chunks that are scored together, a few hundred sites or one chunk."""
+    out, size = [], 0
+    for i in numbers:
+        if not out or size + len(chunks[i].ids) > 512:
+            out.append([])
+            size = 0
+        out[-1].append(i)
+        size += len(chunks[i].ids)
+    return out
 
 
-def _dealt_sites(sites, site_vector, site_key, metric, n_sites, block_rows) -> tuple[str, list[int]]:
-    """Folder with one part per chunk of sites, and the chunks' numbers.
+def _dealt_sites(sites, site_vector, site_key, metric, n_sites, block_rows) -> DataFrame:
+    """Rows ``(chunk, idx, ref)``: every site with the number of its chunk.
 
     Sites go to the nearest of a bounded number of drawn sites; more than ``block_rows`` of
     them are split by hash.
@@ -304,12 +358,18 @@ def _dealt_sites(sites, site_vector, site_key, metric, n_sites, block_rows) -> t
     )
     pivots = min(MAX_PIVOTS, -(-n_sites // block_rows))
     drawn = rows.orderBy(F.xxhash64("idx"), "idx").limit(pivots).toArrow()
-    held = spark.sparkContext.broadcast(rows_as_matrix(drawn.column("ref")))
+    drawn = rows_as_matrix(drawn.column("ref"))
+    held = spark.sparkContext.broadcast(_unit(drawn, 1e-300) if metric == "cosine" else drawn)
 
     @F.arrow_udf("int")
     def nearest(column: pa.Array) -> pa.Array:
-        scores = _score(rows_as_matrix(column, held.value.shape[1]), held.value, metric, 1e-300)
-        return pa.array(np.nan_to_num(scores, nan=-np.inf).argmax(axis=1).astype(np.int32))
+        x = rows_as_matrix(column, held.value.shape[1])
+        x = _unit(x, 1e-300) if metric == "cosine" else x
+        out = np.zeros(len(x), dtype=np.int32)
+        # The pivots fit into the width of one tile.
+        for row, _, scores in _tiles(x, held.value, metric):
+            out[row : row + len(scores)] = np.nan_to_num(scores, nan=-np.inf).argmax(axis=1)
+        return pa.array(out)
 
     near = settle(rows.withColumn("pivot", nearest("ref")), "sites")
     counts = near.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
@@ -318,60 +378,90 @@ def _dealt_sites(sites, site_vector, site_key, metric, n_sites, block_rows) -> t
     part = F.pmod(F.xxhash64("idx"), F.col("parts")).cast("long")
     # The number is the pivot and the part in it.
     split = split.withColumn("chunk", F.col("pivot").cast("long") * F.lit(1 << 20) + part)
-    path = scratch_path(spark, "chunks")
-    split.select("chunk", "idx", "ref").repartition("chunk").write.partitionBy("chunk").parquet(path)
-    found = spark.read.parquet(path).select("chunk").distinct().collect()
-    return path, sorted(r["chunk"] for r in found)
+    return settle(split.select("chunk", "idx", "ref"), "chunks")
 
 
 def _walk_sites(
     patches, sites, key, vector, site_vector, site_key, metric, eps, k, n_sites, dim,
     max_broadcast_bytes, block_rows,
 ):
-    """Rows ``(key, top, ids)``: scores and indices of the ``k`` best sites of each patch."""
-    spark = patches.sparkSession
-    path, numbers = _dealt_sites(sites, site_vector, site_key, metric, n_sites, block_rows)
-    at_once = max(1, max_broadcast_bytes // (block_rows * dim * 8))
-    state = "struct<top: array<double>, ids: array<bigint>>"
-    stored = spark.read.parquet(path)
-    carried = patches.select(
-        key, F.col(vector).alias("vec"), F.lit(None).cast(state).alias("s")
-    )
-    for start in range(0, len(numbers), at_once):
-        some = stored.where(F.col("chunk").isin(numbers[start : start + at_once])).toArrow()
-        tables = [
-            some.filter(pa.compute.equal(some.column("chunk"), n))
-            for n in numbers[start : start + at_once]
-        ]
-        held = spark.sparkContext.broadcast([_chunk(t, metric) for t in tables])
-        carried = settle(_passed(carried, key, held, metric, eps, k, dim, state), "carried")
-        held.unpersist()
-    cut = F.filter(F.col("s.top"), lambda v: v > float("-inf"))
-    return carried.select(key, cut.alias("top"), F.slice("s.ids", F.lit(1), F.size(cut)).alias("ids"))
-
-
-def _passed(carried, key, held, metric, eps, k, dim, state):
-    """One pass over the patches where they are."""
-
-    @F.arrow_udf(state)
-    def onwards(vec: pa.Array, s: pa.Array) -> pa.Array:
-        x = rows_as_matrix(vec, dim)
-        good = np.isfinite(x).all(axis=1)
-        top, ids = np.full((len(x), k), -np.inf), np.full((len(x), k), 2**62)
-        if len(x) and s.null_count < len(s):
-            known, names = s.flatten()
-            top = rows_as_matrix(known, k).copy()
-            ids = np.asarray(names.flatten()).reshape(len(x), k).copy()
-        top[good], ids[good] = _carry(x[good], top[good], ids[good], held.value, metric, eps, k)
-        offsets = pa.array(np.arange(len(x) + 1, dtype="int32") * k)
-        return pa.StructArray.from_arrays(
-            [
-                pa.ListArray.from_arrays(offsets, pa.array(a.ravel())) for a in (top, ids)
-            ],
-            ["top", "ids"],
-        )
+    """Rows ``(key, top, ids)``: scores and indices of the ``k`` best sites of each patch.
 
-    return carried.select(key, "vec", onwards("vec", "s").alias("s"))
+    The patches are shuffled once, and the sites once for every bucket of patches.
+    """
+    chunks = _dealt_sites(sites, site_vector, site_key, metric, n_sites, block_rows)
+    at_once = min(MAX_CHUNKS, max(1, max_broadcast_bytes // (block_rows * dim * 8)))
+    held = settle(patches.select(F.col(key).alias("k"), F.col(vector).alias("vec")), "vectors")
+    cores = patches.sparkSession.sparkContext.defaultParallelism
+    # A few buckets for every core, all of them bounded.
+    buckets = cores * max(1, -(-held.count() * dim * 8 // (BUCKET_BYTES * cores)))
+    none = F.lit(None)
+    dealt = held.select(
+        F.pmod(F.monotonically_increasing_id(), F.lit(buckets)).cast("int").alias("bucket"),
+        F.lit(-1).cast("long").alias("chunk"), none.cast("long").alias("idx"), "k",
+        F.col("vec").cast("array<double>").alias("vec"),
+    )
+    passing = chunks.select(
+        F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), "chunk", "idx",
+        none.cast(held.schema["k"].dataType).alias("k"),
+        F.col("ref").cast("array<double>").alias("vec"),
+    )
+    stream = dealt.unionByName(passing).repartitionById(buckets, "bucket")
+    stream = stream.sortWithinPartitions("bucket", "chunk", "idx")
+    lists = T.StructType.fromDDL("top array<double>, ids array<bigint>")
+    schema = T.StructType([T.StructField(key, held.schema["k"].dataType), *lists])
+    names = to_arrow_schema(schema)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, vectors, bucket, at = [], [], None, None
+        chunk, ids, refs, ready = None, [], [], []
+
+        def close():
+            if ids:
+                ready.append(_chunk(np.concatenate(ids), np.concatenate(refs), metric))
+                ids.clear()
+                refs.clear()
+
+        def finish():
+            close()
+            done = bucket or (_Bucket(keys, vectors, metric, eps, k) if keys else None)
+            if done is not None:
+                if ready:
+                    done.meet(ready)
+                yield done.rows(names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            owner, number = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            x, index = rows_as_matrix(batch.column(4), dim), batch.column(2)
+            starts = np.flatnonzero((np.diff(owner) != 0) | (np.diff(number) != 0)) + 1
+            starts = [0, *starts.tolist(), len(owner)]
+            for a, b in zip(starts, starts[1:]):
+                if owner[a] != at:
+                    yield from finish()
+                    keys, vectors, bucket, at, ready = [], [], None, owner[a], []
+                if number[a] < 0:
+                    keys.append(batch.column(3).slice(a, b - a))
+                    vectors.append(x[a:b])
+                    continue
+                if not keys:
+                    continue
+                bucket = bucket or _Bucket(keys, vectors, metric, eps, k)
+                vectors = []
+                if number[a] != chunk:
+                    close()
+                    chunk = number[a]
+                    if len(ready) >= at_once:
+                        bucket.meet(ready)
+                        ready = []
+                ids.append(index.slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64))
+                refs.append(x[a:b])
+        yield from finish()
+
+    carried = settle(stream.mapInArrow(walk, schema), "carried")
+    cut = F.filter("top", lambda v: v > float("-inf"))
+    return carried.select(key, cut.alias("top"), F.slice("ids", F.lit(1), F.size(cut)).alias("ids"))
 
 
 # ---- named scores ----------------------------------------------------------

@@ -44,3 +44,17 @@ def test_missing_sites_are_no_match():
     at, top = sim._top_of(x, ref, 3)
     assert at[:, :2].tolist() == [[0, 2], [2, 0]] and np.isnan(top[:, 2]).all()
     assert np.isnan(sim._best_of(x, ref, "cosine")[1]).all()
+
+
+def test_walked_sites_rewrite_the_patches_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = lambda n: [(i, v.tolist()) for i, v in enumerate(_unit(rng, n))]
+    p = spark.createDataFrame(rows(50), "id long, embedding array<double>")
+    s = spark.createDataFrame(rows(200), "site_idx long, embedding array<double>")
+    written = []
+    settle = sim.settle
+    monkeypatch.setattr(sim, "settle", lambda df, label: written.append(label) or settle(df, label))
+    got = sim.best_match(p, s, "id", max_broadcast_bytes=2 * 4 * 8 * 8, block_rows=4)
+    assert len(written) < 10
+    want = sim.best_match(p, s, "id").collect()
+    assert sorted(r["best_idx"] for r in got.collect()) == sorted(r["best_idx"] for r in want)
