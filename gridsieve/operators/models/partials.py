@@ -18,10 +18,12 @@ def merged(
     rows: DataFrame,
     partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None],
     merge: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.add,
+    few: bool = False,
 ) -> np.ndarray | None:
     """One vector: ``partial`` makes it of a task's batches, ``merge`` joins two of them.
 
-    Its length must be fixed by the model, not by the data.  None without rows.
+    Its length must be fixed by the model, not by the data.  None without rows.  With ``few``
+    the caller knows that the tasks are few, and their results need no further tasks.
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,8 +39,10 @@ def merged(
         if held is not None:
             yield pa.RecordBatch.from_arrays([matrix_as_rows(held.reshape(1, -1))], ["v"])
 
-    parts = rows.mapInArrow(first, "v array<double>").repartition(MERGERS)
-    table = parts.mapInArrow(again, "v array<double>").toArrow()
+    parts = rows.mapInArrow(first, "v array<double>")
+    if not few:
+        parts = parts.repartition(MERGERS).mapInArrow(again, "v array<double>")
+    table = parts.toArrow()
     out = None
     for row in rows_as_matrix(table.column("v")) if table.num_rows else ():
         out = row if out is None else merge(out, row)

@@ -66,14 +66,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), "gridsieve", f"{label}-{uuid.uuid4().hex}")
 
 
-# Rows with arrays can be hundreds of kilobytes.  The Parquet reader decodes up to
+# Rows with arrays or bytes can be hundreds of kilobytes.  The Parquet reader decodes up to
 # 4096 rows of a row group at once, so their row groups are kept small.
 WIDE_ROW_GROUP_BYTES = 8 * 1024 * 1024
 
 
 def sized_row_groups(df: DataFrame) -> DataFrameWriter:
     """A writer whose row groups bound what a reader holds at a time."""
-    wide = any(isinstance(f.dataType, T.ArrayType) for f in df.schema.fields)
+    wide = any(isinstance(f.dataType, (T.ArrayType, T.BinaryType)) for f in df.schema.fields)
     return df.write.option("parquet.block.size", WIDE_ROW_GROUP_BYTES) if wide else df.write
 
 
