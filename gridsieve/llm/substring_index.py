@@ -243,9 +243,10 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     firsts = hot.groupBy("mini").agg(F.min(place).alias("p"), F.count("*").alias("m"))
     in_hot = hot.join(firsts.where("m > 1"), "mini").where(place > F.col("p"))
 
-    copies = kept.join(
-        forms.select("mini", "form", F.struct("doc", "key", "start").alias("p")), ["mini", "form"]
-    ).where(place > F.col("p"))
+    # All but the earliest of each form.  The place is part of the key, so that a form with
+    # very many copies is dealt over all tasks; a null id is a place like any other.
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("mini", "form", "doc", "key", "start")]
+    copies = kept.alias("k").join(forms.alias("f"), same, "left_anti")
     out = copies.select("key", "start", "n").unionByName(in_shards.select("key", "start", "n"))
     return out.unionByName(in_hot.select("key", "start", "n"))
 
