@@ -69,10 +69,18 @@ def heatmap_blocks(scores: DataFrame, grid: PatchGrid, value: str) -> DataFrame:
 
 
 def expand_blocks(blocks: DataFrame, stride: int, value: str) -> DataFrame:
-    """Block values to pixels, for a sink that wants the full raster."""
+    """Block values to pixels, for a sink that wants the full raster.
+
+    The blocks are few bytes for what they unfold to, so they are dealt over all cores first;
+    by their size alone, adaptive execution would leave them to a few tasks.
+    """
+    spark = blocks.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(parts, 4 * spark.sparkContext.defaultParallelism)
     inner = F.sequence(F.lit(0), F.lit(stride - 1))
     return (
-        blocks.withColumn("dr", F.explode(inner))
+        blocks.repartition(parts, "aoi", "r", "c")
+        .withColumn("dr", F.explode(inner))
         .withColumn("dc", F.explode(inner))
         .select(
             "aoi",
@@ -83,11 +91,16 @@ def expand_blocks(blocks: DataFrame, stride: int, value: str) -> DataFrame:
     )
 
 
-def heatmap_mean(scores: DataFrame, grid: PatchGrid, value: str) -> DataFrame:
-    """Overlap mean of patch scores for every pixel of the extent."""
+def heatmap_mean(
+    scores: DataFrame, grid: PatchGrid, value: str, places: int | None = None
+) -> DataFrame:
+    """Overlap mean of patch scores for every pixel of the extent, rounded to ``places``."""
+    final = lambda c: c if places is None else F.round(c, places)
     off_grid = (F.col("row") % grid.stride != 0) | (F.col("col") % grid.stride != 0)
     if grid.aligned and scores.where(off_grid).isEmpty():
-        return expand_blocks(heatmap_blocks(scores, grid, value), grid.stride, value)
+        # A block is rounded once for all of its pixels.
+        blocks = heatmap_blocks(scores, grid, value).withColumn(value, final(F.col(value)))
+        return expand_blocks(blocks, grid.stride, value)
     inner = F.sequence(F.lit(0), F.lit(grid.patch - 1))
     covered = (
         scores.select("aoi", "row", "col", value, F.explode(inner).alias("dr"))
@@ -102,7 +115,7 @@ def heatmap_mean(scores: DataFrame, grid: PatchGrid, value: str) -> DataFrame:
         "aoi",
         F.col("r").alias("row"),
         F.col("c").alias("col"),
-        F.coalesce(value, F.lit(0.0)).alias(value),
+        final(F.coalesce(value, F.lit(0.0))).alias(value),
     )
 
 

@@ -596,7 +596,7 @@ heat AS (SELECT cells.aoi, cells.row, cells.col, coalesce(avg(gate_prediction),
             "aoi, row, col", "gate_prediction"),
 )
 def heatmap_mean(spark, sf):
-    return rounded(mosaic.heatmap_mean(tb.scores_only(spark, sf), tb.SCORE_GRID, "gate_prediction"))
+    return mosaic.heatmap_mean(tb.scores_only(spark, sf), tb.SCORE_GRID, "gate_prediction", 6)
 
 
 @query(

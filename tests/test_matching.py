@@ -2,6 +2,7 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridsieve.operators import similarity as sim
 
@@ -58,3 +59,32 @@ def test_walked_sites_rewrite_the_patches_once(spark, monkeypatch):
     assert len(written) < 10
     want = sim.best_match(p, s, "id").collect()
     assert sorted(r["best_idx"] for r in got.collect()) == sorted(r["best_idx"] for r in want)
+
+
+def test_kmeans_passes_over_packed_vectors(spark):
+    from gridsieve.operators.models import clusters
+
+    x = np.random.default_rng(4).normal(size=(3000, 5))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    packed = clusters._pack(df.select("id", "v").repartition(3), 5)
+    assert packed.count() <= 3 * (1000 // clusters.PACKED + 2)
+    centres = x[:8].reshape(2, 4, 5)
+    for few in (True, False):
+        sums = clusters._member_sums(packed, centres, few)
+        for f in range(2):
+            gap = ((x[:, None] - centres[f][None]) ** 2).sum(axis=2)
+            at = gap.argmin(axis=1)
+            assert sums[f, :, 0].tolist() == np.bincount(at, minlength=4).tolist()
+            np.testing.assert_allclose(sums[f, :, 1].sum(), gap.min(axis=1).sum())
+            np.testing.assert_allclose(sums[f, 1, 2:], x[at == 1].sum(axis=0))
+
+
+def test_blocks_unfold_in_many_tasks(spark):
+    from gridsieve.operators import mosaic
+
+    blocks = spark.range(300).selectExpr(
+        "'A' AS aoi", "cast(id / 20 AS int) AS r", "cast(id % 20 AS int) AS c", "0.5D AS v"
+    ).coalesce(1)
+    pixels = mosaic.expand_blocks(blocks, 4, "v")
+    assert pixels.count() == 4800
+    assert pixels.select(F.spark_partition_id().alias("p")).distinct().count() > 4
