@@ -22,9 +22,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from gridsieve.llm.fm_index import FMIndex, earliest, matching_windows
 from gridsieve.llm.memory import giving_back
@@ -41,7 +40,7 @@ BROADCAST_BYTES = 48 * 1024 * 1024
 SLICE = 256
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-_SEGMENT = "mini bigint, form bigint, doc bigint, key bigint, start int, n int"
+_SEGMENT = "mini bigint, form bigint, doc bigint, key bigint, tag bigint, start int, n int"
 
 
 def row_key(doc: int | None, text: str | None) -> int:
@@ -80,13 +79,14 @@ def _segments_of(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                found, docs, keys = [], [], []
-                for doc, text in zip(*(c.to_pylist() for c in part.columns)):
+                found, docs, keys, tags = [], [], [], []
+                for doc, text, tag in zip(*(c.to_pylist() for c in part.columns)):
                     own = segments(word_hashes(words_of(text)))
                     if len(own[0]):
                         found.append(own)
                         docs.append(doc)
                         keys.append(row_key(doc, text))
+                        tags.append(tag)
                 if not found:
                     continue
                 sizes = [len(f[0]) for f in found]
@@ -98,13 +98,20 @@ def _segments_of(rows: DataFrame) -> DataFrame:
                         pa.array(form, pa.int64()),
                         pa.array(docs, pa.int64()).take(pa.array(owners)),
                         pa.array(np.array(keys, dtype=np.int64)[owners]),
+                        pa.array(np.array(tags, dtype=np.int64)[owners]),
                         pa.array(start.astype(np.int32)),
                         pa.array(n.astype(np.int32)),
                     ],
-                    ["mini", "form", "doc", "key", "start", "n"],
+                    ["mini", "form", "doc", "key", "tag", "start", "n"],
                 )
 
-    return rows.mapInArrow(giving_back(cut), _SEGMENT)
+    tagged = rows.select("doc", "text", _tag("doc", "text").alias("tag"))
+    return tagged.mapInArrow(giving_back(cut), _SEGMENT)
+
+
+def _tag(doc: str, text: str) -> Column:
+    """A 64-bit hash that Spark finds rows by again, without a pass through Python."""
+    return F.xxhash64(doc, text)
 
 
 def _joined(big: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes: int) -> DataFrame:
@@ -114,7 +121,7 @@ def _joined(big: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes
 
 
 def _words_of_forms(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(mini, doc, key, start, n, words) of wanted segments; words are 64-bit hashes."""
+    """(mini, doc, key, tag, start, n, words) of wanted segments; words are 64-bit hashes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,51 +130,38 @@ def _words_of_forms(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def some(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
-        for key, doc, text, list_ in zip(*(c.to_pylist() for c in batch.columns)):
+        for tag, doc, text, list_ in zip(*(c.to_pylist() for c in batch.columns)):
+            key = row_key(doc, text)
             hashes = word_hashes(words_of(text)).astype("<u8")
             for s in list_:
                 own = hashes[s["start"] : s["start"] + s["n"] + WINDOW - 1]
                 if s["hot"]:
                     for i, h in enumerate(window_hashes(own, WINDOW).astype(np.int64)):
-                        out.append((int(h), doc, key, s["start"] + i, 1, None))
+                        out.append((int(h), doc, key, tag, s["start"] + i, 1, None))
                 else:
-                    out.append((s["mini"], doc, key, s["start"], s["n"], own.tobytes()))
-        columns = list(zip(*out)) or [[]] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                    out.append((s["mini"], doc, key, tag, s["start"], s["n"], own.tobytes()))
+        columns = list(zip(*out)) or [[]] * 7
+        kinds = (*[pa.int64()] * 4, pa.int32(), pa.int32(), pa.binary())
         return pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(columns, kinds)],
-            ["mini", "doc", "key", "start", "n", "words"],
+            ["mini", "doc", "key", "tag", "start", "n", "words"],
         )
 
     lists = settle(
-        wanted.groupBy("key").agg(F.collect_list(F.struct("mini", "start", "n", "hot")).alias("s")),
+        wanted.groupBy("tag").agg(F.collect_list(F.struct("mini", "start", "n", "hot")).alias("s")),
         "wanted",
     )
     held = (wanted.count() + 2 * lists.count()) * 24
-    keyed = _keyed(rows)
-    joined = keyed.join(F.broadcast(lists) if held <= BROADCAST_BYTES else lists, "key")
-    return joined.select("key", "doc", "text", "s").mapInArrow(giving_back(cut), "mini bigint, doc bigint, key bigint, start int, n int, words binary"
+    tagged = rows.withColumn("tag", _tag("doc", "text"))
+    joined = tagged.join(F.broadcast(lists) if held <= BROADCAST_BYTES else lists, "tag")
+    return joined.select("tag", "doc", "text", "s").mapInArrow(
+        giving_back(cut),
+        "mini bigint, doc bigint, key bigint, tag bigint, start int, n int, words binary",
     )
 
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    """(key, doc, text): the key of every row, as in the segments."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                keys = list(map(row_key, *(c.to_pylist() for c in part.columns[:2])))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), *part.columns], ["key", *part.schema.names]
-                )
-
-    schema = StructType(StructType.fromDDL("key bigint").fields + rows.schema.fields)
-    return rows.mapInArrow(giving_back(add), schema)
-
-
 def _search_shards(forms: DataFrame, shards: int) -> DataFrame:
-    """(doc, key, start, n): runs of windows whose words start earlier in their shard."""
+    """(tag, start, n): runs of windows whose words start earlier in their shard."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -203,37 +197,47 @@ def _search_shards(forms: DataFrame, shards: int) -> DataFrame:
         own = pa.array(owner[first])
         yield pa.RecordBatch.from_arrays(
             [
-                table.column("doc").take(own).combine_chunks(),
-                table.column("key").take(own).combine_chunks(),
+                table.column("tag").take(own).combine_chunks(),
                 pa.array(
                     (table.column("start").to_numpy()[owner[first]] + offset[first]).astype(np.int32)
                 ),
                 pa.array(lengths.astype(np.int32)),
             ],
-            ["doc", "key", "start", "n"],
+            ["tag", "start", "n"],
         )
 
-    return forms.repartition(shards, "mini").mapInArrow(giving_back(search), "doc bigint, key bigint, start int, n int"
+    return forms.repartition(shards, "mini").mapInArrow(
+        giving_back(search), "tag bigint, start int, n int"
     )
 
 
+def _repeated_segments(rows: DataFrame) -> DataFrame:
+    """Segments whose minimizer occurs again.
+
+    All segments are written once, since both sides of the join need them, and go afterwards.
+    """
+    with temporary_tables(rows.sparkSession):
+        found = settle(_segments_of(rows), "all-segments")
+        again = settle(
+            found.groupBy("mini").agg(F.count("*").alias("m")).where("m > 1").select("mini"), "again"
+        )
+        return settle(_joined(found, again, ["mini"], "inner", 8), "segments", keep=True)
+
+
 def repeated_windows(rows: DataFrame) -> DataFrame:
-    """(key, start, n) of runs of windows that also start earlier, from (doc_id, text) rows."""
+    """(tag, start, n) of runs of windows that also start earlier, from (doc, text) rows."""
     spark = rows.sparkSession
-    found = _segments_of(rows)
-    again = settle(
-        found.groupBy("mini").agg(F.count("*").alias("m")).where("m > 1").select("mini"), "again"
-    )
-    kept = settle(_joined(found, again, ["mini"], "inner", 8), "segments")
+    kept = _repeated_segments(rows)
     place = F.struct("doc", "key", "start")
     forms = settle(
-        kept.groupBy("mini", "form").agg(F.min(place).alias("p"), F.first("n").alias("n"))
+        kept.groupBy("mini", "form")
+        .agg(F.min(F.struct("doc", "key", "start", "tag")).alias("p"), F.first("n").alias("n"))
         .select("mini", "form", "p.*", "n"),
         "forms",
     )
     several = forms.groupBy("mini").agg(F.count("*").alias("f")).where("f > 1")
     wanted = forms.join(several, "mini").select(
-        "mini", "doc", "key", "start", "n", (F.col("f") > MOST_FORMS).alias("hot")
+        "mini", "tag", "start", "n", (F.col("f") > MOST_FORMS).alias("hot")
     )
     words = settle(_words_of_forms(rows, settle(wanted, "mixed")), "words")
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -247,8 +251,8 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     # very many copies is dealt over all tasks; a null id is a place like any other.
     same = [F.col(f"k.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("mini", "form", "doc", "key", "start")]
     copies = kept.alias("k").join(forms.alias("f"), same, "left_anti")
-    out = copies.select("key", "start", "n").unionByName(in_shards.select("key", "start", "n"))
-    return out.unionByName(in_hot.select("key", "start", "n"))
+    out = copies.select("tag", "start", "n").unionByName(in_shards)
+    return out.unionByName(in_hot.select("tag", "start", "n"))
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,7 +267,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     with temporary_tables(docs.sparkSession):
         spans = settle(
-            repeated_windows(rows).distinct().groupBy("key").agg(
+            repeated_windows(rows).distinct().groupBy("tag").agg(
                 F.array_sort(
                     F.collect_list(
                         F.struct("start", (F.col("start") + F.col("n") + WINDOW - 1).alias("end"))
@@ -273,12 +277,10 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             "spans",
             keep=True,
         )
-    own = docs.select(
-        F.col(id_col).cast("bigint").alias("_doc"), F.col(text_col).alias("_text"), *docs.columns
-    )
-    keyed = _keyed(own).drop("_doc", "_text")
     # The spans grow with the documents, so this join is shuffled at every size.
-    joined = keyed.join(spans, "key", "left")
+    spans = spans.withColumnsRenamed({"tag": "_tag"})
+    tagged = docs.withColumn("_tag", F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col)))
+    joined = tagged.join(spans, "_tag", "left")
     return joined.select(
         *docs.columns,
         F.coalesce("removed", F.array().cast("array<struct<start: int, end: int>>")).alias("removed"),

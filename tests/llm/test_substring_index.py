@@ -94,3 +94,23 @@ def test_every_later_copy_of_a_form_is_found_under_null_and_repeated_ids(spark):
     assert sorted((str(r["doc_id"]), r["n_removed"]) for r in found) == [
         ("3", 30), ("3", 30), ("7", 30), ("9", 0), ("None", 0),
     ]
+
+
+def test_texts_meet_their_spans_without_a_pass_through_python(spark, documents):
+    found = si.find_repeats(documents(_rows()[:20]))
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+
+
+def test_segments_are_cut_once(spark, documents, monkeypatch):
+    plans, kept = [], si.settle
+
+    def settle(df, label="table", keep=False):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow"))
+        return kept(df, label, keep)
+
+    monkeypatch.setattr(si, "settle", settle)
+    assert si._repeated_segments(
+        documents(_rows()).selectExpr("doc_id AS doc", "text")
+    ).count() > 0
+    # Only the table of all segments comes from Python; both readers of it do without.
+    assert plans == [1, 0, 0]
