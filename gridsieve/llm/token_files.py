@@ -135,7 +135,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         .agg(F.sum("n_ids").alias("n"))
         .select("shard", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
     )
-    placed = table.join(bases, "shard").select(
+    # One narrow row per shard.  Without the hint the blocks themselves are shuffled before
+    # adaptive execution sees how small that side is.
+    placed = table.join(F.broadcast(bases), "shard").select(
         (F.col("base") + F.col("first")).alias("start"), "doc_ids", "block"
     )
 

@@ -175,3 +175,21 @@ def test_registered_queries_keep_added_tokens(spark, documents, tmp_path):
     pieces = sorted(queries.QUERIES["op9_packing"](spark, str(tmp_path)).collect(), key=lambda r: r.start)
     assert {r.doc_tokens for r in pieces} == {len(want[1])}
     assert [r.ids_crc32 for r in pieces] == [_crc(want[1][r.start : r.start + r.length]) for r in pieces]
+
+
+def test_blocks_are_read_without_a_shuffle(spark, tmp_path):
+    from gridsieve.llm.token_files import read_token_files, write_token_files
+
+    docs = spark.createDataFrame([(i, f"word {i}") for i in range(20)], "doc_id long, text string")
+    path = str(tmp_path / "blocks")
+    write_token_files(docs, path, public_tokenizers.path("word_bpe_49k.json"), 1)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    # A table of blocks whose bases are believed to be large.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        back = read_token_files(spark, path)
+        plan = back._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(r.doc_id for r in back.collect()) == list(range(20))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
