@@ -102,7 +102,8 @@ def write_token_files(
             )
 
         for batch in batches:
-            ids = encoded(tokenizer_path, batch.column(1).to_pylist(), end_id, added_tokens=added_tokens)
+            texts = batch.column(1).to_pylist()
+            ids = encoded(tokenizer_path, texts, end_id, at_once=128, added_tokens=added_tokens)
             for owner, own in zip(batch.column(0).to_pylist(), ids):
                 held.append(own)
                 owners.append(owner)

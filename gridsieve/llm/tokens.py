@@ -41,6 +41,11 @@ def _lowered(word: str) -> str:
     return _spelled(word.lower())
 
 
+_BEYOND_LATIN_1 = re.compile("[^\x00-\xff]")
+
+# How the ids of a piece are packed, by their number.
+_LAYOUTS = [f"<{n}I" for n in range(32)]
+
 _loaded: dict[tuple[str, bool], "PieceTokenizer"] = {}
 
 
@@ -71,7 +76,9 @@ class PieceTokenizer:
             ("Split", "ByteLevel"): (PIECES_WITHOUT_SPACE, re.compile(f"[{LETTERS}]+"), _lowered),
         }.get(parts, (None, None, None))
         self._added, self._added_ids = None, {}
-        added = self._tokenizer.get_added_tokens_decoder() if added_tokens else {}
+        every = self._tokenizer.get_added_tokens_decoder()
+        self._names = [t.content for t in every.values()]
+        added = every if added_tokens else {}
         if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
             self._pieces = None
         elif added:
@@ -83,47 +90,60 @@ class PieceTokenizer:
         for e in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
             yield np.array(e.ids, dtype="<u4").tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: Iterable[str]) -> None:
         """Remember the ids of ``pieces``; words of ``LETTERS`` need only the model."""
-        plain, form, model, other = self._plain.fullmatch, self._form, self._tokenizer.model, []
+        plain, form, other = self._plain.fullmatch, self._form, []
+        known, tokenize = self._known, self._tokenizer.model.tokenize
         for p in pieces:
-            if plain(p):
-                ids = [t.id for t in model.tokenize(form(p))]
-                self._known[p] = pack(f"<{len(ids)}I", *ids)
+            # The first test is quick and holds for most words.
+            if (p.isalpha() and p.isascii()) or plain(p):
+                ids = [t.id for t in tokenize(form(p))]
+                known[p] = pack(_LAYOUTS[len(ids)] if len(ids) < len(_LAYOUTS) else f"<{len(ids)}I", *ids)
             else:
                 other.append(p)
         for at in range(0, len(other), 4096):
             some = other[at : at + 4096]
-            self._known.update(zip(some, self._encode(some)))
+            known.update(zip(some, self._encode(some)))
 
     def _ids_of(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of distinct pieces, remembered or learnt."""
         if len(self._known) > self._keep // 2:
             self._known, self._older = {}, self._known
-        known, older, found, new = self._known, self._older, {}, []
+        known, older = self._known, self._older
         known.update(self._added_ids)
-        for p in pieces:
-            ids = known.get(p)
-            if ids is None:
-                ids = older.get(p)
-                if ids is None:
-                    new.append(p)
-                    continue
-                known[p] = ids
-            found[p] = ids
+        # Known pieces are passed over without a step of Python.
+        new = pieces.difference(known)
+        if older:
+            again = [p for p in new if p in older]
+            known.update(zip(again, map(older.__getitem__, again)))
+            new.difference_update(again)
         self._learn(new)
-        found.update((p, known[p]) for p in new)
+        # A dictionary of the call's own pieces stays in the processor cache.
+        found = dict(zip(pieces, map(known.__getitem__, pieces)))
+        found.update(self._added_ids)
         return found
 
     def _cut(self, text: str) -> list[str]:
         """Pieces of a text; added tokens are cut out first, each a piece of its own."""
         if self._added is None or not self._added.search(text):
-            return self._pieces.findall(text)
+            return self._pieces.findall(self._folded(text))
         out = []
         for k, part in enumerate(self._added.split(text)):
-            out += [part] if k % 2 else self._pieces.findall(part)
+            out += [part] if k % 2 else self._pieces.findall(self._folded(part))
         return out
 
+    def _folded(self, text: str) -> str:
+        """Lower case if the tokenizer takes it so, and one piece serves both cases.
+
+        Up to U+00FF, one character becomes one character, as the tokenizer has it; beyond,
+        Python's rules differ (a capital sigma at a word's end), and the text stays.
+        """
+        if self._form is not _lowered or (not text.isascii() and _BEYOND_LATIN_1.search(text)):
+            return text
+        low = text.lower()
+        # <|ENDOFTEXT|> is plain text and must not become a name.
+        return text if any(name in low for name in self._names) else low
+
     def __call__(self, texts: Iterable[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
         if self._pieces is None:

@@ -193,3 +193,16 @@ def test_blocks_are_read_without_a_shuffle(spark, tmp_path):
         assert sorted(r.doc_id for r in back.collect()) == list(range(20))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_one_piece_serves_both_cases():
+    """A word is learnt once, however it is written; texts beyond Latin-1 keep their case."""
+    name = "word_bpe_49k.json"
+    cached = PieceTokenizer(PATHS[name], added_tokens=True)
+    cached(["Été ÉTÉ été", "Word word WORD"])
+    assert {p for p in cached._known if p.isalpha()} == {"été", "word"}
+    whole = Tokenizer.from_file(PATHS[name])
+    texts = ["1<|ENDOFTEXT|>", "1<|EndOfText|> <|endoftext|>X", "ΟΔΟΣ Word", "İX", "µßÿÆ×÷", "ÀB1Cd don'T"]
+    for t in texts:
+        got = np.frombuffer(cached([t])[0], "<u4").tolist()
+        assert got == whole.encode(t, add_special_tokens=False).ids, t
