@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -345,10 +346,26 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Documents without repeats, those without words included, stay as they are.
     """
     found = find_repeats(docs, text_col=text_col)
-    cut = F.udf(without_words, "string", useArrow=True)
-    text = F.when(F.size("removed") > 0, cut(F.col(text_col), "removed")).otherwise(F.col(text_col))
-    return (
-        found.withColumn(text_col, text)
-        .where((F.size("removed") == 0) | F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
-        .select(*docs.columns)
-    )
+    at, spans = found.columns.index(text_col), found.columns.index("removed")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                yield some(batch.slice(k, SLICE))
+
+    def some(batch: pa.RecordBatch) -> pa.RecordBatch:
+        column = batch.column(at)
+        marked = np.asarray(pc.list_value_length(batch.column(spans))) > 0
+        if not marked.any():
+            return batch
+        rows = pa.array(np.flatnonzero(marked))
+        own = zip(column.take(rows).to_pylist(), batch.column(spans).take(rows).to_pylist())
+        texts = [without_words(text, list_) for text, list_ in own]
+        left = np.ones(batch.num_rows, dtype=bool)
+        left[marked] = [bool(_WORD.search(t)) for t in texts]
+        new = pc.replace_with_mask(column, pa.array(marked), pa.array(texts, column.type))
+        return batch.set_column(at, batch.schema.field(at), new).filter(pa.array(left))
+
+    # One pass for the texts and for the filter: as a function that both name, it would run
+    # twice in each task, in two Python workers.
+    return found.mapInArrow(giving_back(cut), found.schema).select(*docs.columns)

@@ -114,3 +114,16 @@ def test_segments_are_cut_once(spark, documents, monkeypatch):
     ).count() > 0
     # Only the table of all segments comes from Python; both readers of it do without.
     assert plans == [1, 0, 0]
+
+
+def test_repeats_are_cut_in_one_pass_through_python(spark):
+    """Texts and the filter come from one pass; other columns, nulls and texts without words stay."""
+    words = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, words, b"a"), (2, words, b"b"), (3, f"x\t{words}\ny", None), (4, None, b"d"), (5, " ", b"e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more binary")
+    got = si.remove_repeats(docs)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") == 1
+    want = [(1, words, b"a"), (3, "x\ty", None), (4, None, b"d"), (5, " ", b"e")]
+    assert [(r[0], r[1], r[2] and bytes(r[2])) for r in got.orderBy("doc_id").collect()] == want
+    assert got.columns == docs.columns
