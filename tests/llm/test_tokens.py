@@ -206,3 +206,62 @@ def test_one_piece_serves_both_cases():
     for t in texts:
         got = np.frombuffer(cached([t])[0], "<u4").tolist()
         assert got == whole.encode(t, add_special_tokens=False).ids, t
+
+
+LATIN_1 = st.lists(
+    st.one_of(
+        st.none(),
+        st.text(alphabet=st.sampled_from("aBé's.,#1  \n\t\x85\xa0\x1cß×ª(|<"), max_size=30),
+        st.text(alphabet=st.characters(max_codepoint=255), max_size=40),
+        st.sampled_from(["<|endoftext|>", "x<|ENDOFTEXT|>y", "a\0b", "Ā b", "W" * 40 + ", 'tis " + "-" * 17]),
+    ),
+    max_size=6,
+)
+FULL = {n: PieceTokenizer(PATHS[n]) for n in NAMES}
+
+
+@pytest.mark.parametrize("name", NAMES)
+@settings(max_examples=500, deadline=None)
+@given(texts=LATIN_1)
+def test_texts_cut_together_give_the_ids_of_each(name, texts):
+    want = [DIRECT[name].encode(t or "", add_special_tokens=False).ids for t in texts]
+    for cached in (CACHED[name], FULL[name]):
+        assert [np.frombuffer(b, "<u4").tolist() for b in cached(texts)] == want
+    want = [UNTOUCHED[name].encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, "<u4").tolist() for b in ADDED[name](texts)] == want
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_latin_1_texts_take_no_step_for_each_piece(name, monkeypatch):
+    cached = PieceTokenizer(PATHS[name], added_tokens=True)
+    text = "It was a word, wasn't it?\n\nÉté (12) " * 50
+    want = cached([text])
+    monkeypatch.setattr(cached, "_cut", None)
+    assert cached([text, "", text]) == [want[0], b"", want[0]]
+
+
+def test_remembered_pieces_take_little_memory():
+    """60,000 words: 7.3 MB as strings and bytes in a dictionary."""
+    import tracemalloc
+
+    cached = PieceTokenizer(PATHS[NAMES[1]])
+    letters = "abcdefghijklmnopqrst"
+    words = [a + b + c + d for a in letters for b in letters for c in letters for d in letters][:60_000]
+    texts = [" ".join(words[at : at + 1000]) for at in range(0, len(words), 1000)]
+    tracemalloc.start()
+    try:
+        for t in texts:
+            cached([t])
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert len(cached._known) > 55_000
+    assert held < 5.5e6
+
+
+def test_pieces_not_met_again_are_forgotten():
+    cached = PieceTokenizer(PATHS[NAMES[0]], keep=100)
+    for k in range(40):
+        cached([f"same {' '.join(f'{chr(97 + k // 26)}{chr(97 + k % 26)}{chr(97 + j)}' for j in range(20))}"])
+        assert len(cached._known) <= 100 + 21
+        assert "same" in cached._known
